@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a side may hold before it is no longer sent to every executor.
-BROADCAST_ROW_LIMIT = 100_000
 
 
 def build_session(
@@ -58,14 +54,13 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def small_side(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Checkpoint a join side expected to be small and broadcast it only if it really is.
+def saved_table(df: DataFrame, label: str) -> DataFrame:
+    """Write a derived table to the shared folder and read it back.
 
-    The count runs on the checkpointed rows, so the input is computed once. Beyond the limit
-    the plain DataFrame comes back and the join shuffles.
+    Its lineage is cut and its size on disk becomes known, so that Catalyst broadcasts it only
+    below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles the join otherwise.
     """
-    shared_dir(df.sparkSession)
-    saved = df.checkpoint()
-    if saved.limit(row_limit + 1).count() <= row_limit:
-        return F.broadcast(saved)
-    return saved
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
