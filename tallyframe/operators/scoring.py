@@ -73,7 +73,7 @@ def passed(code: Column, exit_code: Column) -> Column:
     return ((strip(text_or_empty(code)) != "") & ran_clean).cast("double")
 
 
-def test_program(code: Column, test_code: Column, entry_point: Column) -> Column:
+def answer_program(code: Column, test_code: Column, entry_point: Column) -> Column:
     """Program text that runs an answer against its tests."""
     return F.concat(
         F.lit("\n" + fv.TEST_PROGRAM_IMPORTS + "\n\n"),
