@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fixed_values as fv
@@ -165,15 +166,12 @@ def council_summaries(
     per_row = state.filter(overall | (F.col("total_examples") > 0)).withColumn(
         "_score", F.when(~overall, F.coalesce(score, F.lit(0.0)))
     )
-    combined = state.filter((F.col("is_overall") == 0) & (F.col("scored_examples") > 0)).agg(
-        F.avg(score).alias("_combined")
-    )
-    value = F.when(overall, F.col("_combined")).otherwise(F.col("_score"))
-    # The combined metric is a single row: an aggregate without keys.
+    counted = ~overall & (F.col("scored_examples") > 0)
+    # One row per dataset is left, so a single window frame is enough.
+    combined = F.avg(F.when(counted, score)).over(W.partitionBy(F.lit(0)))
+    value = F.when(overall, combined).otherwise(F.col("_score"))
     return (
-        per_row.withColumn("_one", F.lit(1))
-        .join(F.broadcast(combined.withColumn("_one", F.lit(1))), "_one")
-        .select(
+        per_row.select(
             F.lit(run_id).alias("suite_id"),
             F.when(overall, dataset_name).otherwise(F.col("source_dataset")).alias("dataset_name"),
             F.lit(model).alias("model"),
