@@ -51,8 +51,8 @@ def order_statistics(
 ) -> DataFrame:
     """The order value at given ranks of each group, exact for any group size.
 
-    ``ranks`` maps an output column to a function from the group's row count to a rank; ranks
-    past the end give the last value, ranks below one give null.
+    ``ranks`` maps an output column to a function from the group's row count to a rank, which may
+    also use the group columns. Ranks past the end give the last value, below one they give null.
     """
     groups = list(groups)
     slim = df.select(*groups, order.alias("_key"), bucket.alias("_bucket")).filter(
@@ -77,8 +77,9 @@ def order_statistics(
             "_bucket",
             (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
             "_n",
-            F.explode(wanted).alias("_wanted"),
+            wanted.alias("_ranks"),
         )
+        .withColumn("_wanted", F.explode("_ranks"))
         .filter(
             (F.col("_wanted.rank") > F.col("_before"))
             & (F.col("_wanted.rank") <= F.col("_before") + F.col("_n"))
@@ -92,13 +93,14 @@ def order_statistics(
     )
     hits = saved_table(hits, "rank-buckets")
     keys = [*groups, "_bucket"]
-    inside = join_null_safe(slim, hits.select(*keys).distinct(), keys)
-    per_key = inside.groupBy(*keys, "_key").agg(F.count("*").alias("_n"))
+    inside = join_null_safe(slim, hits, keys)
+    per_key = inside.groupBy(*keys, "_name", "_rank", "_key").agg(F.count("*").alias("_n"))
     up_to = (
-        W.partitionBy(*keys).orderBy("_key").rowsBetween(W.unboundedPreceding, W.currentRow)
+        W.partitionBy(*keys, "_name")
+        .orderBy("_key")
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    ranked = per_key.withColumn("_upto", F.sum("_n").over(up_to))
-    found = join_null_safe(ranked, hits, keys).filter(
+    found = per_key.withColumn("_upto", F.sum("_n").over(up_to)).filter(
         (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))
     )
     return found.groupBy(*groups).agg(

@@ -66,14 +66,9 @@ def answerability_sample(
     unanswerable = max(1, int(round(n * share)))
     order = shuffle_key(F.col(key), seed)
     flagged = df.withColumn("_can", F.coalesce(F.col(answerable), F.lit(False)))
-    yes, no = (
-        take_first(rows, [], order, shuffle_bucket(order), lambda _, q=quota: F.lit(q))
-        for rows, quota in (
-            (flagged.filter("_can"), n - unanswerable),
-            (flagged.filter("not _can"), unanswerable),
-        )
-    )
-    return yes.unionByName(no).drop("_can")
+    quota = F.when(F.col("_can"), n - unanswerable).otherwise(unanswerable)
+    taken = take_first(flagged, ["_can"], order, shuffle_bucket(order), lambda _: quota)
+    return taken.drop("_can")
 
 
 def flatten_evidence(evidence: Column) -> Column:
@@ -141,30 +136,21 @@ def flag_subset(
     ``order`` holds hash-led sample keys, unique inside a source.
     """
     quotas = fv.FLAGGED_PER_SOURCE if quotas is None else quotas
-    keys = df.filter(F.col(source).isin(*quotas)).select(key, source, order)
-    firsts = first_by_source(keys, source, order, quotas)
+    quota = F.lit(0)
+    for source_name, rows in quotas.items():
+        quota = F.when(F.col(source) == source_name, rows).otherwise(quota)
+    firsts = take_first(
+        df.filter(F.col(source).isin(*quotas)).select(key, source, order),
+        [source],
+        F.col(order),
+        shuffle_bucket(F.col(order)),
+        lambda _: quota,
+    )
     chosen = saved_table(firsts.select(key).distinct(), "flagged-ids")
     flagged = df.drop(name).join(chosen.withColumn(name, F.lit(True)), key, "left")
     return flagged.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def first_by_source(
-    keys: DataFrame, source: str, order: str, quotas: dict[str, int]
-) -> DataFrame:
-    """The first rows of each source that has a quota."""
-    taken = [
-        take_first(
-            keys.filter(F.col(source) == name),
-            [],
-            F.col(order),
-            shuffle_bucket(F.col(order)),
-            lambda _, q=rows: F.lit(q),
-        )
-        for name, rows in quotas.items()
-    ]
-    return union_sources(taken)
-
-
 def split_dev_test(
     df: DataFrame,
     key: str,
