@@ -177,15 +177,23 @@ def score_predictions(
         .when(dataset == "hardmath", math)
         .when(dataset == "humaneval_plus", _metric_map(pass_at_1=passed(answer, exit_code)))
     )
-    return score_records(staged.withColumn("metrics", F.when(ok, scored)), suite_id)
+    unknown = ~F.coalesce(dataset.isin(*fv.DATASETS), F.lit(False))
+    return score_records(staged.withColumn("metrics", F.when(ok, scored)), suite_id, unknown)
 
 
-def score_records(df: DataFrame, suite_id: str) -> DataFrame:
-    """Three-way status from a prediction status and a metric map that may be null."""
+def score_records(
+    df: DataFrame, suite_id: str, metric_failed: Column | None = None
+) -> DataFrame:
+    """Three-way status from a prediction status and a metric map that may be null.
+
+    ``metric_failed`` replaces the null test where it is known from cheaper columns, so that a
+    filter on the status reaches the scan without dragging the scoring along.
+    """
     ok = F.col("status") == "success"
+    failed_metric = F.col("metrics").isNull() if metric_failed is None else metric_failed
     status = (
         F.when(~F.coalesce(ok, F.lit(False)), "prediction_error")
-        .when(F.col("metrics").isNull(), "metric_error")
+        .when(failed_metric, "metric_error")
         .otherwise("scored")
     )
 

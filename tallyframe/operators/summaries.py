@@ -16,9 +16,13 @@ PAIR = ("dataset_name", "model")
 
 
 def mean_metrics(scores: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
-    """Mean of each metric over the rows that carry it, in long form."""
+    """Mean of each metric over the rows that carry it, in long form.
+
+    The outer explode matters: from an inner one Catalyst infers a filter on the map and pushes
+    it below the scoring projections, which then are evaluated twice.
+    """
     return (
-        scores.select(*keys, F.explode("metrics").alias("metric", "value"))
+        scores.select(*keys, F.explode_outer("metrics").alias("metric", "value"))
         .groupBy(*keys, "metric")
         .agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
         .filter(F.col("n") > 0)

@@ -517,10 +517,10 @@ def pending_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_PLANNED}, marked AS (SELECT d.example_id IS NOT NULL AS skipped, l.status
       FROM planned p LEFT JOIN done d USING (dataset_name, model, example_id)
       LEFT JOIN later l USING (dataset_name, model, example_id))
-    SELECT count(*) AS total_examples, count_if(skipped) AS skipped_existing,
-    count_if(NOT skipped AND status IS NOT NULL) AS attempted_examples,
-    count_if(NOT skipped AND status = 'success') AS completed_examples,
-    count_if(NOT skipped AND status = 'error') AS failed_examples FROM marked"""
+    SELECT count(*) AS total_examples, CAST(count_if(skipped) AS BIGINT) AS skipped_existing,
+    CAST(count_if(NOT skipped AND status IS NOT NULL) AS BIGINT) AS attempted_examples,
+    CAST(count_if(NOT skipped AND status = 'success') AS BIGINT) AS completed_examples,
+    CAST(count_if(NOT skipped AND status = 'error') AS BIGINT) AS failed_examples FROM marked"""
 )
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log_keys(spark, sf_dir)

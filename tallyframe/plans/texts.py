@@ -272,8 +272,8 @@ scored AS (SELECT *,
 metric AS (SELECT *,
   CASE WHEN dataset IN ('musique', 'quality') THEN CAST(pred_normal = ref_normal AS DOUBLE) END AS exact_match,
   CASE WHEN dataset IN ('musique', 'quality') THEN
-       CASE WHEN pred_normal = ref_normal THEN 1.0
-            WHEN pred_normal LIKE 'user%' AND ref_normal LIKE 'user%' THEN 0.5 ELSE 0.0 END END AS token_f1,
+       CAST(CASE WHEN pred_normal = ref_normal THEN 1.0
+            WHEN pred_normal LIKE 'user%' AND ref_normal LIKE 'user%' THEN 0.5 ELSE 0.0 END AS DOUBLE) END AS token_f1,
   CASE WHEN dataset = 'musique' THEN
        CAST(answerable AND extracted = 'NOT PRESENT IN CONTEXT' AS DOUBLE) END AS false_negative,
   CASE WHEN dataset = 'fever' THEN CAST((LABEL) = (GOLD) AS DOUBLE) END AS label_accuracy,
