@@ -372,7 +372,8 @@ def council_dataset_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT CAST(example_id AS VARCHAR) AS example_id, role AS member,
     CAST(lower(answer_text) = 'answer click' AS DOUBLE) AS exact_match,
-    CASE WHEN answer_text = 'answer click' THEN 1.0 WHEN answer_text = '' THEN 0.0 ELSE 0.5 END AS token_f1
+    CAST(CASE WHEN answer_text = 'answer click' THEN 1.0 WHEN answer_text = '' THEN 0.0 ELSE 0.5 END AS DOUBLE)
+    AS token_f1
     FROM fx_votes"""
 )
 def member_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

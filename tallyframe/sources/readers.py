@@ -107,7 +107,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 def read_recorded_ids(spark: SparkSession, path: str) -> DataFrame:
     """Distinct example ids recorded in prediction files; only that field is parsed."""
     rows = read_json(spark, path, "example_id string")
-    return rows.filter(F.col("example_id").isNotNull()).distinct()
+    return rows.select("example_id").filter(F.col("example_id").isNotNull()).distinct()
 
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
