@@ -19,43 +19,58 @@ _FENCE = rf"(?diu)```(?:python|py|python3)?{_SPACE}*\n"
 _DEFINITION = rf"(?:def|class){_SPACE}+[{fv.WORD}]"
 
 
+def _bound_text(value: Column, read) -> Column:
+    """Evaluate the stripped text once for a reader that uses it several times."""
+    return let(strip(text_or_empty(value)), read)
+
+
 def _first_content_line(text: Column) -> Column:
     """First line that is no preamble, without its final dots when short; else the first line."""
-    lines = unify_line_breaks(text)
     opening = "|".join(fv.PREAMBLE)
-    line = strip(
-        matched(lines, rf"(?dim)^{_INLINE}*+(?!{opening})({_NOT_SPACE}.*)$")
-    )
-    short = F.size(F.split(line, f"{_SPACE}+")) <= 10
-    chosen = F.when(short, F.regexp_replace(line, r"\.+\z", "")).otherwise(line)
-    return F.coalesce(chosen, strip(F.substring_index(lines, "\n", 1)))
+    pattern = rf"(?dim)^{_INLINE}*+(?!{opening})({_NOT_SPACE}.*)$"
+
+    def shortened(line: Column) -> Column:
+        short = F.size(F.split(line, f"{_SPACE}+")) <= 10
+        return F.when(short, F.rtrim(line, F.lit("."))).otherwise(line)
+
+    def pick(lines: Column) -> Column:
+        chosen = let(strip(matched(lines, pattern)), shortened)
+        return F.coalesce(chosen, strip(F.substring_index(lines, "\n", 1)))
+
+    return let(unify_line_breaks(text), pick)
 
 
 def qa_answer(value: Column) -> Column:
     """Text after an answer marker up to a dot or the end, else the first content line."""
-    text = strip(text_or_empty(value))
-    marked = matched(text, rf"(?diu){fv.ANSWER_MARKER}{_SPACE}*(.+?)(?:\.|$)")
-    return F.coalesce(strip(marked), _first_content_line(text))
+    pattern = rf"(?diu){fv.ANSWER_MARKER}{_SPACE}*(.+?)(?:\.|$)"
+    return _bound_text(
+        value, lambda text: F.coalesce(strip(matched(text, pattern)), _first_content_line(text))
+    )
 
 
 def multihop_answer(value: Column) -> Column:
     """As ``qa_answer`` but the marked text runs to the line end and loses scratchpad tags."""
-    text = strip(text_or_empty(value))
-    marked = matched(text, rf"(?diu){fv.ANSWER_MARKER}{_SPACE}*(.+?)(?:\n|$)")
-    untagged = F.regexp_replace(strip(marked), r"(?iu)</?scratchpad>", "")
-    return F.coalesce(strip(untagged), _first_content_line(text))
+    pattern = rf"(?diu){fv.ANSWER_MARKER}{_SPACE}*(.+?)(?:\n|$)"
+
+    def read(text: Column) -> Column:
+        untagged = F.regexp_replace(strip(matched(text, pattern)), r"(?iu)</?scratchpad>", "")
+        return F.coalesce(strip(untagged), _first_content_line(text))
+
+    return _bound_text(value, read)
 
 
 def choice_letter(value: Column) -> Column:
     """Letter of a multiple-choice answer, else the first character."""
-    text = strip(text_or_empty(value))
-    leading = matched(text, rf"\A\(?([A-Da-d])\)?[{fv.SPACE}.,:]")
-    alone = matched(text, r"\A([A-Da-d])\z")
-    marked = matched(text, rf"(?iu)(?:answer is|answer:){_SPACE}*\(?([A-Da-d])\)?")
-    word = matched(text, rf"(?<![{fv.WORD}])([A-D])(?![{fv.WORD}])")
-    return F.coalesce(
-        F.upper(leading), F.upper(alone), F.upper(marked), word, F.upper(F.substring(text, 1, 1))
-    )
+
+    def read(text: Column) -> Column:
+        leading = matched(text, rf"\A\(?([A-Da-d])\)?[{fv.SPACE}.,:]")
+        alone = matched(text, r"\A([A-Da-d])\z")
+        marked = matched(text, rf"(?iu)(?:answer is|answer:){_SPACE}*\(?([A-Da-d])\)?")
+        word = matched(text, rf"(?<![{fv.WORD}])([A-D])(?![{fv.WORD}])")
+        first = F.substring(text, 1, 1)
+        return F.coalesce(F.upper(leading), F.upper(alone), F.upper(marked), word, F.upper(first))
+
+    return _bound_text(value, read)
 
 
 def _has_word(text: Column, words: tuple[str, ...]) -> Column:
@@ -64,13 +79,16 @@ def _has_word(text: Column, words: tuple[str, ...]) -> Column:
 
 def fact_label(value: Column) -> Column:
     """Fact-check label named in the text; missing-evidence words win, then support words."""
-    text = F.lower(text_or_empty(value))
-    return (
-        F.when(_has_word(text, fv.NEI_WORDS), "NOT ENOUGH INFO")
-        .when(_has_word(text, fv.SUPPORT_WORDS), "SUPPORTS")
-        .when(_has_word(text, fv.REFUTE_WORDS), "REFUTES")
-        .otherwise(strip(text))
-    )
+
+    def read(text: Column) -> Column:
+        return (
+            F.when(_has_word(text, fv.NEI_WORDS), "NOT ENOUGH INFO")
+            .when(_has_word(text, fv.SUPPORT_WORDS), "SUPPORTS")
+            .when(_has_word(text, fv.REFUTE_WORDS), "REFUTES")
+            .otherwise(strip(text))
+        )
+
+    return let(F.lower(text_or_empty(value)), read)
 
 
 def loose_fact_label(value: Column) -> Column:
@@ -124,11 +142,14 @@ def _last_boxed(text: Column) -> Column:
 
 def math_answer(value: Column) -> Column:
     """Last boxed content, else the text after a result marker, else the last number."""
-    text = strip(text_or_empty(value))
-    explicit = matched(text, rf"(?diu){fv.MATH_MARKERS[0]}{_SPACE}*[:=]{_SPACE}*(.+)$")
-    phrased = matched(text, rf"(?diu){fv.MATH_MARKERS[1]}{_SPACE}*(.+)$")
-    marked = F.regexp_replace(strip(F.coalesce(explicit, phrased)), r"\.+\z", "")
-    return F.coalesce(_last_boxed(text), marked, last_number(text), text)
+
+    def read(text: Column) -> Column:
+        explicit = matched(text, rf"(?diu){fv.MATH_MARKERS[0]}{_SPACE}*[:=]{_SPACE}*(.+)$")
+        phrased = matched(text, rf"(?diu){fv.MATH_MARKERS[1]}{_SPACE}*(.+)$")
+        marked = F.rtrim(strip(F.coalesce(explicit, phrased)), F.lit("."))
+        return F.coalesce(_last_boxed(text), marked, last_number(text), text)
+
+    return _bound_text(value, read)
 
 
 def loose_math_answer(value: Column) -> Column:
@@ -173,17 +194,19 @@ def _code_from_definition(text: Column) -> Column:
 
 def code_answer(value: Column) -> Column:
     """Code of a closed fence, an open fence, from a definition on, or the bare text."""
-    text = strip(text_or_empty(value))
     closed = rf"{_FENCE}([\s\S]*?)\n```"
     opened = rf"{_FENCE}([\s\S]*)"
-    bare = F.regexp_replace(text, rf"(?d)\A{_SPACE}*```[{fv.WORD}]*{_SPACE}*\n?", "")
-    bare = F.regexp_replace(bare, rf"(?d)\n?{_SPACE}*```{_SPACE}*\z", "")
-    code = (
-        F.when(text.rlike(closed), F.regexp_extract(text, closed, 1))
-        .when(text.rlike(opened), F.regexp_extract(text, opened, 1))
-        .otherwise(F.coalesce(_code_from_definition(text), bare))
-    )
-    return clean_code(strip(code))
+
+    def read(text: Column) -> Column:
+        bare = F.regexp_replace(text, rf"(?d)\A{_SPACE}*```[{fv.WORD}]*{_SPACE}*\n?", "")
+        bare = F.regexp_replace(bare, rf"(?d)\n?{_SPACE}*```{_SPACE}*\z", "")
+        fenced = F.when(text.rlike(closed), F.regexp_extract(text, closed, 1)).when(
+            text.rlike(opened), F.regexp_extract(text, opened, 1)
+        )
+        fenced = F.when(text.contains("```"), fenced)
+        return clean_code(strip(F.coalesce(fenced, _code_from_definition(text), bare)))
+
+    return _bound_text(value, read)
 
 
 EXTRACTORS = {

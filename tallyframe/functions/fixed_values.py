@@ -7,7 +7,12 @@ labels to come out the same on any engine.
 # --- Character classes -------------------------------------------------------------------
 # Unicode white space as Python's str.strip/str.split/\s see it, for use inside [...].
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# The same without the line breaks of str.splitlines.
+# The same as single characters.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# SPACE without the line breaks of str.splitlines.
 INLINE_SPACE = r"\t\x1f\x20\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
 # Word characters (\w) of a Unicode text pattern, for use inside [...].
 WORD = r"\p{L}\p{N}_"

@@ -11,7 +11,7 @@ from tallyframe.functions.normalize import (
     normalize_answer,
     normalize_label,
     normalize_latex,
-    tokens_of_normalized,
+    tokenize,
 )
 from tallyframe.functions.text import canonical_source, let, lookup, strip, text_or_empty
 
@@ -33,11 +33,13 @@ def numbered_tokens(tokens: Column) -> Column:
 
     def spread(ordered: Column, firsts: Column) -> Column:
         def copies(first: Column, run: Column) -> Column:
-            following = F.coalesce(F.get(firsts, run + 1), F.size(ordered))
-            return F.transform(
-                F.sequence(F.lit(1), following - first),
-                lambda n: F.concat_ws(" ", F.get(ordered, first), n.cast("string")),
+            length = F.coalesce(F.get(firsts, run + 1), F.size(ordered)) - first
+            token = F.get(ordered, first)
+            numbered = F.transform(
+                F.sequence(F.lit(1), length),
+                lambda n: F.concat(token, F.lit(" "), n.cast("string")),
             )
+            return F.when(length == 1, F.array(F.concat(token, F.lit(" 1")))).otherwise(numbered)
 
         return F.flatten(F.transform(firsts, copies))
 
@@ -65,7 +67,7 @@ def f1_of_numbered(predicted: Column, reference: Column) -> Column:
 
 
 def _numbered_words(value: Column) -> Column:
-    return let(tokens_of_normalized(normalize_answer(value)), numbered_tokens)
+    return let(tokenize(value), numbered_tokens)
 
 
 def exact_match(prediction: Column, reference: Column) -> Column:

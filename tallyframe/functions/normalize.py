@@ -6,26 +6,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fixed_values as fv
-from tallyframe.functions.text import lookup, strip, text_or_empty
+from tallyframe.functions.text import let, lookup, strip, text_or_empty
 
-_PUNCTUATION_CLASS = "[" + "".join("\\" + char for char in fv.ASCII_PUNCTUATION) + "]"
 _ARTICLE = rf"(?<![{fv.WORD}])(?:{'|'.join(fv.ARTICLES)})(?![{fv.WORD}])"
 
 
-def normalize_answer(value: Column) -> Column:
-    """Lower case, no ASCII punctuation, no articles, single blanks."""
-    bare = F.regexp_replace(F.lower(text_or_empty(value)), _PUNCTUATION_CLASS, "")
-    no_articles = F.regexp_replace(bare, _ARTICLE, " ")
-    return F.trim(F.regexp_replace(no_articles, rf"[{fv.SPACE}]+", " "))
-
-
-def tokens_of_normalized(normalized: Column) -> Column:
-    """Words of an already normalised answer; no words for an empty one."""
-    return F.filter(F.split(normalized, " "), lambda word: word != "")
+def tokenize(value: Column) -> Column:
+    """Words of an answer: lower case, no ASCII punctuation, no articles.
+
+    In plain letters, digits and blanks an article is a word of its own and drops out with the
+    words. Only other texts need the pattern that looks at what surrounds an article.
+    """
+
+    def without_articles(bare: Column) -> Column:
+        return F.when(
+            bare.rlike(r"[^ -~\p{L}\p{N}]"), F.regexp_replace(bare, _ARTICLE, " ")
+        ).otherwise(bare)
+
+    # One pass: white space becomes a blank, punctuation has no counterpart and goes.
+    bare = F.translate(
+        F.lower(text_or_empty(value)),
+        fv.SPACE_CHARS + fv.ASCII_PUNCTUATION,
+        " " * len(fv.SPACE_CHARS),
+    )
+    words = F.split(let(bare, without_articles), " ")
+    return F.filter(words, lambda word: ~word.isin("", *fv.ARTICLES))
 
 
-def tokenize(value: Column) -> Column:
-    return tokens_of_normalized(normalize_answer(value))
+def normalize_answer(value: Column) -> Column:
+    """The words of an answer with single blanks between them."""
+    return F.array_join(tokenize(value), " ")
 
 
 def normalize_label(value: Column) -> Column:

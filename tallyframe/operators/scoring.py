@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tallyframe.functions import extract, metrics
 from tallyframe.functions import fixed_values as fv
 from tallyframe.functions.json_fields import gold_answers
-from tallyframe.functions.normalize import normalize_answer, tokens_of_normalized
-from tallyframe.functions.text import canonical_source, strip, text_or_empty
+from tallyframe.functions.normalize import tokenize
+from tallyframe.functions.text import canonical_source, let, strip, text_or_empty
 from tallyframe.operators.cases import CASE_BUILDERS
 from tallyframe.operators.records import latest
 
@@ -92,32 +92,34 @@ def _with_answer_scores(df: DataFrame, applies: Column) -> DataFrame:
     Each normalisation is its own projection step, so that it is computed once per row.
     """
     none = F.array().cast("array<string>")
-    normal_refs = F.transform(F.coalesce("_references", none), normalize_answer)
+    word_lists = F.transform(F.coalesce("_references", none), tokenize)
+    answer = F.col("_words")
     return (
-        df.withColumn("_normal", F.when(applies, normalize_answer(F.col("extracted_answer"))))
-        .withColumn("_normal_refs", F.when(applies, normal_refs))
-        .withColumn("_words", metrics.numbered_tokens(tokens_of_normalized(F.col("_normal"))))
+        df.withColumn("_words", F.when(applies, tokenize(F.col("extracted_answer"))))
+        .withColumn("_word_lists", F.when(applies, word_lists))
+        .withColumn("_numbered", metrics.numbered_tokens(answer))
         .withColumn(
             "_em",
-            F.coalesce(F.array_contains("_normal_refs", F.col("_normal")), F.lit(False)).cast(
-                "double"
-            ),
+            F.coalesce(F.array_contains("_word_lists", answer), F.lit(False)).cast("double"),
         )
         .withColumn(
             "_f1",
             F.coalesce(
                 F.array_max(
                     F.transform(
-                        "_normal_refs",
-                        lambda ref: metrics.f1_of_numbered(
-                            F.col("_words"), metrics.numbered_tokens(tokens_of_normalized(ref))
+                        "_word_lists",
+                        lambda ref: let(
+                            metrics.numbered_tokens(ref),
+                            lambda numbered: metrics.f1_of_numbered(
+                                F.col("_numbered"), numbered
+                            ),
                         ),
                     )
                 ),
                 F.lit(0.0),
             ),
         )
-        .drop("_normal", "_normal_refs", "_words")
+        .drop("_words", "_word_lists", "_numbered")
     )
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import extract, json_fields, metrics, normalize
 from tallyframe.functions import fixed_values as fv
-from tallyframe.functions.text import strip
+from tallyframe.functions.text import let, strip
 from tallyframe.operators import scoring
 from tallyframe.plans import sql_text as q
 from tallyframe.plans.fixtures import table, view
 from tallyframe.plans.registry import query
+from tallyframe.session import spread
 
 OVERLAP = """
 l AS (SELECT {keys}, w, count(*) AS n FROM (SELECT {keys}, unnest(lw) AS w FROM base) GROUP BY ALL),
@@ -25,10 +26,13 @@ o AS (SELECT {keys}, sum(least(l.n, r.n)) AS shared FROM l JOIN r USING ({keys},
     CAST(len({q.words('text')}) AS BIGINT) AS n_tokens FROM documents"""
 )
 def normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    staged = docs.withColumn("normalized", normalize.normalize_answer(F.col("text")))
-    tokens = normalize.tokens_of_normalized(F.col("normalized"))
-    return staged.select("doc_id", "normalized", F.size(tokens).cast("bigint").alias("n_tokens"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    staged = docs.withColumn("words", normalize.tokenize(F.col("text")))
+    return staged.select(
+        "doc_id",
+        F.array_join("words", " ").alias("normalized"),
+        F.size("words").cast("bigint").alias("n_tokens"),
+    )
 
 
 @query(
@@ -85,14 +89,13 @@ def best_reference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM base LEFT JOIN o USING (doc_id)"""
 )
 def document_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     items = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item_text")
     n_items = items.count()
     paired = docs.join(items, items["item_id"] == docs["doc_id"] % n_items)
 
     def numbered(name: str):
-        words = normalize.tokens_of_normalized(normalize.normalize_answer(F.col(name)))
-        return metrics.numbered_tokens(words)
+        return let(normalize.tokenize(F.col(name)), metrics.numbered_tokens)
 
     staged = paired.select(
         "doc_id", numbered("text").alias("left_words"), numbered("item_text").alias("right_words")
@@ -161,7 +164,7 @@ def code_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT example_id, dataset, extracted FROM fx_extracted")
 def extracted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "fx_responses")
+    rows = spread(view(spark, sf_dir, "fx_responses"), "example_id")
     answer = extract.extract_answer(F.col("response_text"), F.col("dataset"))
     return rows.select("example_id", "dataset", answer.alias("extracted"))
 
@@ -297,7 +300,7 @@ _IF_OK = ", ".join(
 
 def matched_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions with their case, as the scoring operators take them."""
-    rows = view(spark, sf_dir, "fx_responses")
+    rows = spread(view(spark, sf_dir, "fx_responses"), "example_id")
     none = F.lit(None).cast("string")
     return rows.select(
         F.col("dataset").alias("dataset_name"),
@@ -374,7 +377,7 @@ def documented_variant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     extracted AS extracted_answer FROM metric"""
 )
 def council_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "fx_responses")
+    rows = spread(view(spark, sf_dir, "fx_responses"), "example_id")
     math_gold = F.regexp_replace("reference", "user ", "")
     gold = F.when(F.col("dataset") == "hardmath", math_gold).otherwise(F.col("reference"))
     staged = rows.select(

@@ -64,3 +64,15 @@ def saved_table(df: DataFrame, label: str) -> DataFrame:
     path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a scan that has fewer partitions than the cluster has cores one per core.
+
+    For costly expressions over a small input only: a scan of many splits is returned as it is,
+    so nothing is shuffled at scale. ``df`` must be a scan without shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
