@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +43,12 @@ def _text_list(df: DataFrame, name: str) -> Column:
     return values.cast("array<string>")
 
 
-def _first_existing(df: DataFrame, *names: str) -> str | None:
-    return next((name for name in names if name in df.columns), None)
+def _first_given(
+    df: DataFrame, names: Sequence[str], read: Callable[[DataFrame, str], Column]
+) -> Column:
+    """What ``read`` makes of the first column that is present and not null in the row."""
+    given = [F.when(F.col(n).isNotNull(), read(df, n)) for n in names if n in df.columns]
+    return F.coalesce(*given) if given else F.lit(None)
 
 
 def oracle_context(df: DataFrame, name: str, fallback: Column | None = None) -> Column:
@@ -127,12 +131,12 @@ def _case_id(df: DataFrame, *names: str) -> Column:
 
 
 def multihop_cases(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    paragraphs = _first_existing(df, "paragraphs", "context")
-    answers = _first_existing(df, "answers", "answer", "gold_answers") or "answers"
+    context = _first_given(df, ("paragraphs", "context"), oracle_context)
+    answers = _first_given(df, ("answers", "answer", "gold_answers"), _text_list)
     answerable = F.col("answerable") if "answerable" in df.columns else F.lit(False)
     prompt = fill(
         fv.MUSIQUE_PROMPT,
-        context=oracle_context(df, paragraphs),
+        context=text_or_empty(context),
         question=text_or_empty(first_present(df, "question", "query", "prompt", default="")),
     )
     return _case(
@@ -140,7 +144,7 @@ def multihop_cases(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         "musique",
         _case_id(df, "id", "example_id"),
         prompt,
-        _reference(answers=_text_list(df, answers)),
+        _reference(answers=F.coalesce(answers, F.array().cast("array<string>"))),
         answerable=F.coalesce(answerable, F.lit(False)),
         keep=keep,
     )
@@ -150,7 +154,7 @@ def narrative_cases(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Question over a summary, or over the document cut to a fixed length without one."""
     summary = text_or_empty(F.col("document.summary.text"))
     body = F.substring(text_or_empty(F.col("document.text")), 1, fv.DOCUMENT_CHARS)
-    options = _first_existing(df, "options", "choices")
+    options = _first_given(df, ("options", "choices"), _text_list)
     return _case(
         df,
         "quality",
@@ -161,7 +165,7 @@ def narrative_cases(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         ),
         _reference(answers=_text_list(df, "answers")),
         context=F.coalesce(F.nullif(summary, F.lit("")), body),
-        options=_text_list(df, options) if options else None,
+        options=options,
         keep=keep,
     )
 
@@ -183,7 +187,7 @@ def evidence_text(df: DataFrame, name: str) -> Column:
 
 
 def fact_cases(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    evidence = _first_existing(df, "evidence", "context", "passage")
+    evidence = _first_given(df, ("evidence", "context", "passage"), evidence_text)
     claim = text_or_empty(first_present(df, "claim", "question", "query", default=""))
     label = text_or_empty(first_present(df, "label", "answer", "gold_label", default=""))
     return _case(
@@ -192,7 +196,7 @@ def fact_cases(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         _case_id(df, "id", "example_id"),
         fill(fv.FEVER_PROMPT, question=claim),
         _reference(label=label),
-        context=evidence_text(df, evidence) if evidence else None,
+        context=evidence,
         keep=keep,
     )
 
@@ -355,7 +359,7 @@ def council_requests(df: DataFrame, dataset_alias: str = "router_dataset") -> Da
     source = canonical_source(F.col("source_dataset"))
     tags = F.coalesce(F.col("skill_tags"), F.array().cast("array<string>"))
     context = F.nullif(F.col("context"), F.lit(""))
-    paragraphs = _first_existing(df, "paragraphs", "context")
+    paragraphs = "paragraphs" if "paragraphs" in df.columns else "context"
     oracle = oracle_context(df, paragraphs, context)
     staged = (
         df.withColumn("_source", source)

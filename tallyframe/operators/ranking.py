@@ -48,19 +48,24 @@ def order_statistics(
     order: Column,
     bucket: Column,
     ranks: dict[str, Callable[[Column], Column]],
+    numeric: bool = False,
 ) -> DataFrame:
     """The order value at given ranks of each group, exact for any group size.
 
     ``ranks`` maps an output column to a function from the group's row count to a rank, which may
     also use the group columns. Ranks past the end give the last value, below one they give null.
+    A ``numeric`` order may crowd into one bucket; the bucket that is hit is then cut once more
+    into even steps between its own extremes.
     """
     groups = list(groups)
+    keys = [*groups, "_bucket"]
     slim = df.select(*groups, order.alias("_key"), bucket.alias("_bucket")).filter(
         F.col("_key").isNotNull()
     )
-    per_bucket = slim.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
+    per_bucket = slim.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min("_key").alias("_lo"), F.max("_key").alias("_hi")
+    )
     whole = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
-    running = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     total = F.sum("_n").over(whole)
     wanted = F.array(
         *[
@@ -71,43 +76,54 @@ def order_statistics(
             for name, rank in ranks.items()
         ]
     )
-    hits = (
-        per_bucket.select(
-            *groups,
-            "_bucket",
-            (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
-            "_n",
-            wanted.alias("_ranks"),
-        )
+    counted = (
+        per_bucket.withColumn("_upto", F.sum("_n").over(_running(whole, "_bucket")))
+        .withColumn("_ranks", wanted)
         .withColumn("_wanted", F.explode("_ranks"))
-        .filter(
-            (F.col("_wanted.rank") > F.col("_before"))
-            & (F.col("_wanted.rank") <= F.col("_before") + F.col("_n"))
-        )
-        .select(
-            *groups,
-            "_bucket",
-            F.col("_wanted.name").alias("_name"),
-            (F.col("_wanted.rank") - F.col("_before")).alias("_rank"),
-        )
+        .withColumn("_rank", F.col("_wanted.rank"))
     )
-    hits = saved_table(hits, "rank-buckets")
-    keys = [*groups, "_bucket"]
-    inside = join_null_safe(slim, hits, keys)
-    per_key = inside.groupBy(*keys, "_name", "_rank", "_key").agg(F.count("*").alias("_n"))
-    up_to = (
-        W.partitionBy(*keys, "_name")
-        .orderBy("_key")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    hits = saved_table(
+        _at_rank(counted).select(
+            *keys, F.col("_wanted.name").alias("_name"), "_rank", "_lo", "_hi"
+        ),
+        "rank-buckets",
     )
-    found = per_key.withColumn("_upto", F.sum("_n").over(up_to)).filter(
-        (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))
+    inside = join_null_safe(slim, hits, keys)
+    place = [*keys, "_name"]
+    if numeric:
+        span = F.col("_hi") - F.col("_lo")
+        step = F.floor(F.try_divide(F.col("_key") - F.col("_lo"), span) * 4095)
+        inside = inside.withColumn("_step", F.coalesce(step, F.lit(0)).cast("long"))
+        per_step = inside.groupBy(*place, "_rank", "_step").agg(F.count("*").alias("_n"))
+        stepped = per_step.withColumn(
+            "_upto", F.sum("_n").over(_running(W.partitionBy(*place), "_step"))
+        )
+        finer = saved_table(_at_rank(stepped).select(*place, "_rank", "_step"), "rank-steps")
+        place = [*place, "_step"]
+        inside = join_null_safe(inside.drop("_rank"), finer, place)
+    per_key = inside.groupBy(*place, "_rank", "_key").agg(F.count("*").alias("_n"))
+    ranked = per_key.withColumn(
+        "_upto", F.sum("_n").over(_running(W.partitionBy(*place), "_key"))
     )
-    return found.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("_name") == name, F.col("_key"))).alias(name) for name in ranks]
+    return (
+        _at_rank(ranked)
+        .groupBy(*groups)
+        .agg(*[F.max(F.when(F.col("_name") == name, F.col("_key"))).alias(name) for name in ranks])
     )
 
 
+def _running(window: W, order: str):
+    return window.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def _at_rank(counted: DataFrame) -> DataFrame:
+    """The counted piece that holds the rank, which becomes a rank inside the piece."""
+    before = F.col("_upto") - F.col("_n")
+    return counted.filter(
+        (F.col("_rank") > before) & (F.col("_rank") <= F.col("_upto"))
+    ).withColumn("_rank", F.col("_rank") - before)
+
+
 def take_first(
     df: DataFrame,
     groups: Sequence[str],
@@ -171,7 +187,7 @@ def number_rows(
 
 def exact_median(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
     """Median per group without collecting a group's values."""
-    number = F.col(value).cast("double")
+    number = F.nullif(F.col(value).cast("double"), F.lit(float("nan")))
     middle = order_statistics(
         df,
         groups,
@@ -181,5 +197,6 @@ def exact_median(df: DataFrame, groups: Sequence[str], value: str, name: str) ->
             "_low": lambda total: F.floor((total + 1) / 2),
             "_high": lambda total: F.floor(total / 2) + 1,
         },
+        numeric=True,
     )
     return middle.select(*groups, ((F.col("_low") + F.col("_high")) / 2).alias(name))

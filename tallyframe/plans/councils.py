@@ -11,7 +11,7 @@ from tallyframe.operators.records import add_known
 from tallyframe.plans.fixtures import table, view
 from tallyframe.plans.registry import query
 from tallyframe.plans.requests import council_calls
-from tallyframe.session import saved_table
+from tallyframe.session import saved_table, spread
 
 _VOTE = """CASE vote_text WHEN 'The answer is B.' THEN 'B' WHEN 'I choose B because...' THEN 'B'
  WHEN '  c  ' THEN 'C' ELSE 'A' END"""
@@ -263,7 +263,7 @@ def council_flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     )
     synth = saved_table(council.synthesis_records(specialist, responses), "synthesized")
     tests = responses.select("example_id", "exit_code", "row_ordinal")
-    tested = scoring.with_test_outcomes(synth, tests, keys=("example_id",))
+    tested = scoring.with_test_outcomes(spread(synth, "example_id"), tests, keys=("example_id",))
     scores = saved_table(
         council.council_scores(scoring.score_council_texts(tested), specialist), "scores"
     )

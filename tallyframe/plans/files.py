@@ -272,7 +272,9 @@ def model_call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("calls"),
         F.count("error_type").alias("errors"),
         F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"),
-        F.min(F.dayofmonth("started_at")).cast("bigint").alias("first_day"),
+        F.min(F.dayofmonth(F.to_utc_timestamp("started_at", F.current_timezone())))
+        .cast("bigint")
+        .alias("first_day"),
     )
 
 

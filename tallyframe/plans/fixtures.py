@@ -45,12 +45,13 @@ SELECT event_id AS row_ordinal,
 FROM events
 """
 
-# Assistant turns against the turn before them.
+# Assistant turns against the turn before them, paired by number rather than by a window over
+# the conversation, which may be of any length.
 QA = """
-SELECT conv_id, turn, text AS prediction, ref AS reference
-FROM (SELECT conv_id, turn, role, text,
-             lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations) t
-WHERE role = 'assistant' AND ref IS NOT NULL
+SELECT a.conv_id, a.turn, a.text AS prediction, b.text AS reference
+FROM conversations a JOIN (SELECT conv_id, turn + 1 AS turn, text FROM conversations) b
+ON a.conv_id = b.conv_id AND a.turn = b.turn
+WHERE a.role = 'assistant' AND b.text IS NOT NULL
 """
 
 # Model output covering every extractor.

@@ -79,7 +79,7 @@ def streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH w AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type AS model, value,
       (SELECT max(date_trunc('milliseconds', ts)) FROM events) - INTERVAL '10 minutes' AS watermark FROM events)
-    SELECT CAST(epoch(window_start) AS BIGINT) AS window_start, model, count(*) AS calls,
+    SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, model, count(*) AS calls,
     CAST(count_if(value < 5) AS BIGINT) AS errors, round(count_if(value < 5) / count(*), 6) AS error_rate,
     round(avg(value), 6) AS avg_latency_ms
     FROM w WHERE window_start + INTERVAL '5 minutes' <= watermark GROUP BY window_start, model"""
@@ -88,7 +88,7 @@ def streamed_call_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = incremental.call_windows(_log_stream(spark, sf_dir), "completed_at")
     rows = incremental.drain(windows, "call-windows")
     return rows.select(
-        F.unix_timestamp("window_start").alias("window_start"),
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "model",
         "calls",
         "errors",
