@@ -27,10 +27,12 @@ def shuffle_key(key: str, seed: int = 42) -> str:
 
 
 def f1(overlap: str, n_left: str, n_right: str) -> str:
+    precision = f"(CAST({overlap} AS DOUBLE) / {n_left})"
+    recall = f"(CAST({overlap} AS DOUBLE) / {n_right})"
     return (
-        f"CASE WHEN {n_left} = 0 AND {n_right} = 0 THEN 1.0 "
-        f"WHEN {overlap} = 0 THEN 0.0 "
-        f"ELSE round(2.0 * {overlap} / ({n_left} + {n_right}), 6) END"
+        f"CASE WHEN {n_left} = 0 AND {n_right} = 0 THEN CAST(1 AS DOUBLE) "
+        f"WHEN {overlap} = 0 THEN CAST(0 AS DOUBLE) "
+        f"ELSE round(CAST(2 AS DOUBLE) * {precision} * {recall} / ({precision} + {recall}), 6) END"
     )
 
 

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Session-local note of the folder a local session fell back to.
+_LOCAL_DIR = "tallyframe.local.dir"
+
+
 def build_session(
     app_name: str = "tallyframe",
     master: str | None = None,
@@ -37,16 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local-mode session may fall back to a temporary folder; on a cluster a missing
     setting is an error, because files on one machine would be lost with it.
     """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
         return configured
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
-    return context.getCheckpointDir()
+    local = spark.conf.get(_LOCAL_DIR, None)
+    if local is None:
+        local = tempfile.mkdtemp(prefix="tallyframe-")
+        spark.conf.set(_LOCAL_DIR, local)
+    return local
 
 
 def work_path(spark: SparkSession, label: str) -> str:
