@@ -11,6 +11,7 @@ from tallyframe.operators import cases, council, predictions
 from tallyframe.plans import sql_text as q
 from tallyframe.plans.fixtures import table, view
 from tallyframe.plans.registry import query
+from tallyframe.session import spread
 
 MODELS = ("model-a", "model-b", "model-c")
 BREAK = "chr(10)"
@@ -193,7 +194,7 @@ def council_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = votes.withColumn("_call", phases)
     failed = (F.col("_call.phase") == "answer") & (F.col("_call.text") == "")
     none = F.lit(None).cast("string")
-    return calls.select(
+    rows = calls.select(
         F.col("example_id").cast("string").alias("example_id"),
         F.col("_call.phase").alias("phase"),
         "role",
@@ -208,6 +209,7 @@ def council_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         none.alias("error_message"),
         "row_ordinal",
     )
+    return spread(rows, "example_id")
 
 
 _ANSWERS = " || chr(10) || chr(10) || ".join(
