@@ -23,8 +23,10 @@ def map_groups(
     keys: Sequence[str],
     work: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     schema: str,
+    together: bool = False,
 ) -> DataFrame:
-    """Apply ``work`` to the rows of each key. Keys are integers without nulls.
+    """Apply ``work`` to the rows of each key, or ``together`` to several whole groups at a time.
+    Keys are integers without nulls.
 
     Rows are dealt by key and sorted in their partition, so that groups pass as a stream and one
     group at a time is in memory. Callers keep groups bounded, see ``in_blocks``.
@@ -36,11 +38,12 @@ def map_groups(
             held.append(batch)
             whole = _joined(held)
             cuts = _cuts(whole, keys)
-            yield from _results(work, whole, cuts)
+            yield from _results(work, whole, [0, cuts[-1]] if together else cuts)
             held = [whole.slice(cuts[-1])]
         if held:
             whole = _joined(held)
-            yield from _results(work, whole, [*_cuts(whole, keys), whole.num_rows])
+            cuts = [0] if together else _cuts(whole, keys)
+            yield from _results(work, whole, [*cuts, whole.num_rows])
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
@@ -82,8 +85,25 @@ def _cuts(batch: pa.RecordBatch, keys: Sequence[str]) -> list[int]:
 def _results(work, batch: pa.RecordBatch, cuts: list[int]) -> Iterator[pa.RecordBatch]:
     done = []
     for lo, hi in zip(cuts, cuts[1:]):
+        if lo == hi:
+            continue
         out = work(batch.slice(lo, hi - lo))
         if out is not None and out.num_rows:
             done.append(out)
     if done:
         yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+
+
+def named_texts(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """``docs`` as (id, doc, mark, text) and a struct ``row`` of the ``carry`` columns.
+
+    doc and mark hold no null and together name a row's text, also where ids are null or clash.
+    """
+    text = F.col(text_col).cast("string")
+    columns = [
+        F.col(id_col).cast("long").alias("id"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"),
+        F.xxhash64(F.col(id_col).isNull(), text).alias("mark"),
+        text.alias("text"),
+    ]
+    return docs.select(*columns, *([F.struct(*carry).alias("row")] if carry else []))

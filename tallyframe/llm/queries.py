@@ -2,18 +2,59 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import bayes_minhash
+from tallyframe.llm import bayes_minhash, decontamination, language_id, source_mixing, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("quality"))
+    mixed = source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), quality=labels)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "doc_token", "item_token", "matched", "stretch").distinct()
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return cut.select("doc_id", "n_words", "n_removed", kept)
+
+
 def op8_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op8_bayes_minhash": op8_bayes_minhash}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = token_counts.tokenizer_json(public_tokenizers.path("word_bpe_49k.json"))
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = language_id.public_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    model = language_id.train(docs.where(~language_id.held_out()), pieces)
+    found = language_id.predict(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {
+    "op3_source_mixing": op3_source_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op8_bayes_minhash": op8_bayes_minhash,
+    "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
+}
 SQL: dict[str, str] = {}
