@@ -6,13 +6,55 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bayes_minhash, decontamination, language_id, source_mixing, substring_dedup, token_counts
+from tallyframe.llm import (
+    bayes_minhash,
+    decontamination,
+    language_id,
+    lattice_dedup,
+    ordinal_quality,
+    source_mixing,
+    substring_dedup,
+    token_counts,
+    url_filter,
+    warc,
+)
+from tallyframe.session import work_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    # The table has no capture times: page k counts as captured k seconds into 2024.
+    captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
+    folder = work_path(spark, "warc")
+    warc.write_archives(pages, folder, captured=captured)
+    index = warc.merge_runs(warc.read_runs(spark, folder))
+    return index.select(
+        F.expr("try_cast(record_id AS BIGINT)").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+        "url_key",
+        "captured",
+        "intact",
+    )
+
+
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Grades: a point for good text and one for text that is not toxic.
+    grade = F.col("quality") + 1 - F.col("toxic")
+    labels = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    rated = docs.join(labels.where(~language_id.held_out()), "doc_id")
+    grader = ordinal_quality.fit(rated, grades=3)
+    graded = ordinal_quality.grade(docs, grader, at_least=2, keep_from=0.4)
+    return graded.select("doc_id", "expected_grade", "tail", "kept")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("quality"))
     mixed = source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), quality=labels)
@@ -31,6 +73,24 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", kept)
 
 
+URL_RULES = (
+    url_filter.Rule("allow", "com"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+)
+
+
+def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -50,9 +110,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_index": op1_warc_index,
+    "op2_ordinal_quality": op2_ordinal_quality,
     "op3_source_mixing": op3_source_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_url_vocabulary": op6_url_vocabulary,
+    "op7_lattice_dedup": op7_lattice_dedup,
     "op8_bayes_minhash": op8_bayes_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
