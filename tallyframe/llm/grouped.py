@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but the named ones. Operators carry these along; a column that has the
+    name of an output gives way to it."""
+    named = {name.lower() for name in names}
+    return [c for c in df.columns if c.lower() not in named]
+
+
+def packed(columns: Sequence[str]) -> Column:
+    """A struct ``row`` of the columns, which may be none."""
+    return F.struct(*(columns or [F.lit(0).alias("none")])).alias("row")
+
+
 def map_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -94,7 +106,7 @@ def _results(work, batch: pa.RecordBatch, cuts: list[int]) -> Iterator[pa.Record
         yield from pa.Table.from_batches(done).combine_chunks().to_batches()
 
 
-def named_texts(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+def named_texts(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] | None = None) -> DataFrame:
     """``docs`` as (id, doc, mark, text) and a struct ``row`` of the ``carry`` columns.
 
     doc and mark hold no null and together name a row's text, also where ids are null or clash.
@@ -106,4 +118,4 @@ def named_texts(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str
         F.xxhash64(F.col(id_col).isNull(), text).alias("mark"),
         text.alias("text"),
     ]
-    return docs.select(*columns, *([F.struct(*carry).alias("row")] if carry else []))
+    return docs.select(*columns, *([packed(carry)] if carry is not None else []))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyframe.llm.grouped import others, packed
 from tallyframe.llm.wordscan import slices
 from tallyframe.session import saved_table
 
@@ -228,15 +229,13 @@ def train(docs: DataFrame, pieces: Sequence[str], label_col: str = "lang", id_co
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``lang_pred`` and ``score``.
+    """``docs`` without its text, with ``lang_pred`` and ``score``; columns of these names are replaced.
 
     The score is the probability of the language under equal priors. A text that is null or has no
     letters, or any text for a model without languages, is ``und`` with score 0.
     """
-    others = [c for c in docs.columns if c != text_col]
-    if clash := {"lang_pred", "score"} & {c.lower() for c in others}:
-        raise ValueError(f"docs already has {sorted(clash)}")
-    rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
+    carried = others(docs, text_col, "lang_pred", "score")
+    rows = docs.select(packed(carried), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = np.array([*model.languages, UNDETERMINED], object)
 
@@ -251,7 +250,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     row = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(run, f"row {row}, lang_pred string, score double")
-    return out.select(*[F.col("row")[c].alias(c) for c in others], "lang_pred", "score")
+    return out.select(*[F.col("row")[c].alias(c) for c in carried], "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

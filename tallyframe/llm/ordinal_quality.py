@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.grouped import others, packed
 from tallyframe.llm.wordscan import mix, scan, slices
 from tallyframe.session import saved_table
 
@@ -81,15 +82,14 @@ def fit(rated: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "
 
 
 def grade(docs: DataFrame, grader: Grader, at_least: int, keep_from: float = 0.5, text_col: str = "text", how: Fitting = Fitting()) -> DataFrame:
-    """``docs`` without its text, with ``expected_grade``, ``tail`` and ``kept``.
+    """``docs`` without its text, with ``expected_grade``, ``tail`` and ``kept``; columns of these
+    names are replaced.
 
     ``tail`` is P(grade >= at_least), and kept says whether it is ``keep_from`` or more. A null or
     empty text has no features: it gets the model's prior.
     """
-    others = [c for c in docs.columns if c != text_col]
-    if clash := {"expected_grade", "tail", "kept"} & {c.lower() for c in others}:
-        raise ValueError(f"docs already has {sorted(clash)}")
-    rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
+    carried = others(docs, text_col, "expected_grade", "tail", "kept")
+    rows = docs.select(packed(carried), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(grader)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def grade(docs: DataFrame, grader: Grader, at_least: int, keep_from: float = 0.5
 
     row = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(run, f"row {row}, expected_grade double, tail double")
-    return out.select(*[F.col("row")[c].alias(c) for c in others], "expected_grade", "tail", (F.col("tail") >= keep_from).alias("kept"))
+    return out.select(*[F.col("row")[c].alias(c) for c in carried], "expected_grade", "tail", (F.col("tail") >= keep_from).alias("kept"))
 
 
 def _features(texts: pa.Array, how: Fitting) -> tuple[np.ndarray, np.ndarray]:

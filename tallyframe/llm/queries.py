@@ -13,6 +13,7 @@ from tallyframe.llm import (
     lattice_dedup,
     ordinal_quality,
     source_mixing,
+    sql,
     substring_dedup,
     token_counts,
     url_filter,
@@ -38,9 +39,6 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payload_digest",
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
-        "url_key",
-        "captured",
-        "intact",
     )
 
 
@@ -121,4 +119,11 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc_index": sql.WARC,
+    "op3_source_mixing": sql.MIXING,
+    "op5_substring_dedup": sql.PASSAGES,
+    "op6_url_vocabulary": sql.url_vocabulary(URL_RULES),
+    "op7_lattice_dedup": sql.VECTORS,
+    "op8_bayes_minhash": sql.NEAR_DOCUMENTS,
+}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.grouped import map_groups, named_texts
+from tallyframe.llm.grouped import map_groups, named_texts, others
 from tallyframe.llm.wordscan import Words, gram_hashes, mix, scan, slices
 from tallyframe.session import saved_table
 
@@ -68,17 +68,16 @@ def remove_repeats(
     how: Windows = Windows(),
     untouched_as_is: bool = False,
 ) -> DataFrame:
-    """``docs`` with the words that stay as its text, and ``n_words``, ``n_removed``, ``removed``.
+    """``docs`` with the words that stay as its text, and ``n_words``, ``n_removed``, ``removed``;
+    columns of these names are replaced.
 
     The words are joined by single spaces, unless ``untouched_as_is`` and none was removed.
     ``removed`` has the removed spans by word number. A null text has no words and stays null; an
     empty or short text has no windows. Rows are told apart by id and text, so null ids and ids
     with several texts are fine; a row that occurs twice repeats itself.
     """
-    others = [c for c in docs.columns if c != text_col]
-    if clash := {"n_words", "n_removed", "removed"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has {sorted(clash)}")
-    named = named_texts(docs, id_col, text_col, others)
+    kept = others(docs, "n_words", "n_removed", "removed")
+    named = named_texts(docs, id_col, text_col, others(docs, text_col))
     runs = repeated_runs(named.select("doc", "mark", "text"), how)
     spans = runs.groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     spans = saved_table(spans, "passage-spans")
@@ -88,7 +87,7 @@ def remove_repeats(
         _cut(how, untouched_as_is),
         f"row {row}, text string, n_words long, n_removed long, removed array<struct<first:int,last:int>>",
     )
-    columns = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    columns = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept]
     return cut.select(*columns, "n_words", "n_removed", "removed")
 
 

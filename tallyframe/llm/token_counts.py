@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.grouped import others, packed
 from tallyframe.llm.wordscan import slices, text_bytes
 
 _SPACE = re.compile(r"[ \t-\r]")
@@ -40,15 +41,14 @@ def tokenizer_json(path: str) -> str:
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", how: Chunking = Chunking()) -> DataFrame:
-    """``docs`` without its text, with ``n_bytes``, ``n_tokens`` and ``n_chunks``.
+    """``docs`` without its text, with ``n_bytes``, ``n_tokens`` and ``n_chunks``; columns of these
+    names are replaced.
 
     ``tokenizer`` is the JSON of a tokenizer whose pre-tokens do not cross white space. A null text
     counts as empty: 0 bytes, 0 tokens.
     """
-    others = [c for c in docs.columns if c != text_col]
-    if clash := {"n_bytes", "n_tokens", "n_chunks"} & {c.lower() for c in others}:
-        raise ValueError(f"docs already has {sorted(clash)}")
-    rows = docs.select(F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
+    carried = others(docs, text_col, "n_bytes", "n_tokens", "n_chunks")
+    rows = docs.select(packed(carried), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", how: C
 
     row = rows.schema["row"].dataType.simpleString()
     counted = rows.mapInArrow(run, f"row {row}, n_bytes long, n_tokens long, n_chunks int")
-    return counted.select(*[F.col("row")[c].alias(c) for c in others], "n_bytes", "n_tokens", "n_chunks")
+    return counted.select(*[F.col("row")[c].alias(c) for c in carried], "n_bytes", "n_tokens", "n_chunks")
 
 
 def _count(encoder, texts: list[str | None], how: Chunking) -> tuple[list[int], list[int]]:

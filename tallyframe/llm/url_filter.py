@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.grouped import others, packed
+
 # The default vocabulary.
 STRICT_TERMS = (
     "porn", "porno", "pornography", "xxx", "hentai", "milf", "camgirl", "camgirls", "escort-service",
@@ -64,35 +66,33 @@ def path(url: Column) -> Column:
 def judge(
     pages: DataFrame, rules: Sequence[Rule], vocabulary: Vocabulary = Vocabulary(), url_col: str = "url"
 ) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule``, ``verdict``, ``strict_hits``, ``soft_hits``.
+    """``pages`` with ``host``, ``path``, ``rule``, ``verdict``, ``strict_hits``, ``soft_hits``;
+    columns of these names are replaced.
 
-    The rule with the longest host and path that fits decides; ties go to the longer host, then the
-    first. Without one, the vocabulary does. A null URL or one without ``://`` has an empty host and
+    The rule with the longest host and path that fits decides; ties go to the longer host. Without one, the vocabulary does. A null URL or one without ``://`` has an empty host and
     path, which no rule fits; its text, if any, is still searched for terms. A null is allowed.
     """
-    new = {"host", "path", "rule", "verdict", "strict_hits", "soft_hits"}
-    if clash := new & {c.lower() for c in pages.columns}:
-        raise ValueError(f"pages already has {sorted(clash)}")
-    url = F.col(url_col).cast("string")
-    split = pages.select("*", host(url).alias("host"), path(url).alias("path"))
-    ranked = sorted(rules, key=lambda r: (-len(r.name), -len(r.host)))
+    outputs = ("host", "path", "rule", "verdict", "strict_hits", "soft_hits")
+    carried = others(pages, *outputs)
+    url = F.col(url_col).cast("string").alias("url")
+    rows = pages.select(packed(carried), url)
+    rows = rows.select("row", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in reversed(ranked):
+    for r in sorted(rules, key=lambda r: (len(r.name), len(r.host))):
         own = (F.col("host") == r.host) | F.col("host").endswith(f".{r.host}")
         fits = own & F.col("path").startswith(r.path)
         rule, verdict = F.when(fits, r.name).otherwise(rule), F.when(fits, r.verdict).otherwise(verdict)
-    ruled = split.select("*", rule.alias("rule"), verdict.alias("by_rule_"))
-    found = ruled.select("*", _terms(vocabulary)(url).alias("found_"))
-    heavy = F.col("found_.weight") >= vocabulary.limit
-    by_terms = F.when((F.size("found_.strict") > 0) | heavy, "block").otherwise("allow")
+    found = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), _terms(vocabulary)(F.col("url")).alias("found"))
+    heavy = F.col("found.weight") >= vocabulary.limit
+    by_terms = F.when((F.size("found.strict") > 0) | heavy, "block").otherwise("allow")
     return found.select(
-        *pages.columns,
+        *[F.col("row")[c].alias(c) for c in carried],
         "host",
         "path",
         "rule",
-        F.coalesce("by_rule_", by_terms).alias("verdict"),
-        F.col("found_.strict").alias("strict_hits"),
-        F.col("found_.soft").alias("soft_hits"),
+        F.coalesce("by_rule", by_terms).alias("verdict"),
+        F.col("found.strict").alias("strict_hits"),
+        F.col("found.soft").alias("soft_hits"),
     )
 
 
