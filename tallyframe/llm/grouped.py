@@ -30,6 +30,12 @@ def packed(columns: Sequence[str]) -> Column:
     return F.struct(*(columns or [F.lit(0).alias("none")])).alias("row")
 
 
+def hash_share(key: Column) -> Column:
+    """A uniform number in [0, 1) from a key. Rows below n / count are a sample of about n rows that
+    does not depend on partitions and needs no sort."""
+    return F.pmod(F.xxhash64(F.lit("share"), key), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
 def map_groups(
     df: DataFrame,
     keys: Sequence[str],

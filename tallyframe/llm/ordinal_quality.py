@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.grouped import others, packed
+from tallyframe.llm.grouped import hash_share, others, packed
 from tallyframe.llm.wordscan import mix, scan, slices
 from tallyframe.session import saved_table
 
 
 @dataclass(frozen=True)
 class Fitting:
-    """``rows``: at most so many rated documents are learned from, those with the smallest hash of
-    their id, dealt to ``partitions``. ``bits``: 2 ** bits hashed features, of which those in fewer
+    """``rows``: about so many rated documents are learned from, or all if there are fewer, those
+    with the smallest hash of their id, dealt to ``partitions``. ``bits``: 2 ** bits hashed features, of which those in fewer
     than ``least_rows`` of the sampled documents keep the weight 0."""
 
     rows: int = 20_000
@@ -58,7 +58,7 @@ def fit(rated: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "
     rows = rated.select(F.col(id_col).alias("doc"), F.col(grade_col).cast("int").alias("grade"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("doc").isNotNull() & F.col("text").isNotNull() & F.col("grade").between(0, grades - 1))
     graded = rows.groupBy("doc").agg(F.min("grade").alias("grade"))
-    chosen = graded.orderBy(F.xxhash64("doc"), "doc").limit(how.rows)
+    chosen = graded.where(hash_share(F.col("doc")) * max(1, graded.count()) < how.rows)
     chosen = saved_table(chosen.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "doc"), F.lit(how.partitions))), "grading-sample")
     kind = "doc long, part long, grade int, features array<int>"
     sparse = rows.select("doc", "text").join(chosen, "doc").mapInArrow(_sparse(how), kind).dropDuplicates(["doc"])
