@@ -9,10 +9,11 @@
    probability of reaching the threshold falls under ``miss`` (Satuluri and Parthasarathy 2012).
 4. Survivors are verified on their full shingle sets.
 
-Candidates come in three rounds, so that a bucket of many copies does not become all its pairs:
+Candidates come in two rounds, so that a bucket of many copies does not become all its pairs: first
 each member with the smallest of its bucket; then, where a bucket still spans several components,
-a spanning forest of the surviving pairs across components, best first; then every surviving pair
-that still crosses components. The last round leaves no candidate link between components out.
+blocks of its members against each other, inside tasks. The second round verifies every surviving
+pair that crosses components in the first band that the pair shares, and sends on only the links
+of a spanning forest. No candidate link between components is left out.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ class MinHashing:
     rows: int = 4
     batch: int = 32
     miss: float = 1e-5
-    block: int = 256
+    block: int = 2048
     seed: int = 7
 
     @property
@@ -75,7 +76,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profiles = saved_table(_profiles(rows, how), "minhash-profiles")
     keys = ["n_shingles", "key_a", "key_b"]
     linkable = profiles.where("n_shingles > 0 and doc is not null")
-    classes = linkable.groupBy(*keys).agg(F.min("doc").alias("rep"))
+    # Written first, so that the join can split a class of very many copies.
+    classes = saved_table(linkable.groupBy(*keys).agg(F.min("doc").alias("rep")), "minhash-sets-seen")
     members = saved_table(linkable.select("doc", *keys).join(classes, keys).select("doc", "rep"), "minhash-classes")
 
     reps = members.where("doc = rep").select("doc").distinct()
@@ -98,28 +100,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _links(signatures: DataFrame, rows: DataFrame, how: MinHashing) -> DataFrame:
     """Verified links (a, b) that connect all representatives which candidate links connect."""
     buckets = _buckets(signatures, how)
-    spark = rows.sparkSession
+    sets = _sets(rows, buckets.select("doc").distinct(), how)
     star = buckets.where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")).distinct()
-    tested = _tested(star, signatures, rows, how, "minhash-star")
-    for forest in (True, False):
-        found = components(_true(tested))
-        labelled = buckets.join(found, F.col("doc") == F.col("node"), "left").select(
-            "bucket", "doc", F.coalesce("component", "doc").alias("part")
-        )
-        open_ = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q"))
-        open_ = saved_table(open_.where("p < q").select("bucket", "n"), "minhash-open")
-        if open_.isEmpty():
-            break
-        members = labelled.join(open_, "bucket", "left_semi").join(signatures, "doc")
-        blocks = in_blocks(members, open_, ["bucket"], "doc", how.block)
-        crossing = map_groups(blocks, ["bucket", "lo", "hi"], _crossing(how, forest), "a long, b long").distinct()
-        crossing = crossing.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = tested.union(_tested(crossing, signatures, rows, how, "minhash-crossing"))
-    return _true(tested)
-
-
-def _true(tested: DataFrame) -> DataFrame:
-    return tested.where("linked").select("a", "b")
+    links = _verified(star, signatures, sets, how)
+
+    found = components(links)
+    labelled = buckets.join(found, F.col("doc") == F.col("node"), "left").select(
+        "bucket", "band", "doc", F.coalesce("component", "doc").alias("part")
+    )
+    spread = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q"))
+    spread = saved_table(spread.where("p < q").select("bucket", "n"), "minhash-spread")
+    blocks = in_blocks(labelled, spread, ["bucket"], "doc", how.block).join(signatures, "doc")
+    keys = ["bucket", "lo", "hi"]
+    kind = "bucket long, lo int, hi int, block int, band int, doc long, part long"
+    open_ = saved_table(map_groups(blocks, keys, _with_survivors(how), kind), "minhash-open")
+    full = open_.join(signatures, "doc").join(sets, "doc")
+    crossing = map_groups(full, keys, _crossing_links(how), "a long, b long")
+    return links.union(saved_table(crossing, "minhash-crossing"))
 
 
 def _profiles(rows: DataFrame, how: MinHashing) -> DataFrame:
@@ -172,7 +169,7 @@ def _shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def _buckets(signatures: DataFrame, how: MinHashing) -> DataFrame:
-    """(bucket, doc, least) of all buckets with more than one member; least is the smallest of them."""
+    """(bucket, band, doc, least) of all buckets with several members; least is the smallest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,11 +181,11 @@ def _buckets(signatures: DataFrame, how: MinHashing) -> DataFrame:
                     h = mix(h ^ marks[:, band * how.rows + row])
                 keys[:, band] = h
             docs = batch.column("doc").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(docs, how.bands))], ["bucket", "doc"]
-            )
+            band = np.tile(np.arange(how.bands, dtype=np.int32), len(docs))
+            columns = [pa.array(keys.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(docs, how.bands))]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "band", "doc"])
 
-    dealt = signatures.select("doc", "signature").mapInArrow(run, "bucket long, doc long")
+    dealt = signatures.select("doc", "signature").mapInArrow(run, "bucket long, band int, doc long")
     shared = dealt.groupBy("bucket").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     shared = shared.where("least < most").select("bucket", "least")
     return saved_table(dealt.join(shared, "bucket"), "minhash-buckets")
@@ -211,86 +208,104 @@ def _survivors(left: np.ndarray, right: np.ndarray, how: MinHashing) -> tuple[np
     return alive, equal
 
 
-def _crossing(how: MinHashing, forest: bool):
-    """Surviving pairs of a block pair that cross components: all of them, or a spanning forest."""
-
+def _pairs_across(group: pa.RecordBatch, how: MinHashing) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Surviving pairs of a block pair that cross components and share no earlier band."""
+    block, part, band = (group.column(c).to_numpy() for c in ("block", "part", "band"))
+    marks = _matrix(group.column("signature"), how)
+    bands = marks.reshape(len(marks), how.bands, how.rows)
+    lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    found = [np.zeros((3, 0), int)]
+    for i in first:
+        other = second[part[second] != part[i]]
+        if lo == hi:
+            other = other[other > i]
+        kept, equal = _survivors(marks[np.full(len(other), i)], marks[other], how)
+        other = other[kept]
+        earlier = (bands[other, : band[i]] == bands[i, : band[i]]).all(2).any(1)
+        found.append(np.stack([np.full(len(other), i), other, equal])[:, ~earlier])
+    i, j, equal = np.concatenate(found, axis=1)
+    return i, j, equal
+
+
+def _with_survivors(how: MinHashing):
     def work(group: pa.RecordBatch) -> pa.RecordBatch | None:
-        block = group.column("block").to_numpy()
-        docs, part = group.column("doc").to_numpy(), group.column("part").to_numpy()
-        marks = _matrix(group.column("signature"), how)
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        found = []
-        for i in first:
-            other = second[(part[second] != part[i]) & ((second > i) if lo == hi else True)]
-            kept, equal = _survivors(marks[np.full(len(other), i)], marks[other], how)
-            found.append(np.stack([np.full(len(kept), i), other[kept], equal]))
-        i, j, equal = np.concatenate(found, axis=1) if found else np.zeros((3, 0), int)
-        if forest:
-            keep = _forest(part, i, j, np.argsort(-equal, kind="stable"))
-            i, j = i[keep], j[keep]
-        a, b = np.maximum(docs[i], docs[j]), np.minimum(docs[i], docs[j])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        i, j, _ = _pairs_across(group, how)
+        rows = group.take(pa.array(np.unique(np.concatenate([i, j]))))
+        return rows.select(["bucket", "lo", "hi", "block", "band", "doc", "part"])
 
     return work
 
 
-def _forest(part: np.ndarray, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> list[int]:
-    root: dict[int, int] = {}
+def _crossing_links(how: MinHashing):
+    """A spanning forest of the verified links across components, likeliest pairs first."""
 
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
+    def work(group: pa.RecordBatch) -> pa.RecordBatch | None:
+        i, j, equal = _pairs_across(group, how)
+        docs, part = group.column("doc").to_numpy(), group.column("part").to_numpy().tolist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        keep = []
+        for k in np.argsort(-equal, kind="stable"):
+            p, q = find(part[i[k]]), find(part[j[k]])
+            if p != q and _linked(sets[i[k]], sets[j[k]], how):
+                root[p] = q
+                keep.append(k)
+        a, b = docs[i[keep]], docs[j[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    keep = []
-    for k in order:
-        p, q = find(int(part[i[k]])), find(int(part[j[k]]))
-        if p != q:
-            root[p] = q
-            keep.append(k)
-    return keep
+    return work
 
 
-def _tested(pairs: DataFrame, signatures: DataFrame, rows: DataFrame, how: MinHashing, label: str) -> DataFrame:
-    """Candidate pairs (a, b) that the signatures do not prune, with the verdict of the full sets."""
+def _linked(x: np.ndarray, y: np.ndarray, how: MinHashing) -> bool:
+    """The exact test on sorted full sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < how.percent * len(y):
+        return False
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * shared >= how.percent * (len(x) + len(y) - shared)
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alive, _ = _survivors(_matrix(batch.column("mark_a"), how), _matrix(batch.column("mark_b"), how), how)
-            yield batch.select(["a", "b"]).take(pa.array(alive))
 
-    marked = _with_both(pairs, signatures, "signature", "mark")
-    alive = saved_table(marked.mapInArrow(prune, "a long, b long"), f"{label}-alive")
+def _sets(rows: DataFrame, wanted: DataFrame, how: MinHashing) -> DataFrame:
+    """(doc, shingles): the full shingle sets of the wanted documents."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 packed = [s.tobytes() for s in _shingle_sets(part.column("text"), how.words)]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(packed, pa.binary())], ["doc", "shingles"])
 
-    wanted = alive.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    # A row per document id, should its row be repeated.
-    texts = rows.join(wanted, "doc", "left_semi").mapInArrow(sets, "doc long, shingles binary")
-    full = saved_table(texts, f"{label}-sets")
+    # The wanted ids grow with the input: a sort-merge join at every size.
+    texts = rows.join(wanted.hint("merge"), "doc", "left_semi")
+    sets = texts.mapInArrow(run, "doc long, shingles binary")
+    return saved_table(sets.dropDuplicates(["doc"]), "minhash-sets")
+
+
+def _verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, how: MinHashing) -> DataFrame:
+    """Those of the candidate pairs (a, b) that are links."""
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alive, _ = _survivors(_matrix(batch.column("mark_a"), how), _matrix(batch.column("mark_b"), how), how)
+            yield batch.select(["a", "b"]).take(pa.array(alive))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                linked.append(shared > 0 and 100 * shared >= how.percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"]
-            )
-
-    checked = _with_both(alive, full, "shingles", "set").mapInArrow(verify, "a long, b long, linked boolean")
-    return saved_table(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")), label)
+            sides = zip(batch.column("set_a"), batch.column("set_b"))
+            linked = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), how) for x, y in sides]
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    marked = _with_both(pairs, signatures, "signature", "mark")
+    alive = saved_table(marked.mapInArrow(prune, "a long, b long"), "minhash-alive")
+    return saved_table(_with_both(alive, sets, "shingles", "set").mapInArrow(verify, "a long, b long"), "minhash-links")
 
 
 def _with_both(pairs: DataFrame, values: DataFrame, column: str, name: str) -> DataFrame:
