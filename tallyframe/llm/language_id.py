@@ -19,10 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyframe.llm.grouped import others, packed
+from tallyframe.llm.grouped import hash_share, others, packed
 from tallyframe.llm.wordscan import slices
 from tallyframe.session import saved_table
 
@@ -36,8 +35,8 @@ _SEGMENT = 32
 
 @dataclass(frozen=True)
 class Training:
-    """``rows``: at most so many labelled documents per language are learned from, those with the
-    smallest hash of their id. ``longest``: pieces of more characters are not used. ``floor``:
+    """``rows``: about so many labelled documents per language are learned from, or all if there are
+    fewer, those with the smallest hash of their id. ``longest``: pieces of more characters are not used. ``floor``:
     added to each expected count; a character that no piece covers is a piece of its own kind."""
 
     rows: int = 2000
@@ -203,8 +202,8 @@ def train(docs: DataFrame, pieces: Sequence[str], label_col: str = "lang", id_co
     vocabulary = Pieces(tuple(pieces), how.longest)
     labelled = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     chosen = labelled.select(F.col(id_col).alias("doc"), F.col(label_col).cast("string").alias("label"))
-    order = W.partitionBy("label").orderBy(F.xxhash64("doc"), "doc")
-    chosen = chosen.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= how.rows).select("doc")
+    counts = saved_table(chosen.groupBy("label").agg(F.count("*").alias("n")), "language-counts")
+    chosen = chosen.join(counts, "label").where(hash_share(F.col("doc")) * F.col("n") < how.rows).select("doc")
     chosen = saved_table(chosen.distinct(), "language-sample")
     texts = labelled.select(F.col(id_col).alias("doc"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
     words = texts.join(chosen, "doc", "left_semi").mapInArrow(_label_words, "label string, word string, n long")
