@@ -248,12 +248,17 @@ def strip_reasoning(value: Column) -> Column:
     return strip(F.substring_index(text, "</scratchpad>", -1))
 
 
-def clean_answer(value: Column, max_chars: int = fv.MAX_ANSWER_CHARS) -> Column:
-    """Answer without reasoning blocks, shown to voters at a fixed length."""
+def clean_answer(value: Column, max_chars: int | None = None) -> Column:
+    """Answer without reasoning blocks. Only with ``max_chars`` longer ones end in an ellipsis."""
     text = text_or_empty(value)
     for tag in fv.REASONING_TAGS:
         text = F.regexp_replace(text, rf"(?s)<{tag}>.*?</{tag}>", "")
     text = strip(text)
-    return F.when(
-        F.length(text) > max_chars, F.concat(F.left(text, F.lit(max_chars)), F.lit("..."))
-    ).otherwise(text)
+    if max_chars is None:
+        return text
+    return let(
+        text,
+        lambda whole: F.when(
+            F.length(whole) > max_chars, F.concat(F.left(whole, F.lit(max_chars)), F.lit("..."))
+        ).otherwise(whole),
+    )

@@ -57,7 +57,6 @@ ROLE_ALIASES = {
     "general": ("general", "fever"),
 }
 COUNCIL_MODEL = "p2_council"
-MAX_ANSWER_CHARS = 2000
 REASONING_TAGS = ("think", "scratchpad", "reasoning")
 
 # --- Dataset building --------------------------------------------------------------------
@@ -72,7 +71,6 @@ SKILL_TAGS = {
     "HARDMATH": ("math",),
     "HumanEvalPlus": ("code",),
 }
-DOCUMENT_CHARS = 120000
 
 # --- Labels ------------------------------------------------------------------------------
 LABEL_ALIASES = {

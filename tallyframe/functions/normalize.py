@@ -50,4 +50,4 @@ def normalize_latex(value: Column) -> Column:
         text_or_empty(value), rf"[{fv.SPACE}]+", ""
     )
     bare = F.replace(F.replace(bare, F.lit("\\left"), F.lit("")), F.lit("\\right"), F.lit(""))
-    return F.regexp_replace(bare, r"(?s)\A(?:\{(.*)\}|\{)\z", "$1")
+    return F.regexp_replace(bare, r"(?s)\A\{(.*)\}\z", "$1")

@@ -51,10 +51,13 @@ def _first_given(
     return F.coalesce(*given) if given else F.lit(None)
 
 
-def oracle_context(df: DataFrame, name: str, fallback: Column | None = None) -> Column:
+def oracle_context(
+    df: DataFrame, name: str, fallback: Column | None = None, leading: int | None = None
+) -> Column:
     """Supporting paragraphs joined by blank lines.
 
-    Without supporting ones the first four paragraphs count. A plain text is cut at blank lines.
+    Without supporting ones all paragraphs count, or the first ``leading``. A plain text is cut at
+    blank lines.
     """
     kind = df.schema[name].dataType
     column = F.col(name)
@@ -73,10 +76,12 @@ def oracle_context(df: DataFrame, name: str, fallback: Column | None = None) ->
         else:
             marked = F.slice(column, 1, 0)
         supporting = nonblank(F.transform(marked, chunk))
-        leading = nonblank(F.transform(F.slice(column, 1, 4), chunk))
-        texts = F.when(F.size(supporting) > 0, supporting).otherwise(leading)
+        first = column if leading is None else F.slice(column, 1, leading)
+        others = nonblank(F.transform(first, chunk))
+        texts = F.when(F.size(supporting) > 0, supporting).otherwise(others)
     else:
-        texts = F.slice(nonblank(F.split(column, "\n\n")), 1, 4)
+        texts = nonblank(F.split(column, "\n\n"))
+        texts = texts if leading is None else F.slice(texts, 1, leading)
     joined = F.array_join(texts, "\n\n")
     if fallback is None:
         return F.coalesce(joined, F.lit(""))
@@ -150,10 +155,14 @@ def multihop_cases(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def narrative_cases(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Question over a summary, or over the document cut to a fixed length without one."""
+def narrative_cases(
+    df: DataFrame, keep: Sequence[str] = (), max_chars: int | None = None
+) -> DataFrame:
+    """Question over a summary, or without one over the document, whole unless ``max_chars``."""
     summary = text_or_empty(F.col("document.summary.text"))
-    body = F.substring(text_or_empty(F.col("document.text")), 1, fv.DOCUMENT_CHARS)
+    body = text_or_empty(F.col("document.text"))
+    if max_chars is not None:
+        body = F.substring(body, 1, max_chars)
     options = _first_given(df, ("options", "choices"), _text_list)
     return _case(
         df,

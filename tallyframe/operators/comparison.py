@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions import fixed_values as fv
 from tallyframe.functions.text import text_or_empty
+from tallyframe.operators.records import last_by
 
 
 def _number(name: str) -> Column:
@@ -90,6 +90,9 @@ def normalize_log(log: DataFrame, policy: Column | None = None, legacy: bool = F
         F.col("routed_correctly"), F.when(task.isNotNull() & routed.isNotNull(), task == routed)
     )
     status = flagged if legacy else F.coalesce("status", flagged)
+    if "broken_line" in log.columns:
+        # A line that is no JSON has no fields; it is a failed call, never a success.
+        status = F.when(F.col("broken_line").isNotNull(), "error").otherwise(status)
 
     def pick(kept: Column, built: Column) -> Column:
         return F.when(passes, kept).otherwise(built)
@@ -125,6 +128,7 @@ def normalize_log(log: DataFrame, policy: Column | None = None, legacy: bool = F
             F.coalesce(F.nullif(read_total, F.lit(0)), read_in + read_out),
         ).alias("total_tokens"),
         "row_ordinal",
+        *[name for name in ("line_order",) if name in log.columns],
     )
 
 
@@ -195,8 +199,16 @@ def latency_table(log: DataFrame) -> DataFrame:
     )
 
 
-def wide_table(table: DataFrame, datasets: Sequence[str] = fv.DATASETS) -> DataFrame:
-    """Policies × datasets with the mean of each row's cells; missing cells stay null."""
+def wide_table(table: DataFrame, datasets: Sequence[str] | None = None) -> DataFrame:
+    """Policies × datasets with the mean of each row's cells; missing cells stay null.
+
+    Without names every dataset of the table gets a column; they are read from this small table.
+    With names the mean, too, is that of the named ones.
+    """
+    if datasets is None:
+        datasets = [r[0] for r in table.select("dataset").distinct().orderBy("dataset").collect()]
+    else:
+        table = table.filter(F.col("dataset").isin(*datasets))
     cells = [F.max(F.when(F.col("dataset") == d, F.col("value"))).alias(d) for d in datasets]
     return table.groupBy("policy").agg(*cells, F.avg("value").alias("avg")).orderBy("policy")
 
@@ -214,11 +226,13 @@ def disagreements(log: DataFrame, oracle: str = "P3", learned: str = "P4") -> Da
     """Queries whose predicted tag differs between two policies; null equals null.
 
     Both sides are conditional aggregates of one pass: the last row of each policy and query
-    counts and no join is needed.
+    counts and no join is needed. Rows of files without an ordinal count in the order of their lines.
     """
+    lines = [F.col("line_order")] if "line_order" in log.columns else []
+    order = F.struct("row_ordinal", *lines)
 
     def last(column: str, policy: str) -> Column:
-        return F.max_by(column, F.when(F.col("policy") == policy, F.col("row_ordinal")))
+        return last_by(F.col(column), order, F.col("policy") == policy)
 
     def seen(policy: str) -> Column:
         return F.count_if(F.col("policy") == policy) > 0

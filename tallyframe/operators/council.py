@@ -17,7 +17,7 @@ from tallyframe.functions.extract import clean_answer
 from tallyframe.functions.metrics import council_metric_name
 from tallyframe.functions.prompts import four_answer_prompt, synthesis_prompt, vote_prompt
 from tallyframe.functions.text import canonical_source, matched, strip, text_or_empty
-from tallyframe.operators.records import add_known, latest, sum_known
+from tallyframe.operators.records import add_known, last_by, latest, sum_known
 
 CALL_FIELDS = (
     "model",
@@ -57,9 +57,7 @@ def calls_by_role(calls: DataFrame, phases: Sequence[str] = ("answer", "vote"))
     for phase in phases:
         for role in fv.ROLES:
             mine = (F.col("phase") == phase) & (F.col("role") == role)
-            columns.append(
-                F.max_by(call, F.when(mine, F.col("row_ordinal"))).alias(f"{phase}_{role}")
-            )
+            columns.append(last_by(call, F.col("row_ordinal"), mine).alias(f"{phase}_{role}"))
     return calls.groupBy("example_id").agg(*columns)
 
 
@@ -319,6 +317,21 @@ def row_system_metrics(synth_latency: Column, synth_usage: Column) -> Column:
     )
 
 
+def _no_synthesis() -> tuple[Column, Column]:
+    """Latency and usage of a synthesiser that has not run."""
+    usage = "struct<input_tokens:bigint,output_tokens:bigint,total_tokens:bigint>"
+    return F.lit(None).cast("double"), F.lit(None).cast(usage)
+
+
+def _reference(metadata: Column) -> Column:
+    """What a council row was scored against."""
+    return F.struct(
+        metadata["gold_answer"].alias("gold_answer"),
+        metadata["gold_label"].alias("gold_label"),
+        F.coalesce(metadata["answerable"], F.lit(False)).alias("answerable"),
+    )
+
+
 def council_scores(
     scored_synth: DataFrame,
     specialist: DataFrame,
@@ -328,16 +341,25 @@ def council_scores(
 ) -> DataFrame:
     """Score row per synthesised record plus an error row per failed specialist row.
 
-    ``scored_synth`` are synthesis records with the columns of ``score_council_texts``; usage
-    and latency come from the specialist side.
+    ``scored_synth`` are synthesis records with the columns of ``score_council_texts``; usage,
+    latency and system metrics come from the specialist side. Ids may repeat: all specialist rows
+    of an id share one decision, so its cost is joined once per score row.
     """
     ok = F.col("status") == "success"
     cost = specialist.select(
         "example_id",
         F.col("specialist_usage").alias("usage"),
         F.col("specialist_latency_ms_total").alias("latency_ms"),
+        row_system_metrics(*_no_synthesis()).alias("system_metrics"),
+    ).dropDuplicates(["example_id"])
+    own = scored_synth.withColumn("_synth", F.struct(F.col("latency_ms"), F.col("usage")))
+    synth = own.drop("usage", "latency_ms", "model").join(cost, "example_id", "left")
+    synth = synth.withColumn(
+        "system_metrics",
+        F.col("system_metrics")
+        .withField("synthesizer_latency_ms", F.col("_synth.latency_ms"))
+        .withField("synthesizer_usage", F.col("_synth.usage")),
     )
-    synth = scored_synth.drop("usage", "latency_ms", "model").join(cost, "example_id", "left")
     primary = F.coalesce(F.try_element_at("metrics", F.col("primary_metric")), F.lit(0.0))
 
     def row(df: DataFrame, **columns: Column) -> DataFrame:
@@ -348,8 +370,10 @@ def council_scores(
             "example_id",
             canonical_source(F.col("row_metadata.source_dataset")).alias("source_dataset"),
             *[value.alias(name) for name, value in columns.items()],
+            _reference(F.col("row_metadata")).alias("reference"),
             "usage",
             "latency_ms",
+            "system_metrics",
             "error_type",
             "error_message",
             order,
@@ -361,11 +385,18 @@ def council_scores(
         metric_name=F.col("metric_name"),
         metrics=F.when(ok, F.col("metrics")),
         primary_value=F.when(ok, primary),
+        prediction=F.struct(
+            F.col("synthesized_text").alias("text"),
+            F.col("extracted_answer"),
+            F.col("winning_role"),
+            F.col("winning_model"),
+        ),
     )
     failed = specialist.filter("status <> 'success'").withColumns(
         {
             "usage": F.col("specialist_usage"),
             "latency_ms": F.col("specialist_latency_ms_total"),
+            "system_metrics": row_system_metrics(*_no_synthesis()),
             order: F.lit(-1).cast("bigint"),
         }
     )
@@ -375,6 +406,7 @@ def council_scores(
         metric_name=council_metric_name(F.col("row_metadata.source_dataset")),
         metrics=F.lit(None).cast("map<string,double>"),
         primary_value=F.lit(None).cast("double"),
+        prediction=F.lit(None).cast(from_synth.schema["prediction"].dataType),
     )
     return from_synth.unionByName(from_failed)
 
@@ -388,22 +420,25 @@ def council_predictions(
     order: str = "row_ordinal",
 ) -> DataFrame:
     """Final prediction per specialist row with one of four phase outcomes."""
-    last_synth = latest(
-        synth.select(
-            "example_id",
-            F.col("status").alias("synth_status"),
-            "synthesized_text",
-            F.col("latency_ms").alias("synth_latency_ms"),
-            F.col("usage").alias("synth_usage"),
-            F.col("error_type").alias("synth_error_type"),
-            F.col("error_message").alias("synth_error_message"),
-            order,
-        ),
-        ["example_id"],
-        order,
+    named = synth.withColumnsRenamed(
+        {
+            "status": "synth_status",
+            "latency_ms": "synth_latency_ms",
+            "usage": "synth_usage",
+            "error_type": "synth_error_type",
+            "error_message": "synth_error_message",
+        }
+    )
+    outcome = (
+        "synth_status",
+        "synthesized_text",
+        "synth_latency_ms",
+        "synth_usage",
+        "synth_error_type",
+        "synth_error_message",
     )
-    last_score = latest(scores.select("example_id", "primary_value", order), ["example_id"], order)
-    last_score = last_score.drop(order)
+    last_synth = latest(named, ["example_id"], order, outcome)
+    last_score = latest(scores, ["example_id"], order, ["primary_value"])
     joined = specialist.join(last_synth, "example_id", "left").join(
         last_score, "example_id", "left"
     )
@@ -470,7 +505,7 @@ def four_answer_rows(
     }
     wide = answers.groupBy("example_id").agg(
         *[
-            F.max_by("text", F.when(F.col("role") == role, F.col(order))).alias(name)
+            last_by(F.col("text"), F.col(order), F.col("role") == role).alias(name)
             for role, name in names.items()
         ]
     )
@@ -503,6 +538,25 @@ def majority_of_answers(
     )
 
 
+def voting_log(
+    members: DataFrame, council: DataFrame, keys: Sequence[str] = ("dataset", "sample_id")
+) -> DataFrame:
+    """Log entry per sample: the members' answers, raw and extracted, the council's answer, the
+    reference and the scores.
+
+    ``members`` has ``keys, model, answer, extracted_answer``, a row per council member, so that a
+    sample's list is bounded. ``council`` has ``keys, council_answer, reference, scores``.
+    """
+    listed = members.groupBy(*keys).agg(
+        F.array_sort(
+            F.collect_list(F.struct("model", "answer", F.col("extracted_answer").alias("extracted")))
+        ).alias("individual_answers")
+    )
+    return listed.join(council, list(keys)).select(
+        *keys, "individual_answers", "council_answer", "reference", "scores"
+    )
+
+
 def best_of_n_code(
     members: DataFrame,
     keys: Sequence[str] = ("example_id",),

@@ -12,15 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyframe.functions import fixed_values as fv
 from tallyframe.operators.ranking import exact_median
 from tallyframe.operators.records import join_null_safe
+from tallyframe.session import saved_table
 
 
 def batch_statistics(
     scores: DataFrame, keys: Sequence[str] = ("model", "dataset"), value: str = "score"
 ) -> DataFrame:
-    """Count, mean, population deviation, extremes and exact median per group."""
+    """Count, mean, population deviation, extremes and exact median per group.
+
+    The values are written once, as the median reads them three times.
+    """
+    scores = saved_table(scores.select(*keys, value), "batch-scores")
     number = F.col(value).cast("double")
     basic = scores.groupBy(*keys).agg(
         F.count(number).alias("n"),
@@ -69,8 +73,16 @@ def _rank_key() -> Column:
     return F.struct((-F.col("avg_score")).alias("s"), F.col("model").alias("m"))
 
 
-def leaderboard(rankings: DataFrame, datasets: Sequence[str] = fv.DATASETS) -> DataFrame:
-    """Models by mean rank with their rank in every dataset."""
+def leaderboard(rankings: DataFrame, datasets: Sequence[str] | None = None) -> DataFrame:
+    """Models by mean rank with their rank in every dataset.
+
+    Without names every ranked dataset gets a column; with names only those are averaged.
+    """
+    if datasets is None:
+        found = rankings.select("dataset").distinct().orderBy("dataset").collect()
+        datasets = [row[0] for row in found]
+    else:
+        rankings = rankings.filter(F.col("dataset").isin(*datasets))
     ranks = [
         F.max(F.when(F.col("dataset") == d, F.col("rank"))).alias(f"rank_{d}") for d in datasets
     ]
@@ -147,25 +159,60 @@ def cost_summary(calls: DataFrame) -> DataFrame:
     )
 
 
-def report(statistics: DataFrame) -> DataFrame:
-    """Nested report as one JSON row per model: its statistics by dataset, its board place.
+def metric_statistics(
+    scores: DataFrame, keys: Sequence[str] = ("model", "dataset"), costs: Sequence[str] = ()
+) -> DataFrame:
+    """Statistics of every metric of a ``metrics`` map per group, and the group's mean costs.
+
+    ``costs`` are columns such as tokens and latency, averaged over all rows of the group.
+    """
+    long = scores.select(*keys, F.explode("metrics").alias("metric", "score"))
+    stats = batch_statistics(long, (*keys, "metric"))
+    if not costs:
+        return stats
+    means = scores.groupBy(*keys).agg(*[F.avg(c).alias(f"mean_{c}") for c in costs])
+    return join_null_safe(stats, means, keys, "left")
+
+
+def report(statistics: DataFrame, primary_metrics: dict[str, str] | None = None) -> DataFrame:
+    """The whole report as one row: its sections, and all of them as JSON.
 
-    ``statistics`` is ``batch_statistics`` by model and dataset.
+    ``statistics`` is ``batch_statistics`` by model and dataset; ``primary_metrics`` names the
+    metric of each dataset, ``score`` by default. Lists are over models and datasets.
     """
+    statistics = saved_table(statistics, "report-cells")
     matrix = statistics.select("model", "dataset", F.col("mean").alias("avg_score"))
-    board = leaderboard(dataset_rankings(matrix)).select("model", "avg_rank")
-    cell = F.struct(
-        F.col("n").alias("count"),
-        *[F.round(name, 4).alias(name) for name in ("mean", "std", "min", "max", "median")],
+    rankings = saved_table(dataset_rankings(matrix), "report-ranks")
+    metric = F.lit("score")
+    for name, value in (primary_metrics or {}).items():
+        metric = F.when(F.col("dataset") == name, value).otherwise(metric)
+
+    def section(rows: DataFrame, name: str, *columns: Column | str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct(*columns)))
+        return rows.agg(listed.alias(name), F.lit(1).alias("_one"))
+
+    rounded = [F.round(name, 4).alias(name) for name in ("mean", "std", "min", "max", "median")]
+    cells = section(
+        statistics, "results", "model", "dataset", metric.alias("primary_metric"),
+        F.round("mean", 4).alias("primary_score"), F.col("n").alias("count"), *rounded,
+    )
+    ranks = section(rankings, "rankings", "dataset", "rank", "model", "score")
+    best = section(best_per_dataset(matrix), "best_per_dataset", "dataset", "best_model", "best_score")
+    by_model = rankings.groupBy("model").agg(
+        F.round(F.avg("rank"), 2).alias("avg_rank"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("dataset", "rank")))).alias("ranks"),
     )
-    by_dataset = statistics.groupBy("model").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("dataset", cell)))).alias(
-            "datasets"
-        )
-    )
-    joined = by_dataset.join(board, "model")
-    return joined.select(
-        "model",
-        "avg_rank",
-        F.to_json(F.struct("model", "avg_rank", "datasets")).alias("report"),
-    ).orderBy("avg_rank", "model")
+    # Maps have no order, so the board is sorted by what stands before them.
+    entry = F.struct("avg_rank", "model", "ranks")
+    order = lambda a, b: F.when((a.avg_rank < b.avg_rank) | ((a.avg_rank == b.avg_rank) & (a.model < b.model)), -1).otherwise(1)
+    board = by_model.agg(F.array_sort(F.collect_list(entry), order).alias("leaderboard"), F.lit(1).alias("_one"))
+    special = section(
+        specialist_map(matrix), "specialists", "dataset", "best_model",
+        F.round("best_score", 4).alias("best_score"), "runner_up_model",
+        F.round("runner_up_score", 4).alias("runner_up_score"),
+    )
+    whole = cells
+    for part in (ranks, best, board, special):
+        whole = whole.join(part, "_one")
+    whole = whole.drop("_one").withColumn("best_overall_model", F.get("leaderboard", F.lit(0))["model"])
+    return whole.withColumn("report", F.to_json(F.struct(*whole.columns)))

@@ -45,10 +45,12 @@ def match_cases(
     predictions: DataFrame,
     cases: DataFrame,
     keys: Sequence[str] = ("dataset_name", "example_id"),
-    order: str | None = None,
+    *,
+    order: str,
 ) -> DataFrame:
-    """Predictions with their case; duplicate cases resolve to the last by ``order``."""
-    unique = latest(cases, keys, order).drop(order) if order else cases
+    """Predictions with their case; cases of one id resolve to the last by ``order``."""
+    kept = [name for name in cases.columns if name != order]
+    unique = latest(cases, keys, order, kept)
     return predictions.join(unique, list(keys), "inner")
 
 
@@ -169,7 +171,8 @@ def cached_responses(
     requests: DataFrame, cache: DataFrame, key: str = "cache_key", order: str = "row_ordinal"
 ) -> DataFrame:
     """Requests with the stored response of their key, null on a miss."""
-    return requests.join(latest(cache, [key], order).drop(order), key, "left")
+    kept = [name for name in cache.columns if name != order]
+    return requests.join(latest(cache, [key], order, kept), key, "left")
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:

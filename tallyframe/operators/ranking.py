@@ -3,7 +3,8 @@
 A ``row_number`` window over a handful of huge groups (five datasets, three policies) would put
 each group into one task. The operators here first count rows per order-preserving bucket,
 which partial aggregation keeps cheap, and only look at single rows inside the one bucket that
-matters, or number rows inside each bucket on its own.
+matters. Row numbers come from a range partitioning: counts per range, offsets, and numbers inside
+each range.
 """
 
 from __future__ import annotations
@@ -17,10 +18,6 @@ from pyspark.sql import functions as F
 from tallyframe.operators.records import join_null_safe
 from tallyframe.session import saved_table
 
-# Rows per bucket when rows are numbered by an integer position.
-POSITIONS_PER_BUCKET = 65_536
-
-
 def shuffle_key(key: Column, seed: int) -> Column:
     """Seeded pseudo-random sort key that does not depend on the partitioning."""
     text = key.cast("string")
@@ -32,10 +29,6 @@ def shuffle_bucket(order: Column) -> Column:
     return F.substring(order, 1, 3)
 
 
-def position_bucket(order: Column, width: int = POSITIONS_PER_BUCKET) -> Column:
-    return F.floor(order / F.lit(width)).cast("long")
-
-
 def value_bucket(value: Column) -> Column:
     """Monotone logarithmic bucket of a number, about 0.1 % wide above 0.001."""
     size = F.floor(F.log1p(F.abs(value) * 1000) * 1024).cast("long")
@@ -54,6 +47,7 @@ def order_statistics(
 
     ``ranks`` maps an output column to a function from the group's row count to a rank, which may
     also use the group columns. Ranks past the end give the last value, below one they give null.
+    ``<name>_at`` is the place of the rank among the rows that tie with that value, from 1.
     A ``numeric`` order may crowd into one bucket; the bucket that is hit is then cut once more
     into even steps between its own extremes.
     """
@@ -108,7 +102,13 @@ def order_statistics(
     return (
         _at_rank(ranked)
         .groupBy(*groups)
-        .agg(*[F.max(F.when(F.col("_name") == name, F.col("_key"))).alias(name) for name in ranks])
+        .agg(
+            *[
+                F.max(F.when(F.col("_name") == name, F.col(column))).alias(name + suffix)
+                for name in ranks
+                for column, suffix in (("_key", ""), ("_rank", "_at"))
+            ]
+        )
     )
 
 
@@ -130,13 +130,19 @@ def take_first(
     order: Column,
     bucket: Column,
     quota: Callable[[Column], Column],
+    numeric: bool = False,
 ) -> DataFrame:
-    """First rows of each group up to a quota that may depend on the group's size.
+    """First rows of each group, exactly up to a quota that may depend on the group's size.
 
-    The full rows are scanned once against the group's cut-off; they are never sorted or
-    shuffled. ``order`` must be unique inside a group.
+    The full rows are scanned once against the group's cut-off; only those that tie with it are
+    ranked among each other, by a hash of the row.
     """
-    return mark_first(df, groups, order, bucket, quota, "_taken").filter("_taken").drop("_taken")
+    joined = _with_cutoffs(df, groups, order, bucket, quota, numeric)
+    ties = W.partitionBy(*groups, "_order").orderBy(F.xxhash64(*[F.col(c) for c in df.columns]))
+    tied = joined.filter(F.col("_order") == F.col("_cutoff"))
+    tied = tied.withColumn("_place", F.row_number().over(ties)).filter("_place <= _cutoff_at")
+    below = joined.filter(F.col("_order") < F.col("_cutoff"))
+    return below.select(df.columns).unionByName(tied.select(df.columns))
 
 
 def mark_first(
@@ -147,41 +153,53 @@ def mark_first(
     quota: Callable[[Column], Column],
     name: str,
 ) -> DataFrame:
-    """As ``take_first``, but keeps every row and says in ``name`` whether it was taken."""
-    cutoffs = order_statistics(df, groups, order, bucket, {"_cutoff": quota})
-    cutoffs = saved_table(cutoffs, "cutoffs")
-    keyed = df.withColumn("_order", order)
-    joined = join_null_safe(keyed, cutoffs, groups, "left")
+    """Keep every row and say in ``name`` whether it is among the first of its group.
+
+    Rows that tie with the cut-off are all marked, so ``order`` should be unique inside a group.
+    """
+    joined = _with_cutoffs(df, groups, order, bucket, quota)
     taken = F.coalesce(F.col("_order") <= F.col("_cutoff"), F.lit(False))
-    return joined.withColumn(name, taken).drop("_order", "_cutoff")
+    return joined.withColumn(name, taken).drop("_order", "_cutoff", "_cutoff_at")
 
 
-def number_rows(
+def _with_cutoffs(
     df: DataFrame,
     groups: Sequence[str],
-    position: str,
-    name: str,
-    width: int = POSITIONS_PER_BUCKET,
+    order: Column,
+    bucket: Column,
+    quota: Callable[[Column], Column],
+    numeric: bool = False,
 ) -> DataFrame:
-    """Dense row numbers from 1 inside each group, in the order of an integer column.
+    one = [] if groups else ["_one"]
+    df = df.withColumn("_one", F.lit(1)) if one else df
+    keys = [*groups, *one]
+    cutoffs = order_statistics(df, keys, order, bucket, {"_cutoff": quota}, numeric)
+    cutoffs = saved_table(cutoffs, "cutoffs")
+    joined = join_null_safe(df.withColumn("_order", order), cutoffs, keys, "left")
+    return joined.drop(*one)
+
 
-    Numbers inside a bucket of positions plus the rows of earlier buckets, so one task sees at
-    most one bucket.
+def number_rows(df: DataFrame, groups: Sequence[str], position: str, name: str) -> DataFrame:
+    """Dense row numbers from 1 inside each group, in the order of a column of any values.
+
+    Rows are dealt by ranges of group and position and written with their range; a row's number is
+    its place in the range plus the rows of its group in earlier ranges. Only the counts per range
+    meet in one window.
     """
-    keys = [*groups, "_bucket"]
-    bucketed = df.withColumn("_bucket", position_bucket(F.col(position), width))
-    per_bucket = bucketed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ranged = df.repartitionByRange(*groups, position).withColumn("_range", F.spark_partition_id())
+    ranged = saved_table(ranged, "ranged")
+    keys = [*groups, "_range"]
+    counts = ranged.groupBy(*keys).agg(F.count("*").alias("_n"))
     whole = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
-    before = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_bucket.select(
+    before = whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
         *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    offsets = saved_table(offsets, "offsets")
     inside = W.partitionBy(*keys).orderBy(position)
     return (
-        join_null_safe(bucketed, offsets, keys)
+        join_null_safe(ranged, saved_table(offsets, "offsets"), keys)
         .withColumn(name, F.col("_offset") + F.row_number().over(inside))
-        .drop("_bucket", "_offset")
+        .drop("_range", "_offset")
     )
 
 

@@ -8,16 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Last row per key by ``order``.
+def last_by(value: Column, order: Column, where: Column | None = None) -> Column:
+    """The value of the last row by ``order``, a null order coming first; aggregate.
+
+    Inside a struct a null order is smallest but still counts, so that a row is never lost.
+    """
+    place = F.struct(order)
+    return F.max_by(value, place if where is None else F.when(where, place))
+
+
+def latest(
+    df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str] | None = None
+) -> DataFrame:
+    """Last row per key by ``order``, with the columns ``values`` or all.
 
     An aggregate rather than a ranking window: each map task already reduces a hot key to one
-    row, so duplicates never meet in a single task.
+    row, so duplicates never meet in a single task. A null order comes first.
     """
-    values = [name for name in df.columns if name not in keys]
+    kept = [name for name in (df.columns if values is None else values) if name not in keys]
     return (
         df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), F.col(order)).alias("_row"))
+        .agg(last_by(F.struct(*kept), F.col(order)).alias("_row"))
         .select(*keys, "_row.*")
     )
 

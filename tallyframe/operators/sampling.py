@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions import fixed_values as fv
 from tallyframe.functions.text import stable_id, text_or_empty
 from tallyframe.operators.ranking import (
     mark_first,
     number_rows,
-    position_bucket,
     shuffle_bucket,
     shuffle_key,
     take_first,
+    value_bucket,
 )
 from tallyframe.operators.records import join_null_safe
 from tallyframe.session import saved_table
 
-# Samples up to this size are kept in one bounded heap per task.
-HEAP_SAMPLE_ROWS = 10_000
-
 
 def longer_than(column: Column, chars: int) -> Column:
     return F.length(text_or_empty(column)) > chars
@@ -38,10 +37,8 @@ def has_text(column: Column) -> Column:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """First n rows of a seeded shuffle over a unique key."""
+    """First n rows of a seeded shuffle; rows of one key tie and are told apart by a hash."""
     order = shuffle_key(F.col(key), seed)
-    if n <= HEAP_SAMPLE_ROWS:
-        return df.orderBy(order).limit(n)
     return take_first(df, [], order, shuffle_bucket(order), lambda _: F.lit(n))
 
 
@@ -198,8 +195,9 @@ def round_robin(
             df,
             [source],
             F.col(position),
-            position_bucket(F.col(position)),
+            value_bucket(F.col(position)),
             lambda _: F.lit(max_rows),
+            numeric=True,
         )
         turn = F.row_number().over(W.partitionBy(source).orderBy(position))
         numbered = candidates.withColumn("turn", turn)
@@ -223,8 +221,9 @@ def chunk_rows(
             df,
             groups,
             F.col(position),
-            position_bucket(F.col(position)),
+            value_bucket(F.col(position)),
             lambda _: F.lit(max_rows),
+            numeric=True,
         )
     numbered = number_rows(df, groups, position, "_rn")
     return numbered.withColumn(
@@ -247,96 +246,172 @@ def tail_rows(df: DataFrame, position: str, n: int = 2) -> DataFrame:
     return df.orderBy(F.col(position).desc()).limit(n)
 
 
-def _optional(raw: DataFrame, name: str) -> Column:
-    return F.col(name) if name in raw.columns else F.lit(None).cast("string")
+def _given(raw: DataFrame, *paths: str) -> Column:
+    """The first of the (nested) columns that the table has, null when it has none."""
+    for path in paths:
+        kind = raw.schema
+        for part in path.split("."):
+            fields = getattr(kind, "fields", [])
+            kind = next((f.dataType for f in fields if f.name == part), None)
+        if kind is not None and not isinstance(kind, T.StructType):
+            return F.col(path)
+    return F.lit(None).cast("string")
 
 
-def sample_multihop(
-    raw: DataFrame, n: int = 100, seed: int = 42, key: str = "row_ordinal"
-) -> DataFrame:
-    usable = raw.filter(longer_than(F.col("question"), fv.MIN_QUESTION_LENGTH))
-    rows = answerability_sample(usable, "answerable", key, n, seed=seed)
-    return unified_rows(
-        rows.withColumn("sample_order", shuffle_key(F.col(key), seed)),
-        "MuSiQue",
-        F.col("original_id"),
-        F.col("question"),
-        F.col("context"),
-        F.col("answer"),
-        metadata=F.struct(F.coalesce("answerable", F.lit(False)).alias("answerable")),
-        keep=("sample_order",),
-    )
+def _as_text(raw: DataFrame, *paths: str) -> Column:
+    """Text of a column; lists and structs as JSON."""
+    value = _given(raw, *paths)
+    kind = raw.select(value.alias("v")).schema["v"].dataType
+    nested = isinstance(kind, T.ArrayType | T.MapType)
+    return text_or_empty(F.to_json(value) if nested else value)
 
 
-def sample_narrative(
-    raw: DataFrame, n: int = 100, seed: int = 42, key: str = "row_ordinal"
-) -> DataFrame:
-    rows = seeded_sample(raw.filter(has_text(F.col("context"))), key, n, seed)
-    return unified_rows(
-        rows.withColumn("sample_order", shuffle_key(F.col(key), seed)),
-        "QuALITY",
-        F.col("original_id"),
-        F.col("question"),
-        F.col("context"),
-        F.to_json(F.array(F.struct(F.col("answer").alias("text")))),
-        keep=("sample_order",),
-    )
+def _evidence(raw: DataFrame) -> Column:
+    value = _given(raw, "evidence", "context")
+    kind = raw.select(value.alias("v")).schema["v"].dataType
+    nested = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType)
+    return flatten_evidence(value) if nested else _as_text(raw, "evidence", "context")
 
 
-def sample_facts(
-    raw: DataFrame, n: int = 100, seed: int = 42, key: str = "row_ordinal"
-) -> DataFrame:
-    usable = raw.filter(longer_than(F.col("question"), fv.MIN_CLAIM_LENGTH))
-    rows = label_balanced_sample(usable, "label", key, n, seed=seed)
-    return unified_rows(
-        rows.withColumn("sample_order", shuffle_key(F.col(key), seed)),
-        "FEVER",
-        F.col("original_id"),
-        F.col("question"),
-        flatten_evidence(F.col("evidence")) if "evidence" in raw.columns else F.col("context"),
-        F.col("label"),
-        F.col("label"),
-        keep=("sample_order",),
-    )
+@dataclass(frozen=True)
+class Source:
+    """How one benchmark's own rows are filtered, sampled and mapped.
 
+    ``stratum`` names the part of the sample a row competes in and ``quota`` the rows of each part
+    for a sample of n; the sample as a whole holds n rows at most. ``columns`` are the arguments of
+    ``unified_rows``. Rows may have the source's own nested shape or flat columns.
+    """
 
-def sample_math(
-    raw: DataFrame, n: int = 100, seed: int = 42, key: str = "row_ordinal"
-) -> DataFrame:
-    rows = seeded_sample(raw.filter(hard_levels(F.col("level"))), key, n, seed)
-    return unified_rows(
-        rows.withColumn("sample_order", shuffle_key(F.col(key), seed)),
-        "HARDMATH",
-        F.col("original_id"),
-        F.col("question"),
-        gold_answer=F.col("answer"),
-        keep=("sample_order",),
-    )
+    usable: Callable[[DataFrame], Column]
+    stratum: Callable[[DataFrame], Column]
+    quota: Callable[[int, Column], Column]
+    columns: Callable[[DataFrame], dict[str, Column]]
+
+
+def _one_stratum(_: DataFrame) -> Column:
+    return F.lit("all")
+
+
+def _whole(n: int, _: Column) -> Column:
+    return F.lit(n)
+
+
+def _answerable(raw: DataFrame) -> Column:
+    return F.coalesce(_given(raw, "answerable").cast("boolean"), F.lit(False))
+
+
+def _unanswerable_share(n: int, stratum: Column) -> Column:
+    unanswerable = max(1, int(round(n * 0.1)))
+    return F.when(stratum == "true", n - unanswerable).otherwise(unanswerable)
+
+
+SOURCES = {
+    "MuSiQue": Source(
+        lambda raw: longer_than(_given(raw, "question"), fv.MIN_QUESTION_LENGTH),
+        lambda raw: _answerable(raw).cast("string"),
+        _unanswerable_share,
+        lambda raw: {
+            "original_id": _given(raw, "id", "original_id"),
+            "question": _given(raw, "question"),
+            "context": _as_text(raw, "paragraphs", "context"),
+            "gold_answer": _given(raw, "answer"),
+            "metadata": F.struct(_answerable(raw).alias("answerable")),
+        },
+    ),
+    "QuALITY": Source(
+        lambda raw: has_text(_given(raw, "document.summary.text", "context")),
+        _one_stratum,
+        _whole,
+        lambda raw: {
+            "original_id": _given(raw, "document.id", "original_id"),
+            "question": _given(raw, "question.text", "question"),
+            "context": _given(raw, "document.summary.text", "context"),
+            "gold_answer": _as_text(raw, "answers", "answer"),
+        },
+    ),
+    "FEVER": Source(
+        lambda raw: longer_than(_given(raw, "claim", "question"), fv.MIN_CLAIM_LENGTH),
+        lambda raw: text_or_empty(_given(raw, "label")),
+        lambda n, _: F.lit(n // 3 + 1),
+        lambda raw: {
+            "original_id": _given(raw, "id", "original_id"),
+            "question": _given(raw, "claim", "question"),
+            "context": _evidence(raw),
+            "gold_answer": _given(raw, "label"),
+            "gold_label": _given(raw, "label"),
+        },
+    ),
+    "HARDMATH": Source(
+        lambda raw: hard_levels(_given(raw, "level")),
+        _one_stratum,
+        _whole,
+        lambda raw: {
+            "original_id": _given(raw, "unique_id", "original_id"),
+            "question": _given(raw, "problem", "question"),
+            "gold_answer": _given(raw, "solution", "answer"),
+        },
+    ),
+    "HumanEvalPlus": Source(
+        lambda raw: F.lit(True),
+        _one_stratum,
+        _whole,
+        lambda raw: {
+            "original_id": _given(raw, "task_id", "original_id"),
+            "question": _given(raw, "prompt", "question"),
+            "gold_answer": _given(raw, "canonical_solution", "answer"),
+            "unit_tests": _given(raw, "test", "unit_tests"),
+            "metadata": F.struct(text_or_empty(_given(raw, "entry_point")).alias("entry_point")),
+        },
+    ),
+}
 
 
-def sample_code(
-    raw: DataFrame, n: int = 100, seed: int = 42, key: str = "row_ordinal"
-) -> DataFrame:
-    rows = seeded_sample(raw, key, n, seed)
-    return unified_rows(
-        rows.withColumn("sample_order", shuffle_key(F.col(key), seed)),
-        "HumanEvalPlus",
-        F.col("original_id"),
-        F.col("question"),
-        gold_answer=F.col("answer"),
-        unit_tests=_optional(raw, "unit_tests"),
-        metadata=F.struct(text_or_empty(_optional(raw, "entry_point")).alias("entry_point")),
-        keep=("sample_order",),
-    )
+def source_rows(raw: DataFrame, source: str, keep: Sequence[str] = ()) -> DataFrame:
+    """All rows of one benchmark in the shared schema."""
+    return unified_rows(raw, source, keep=keep, **SOURCES[source].columns(raw))
 
 
-SOURCE_SAMPLERS = {
-    "MuSiQue": sample_multihop,
-    "QuALITY": sample_narrative,
-    "FEVER": sample_facts,
-    "HARDMATH": sample_math,
-    "HumanEvalPlus": sample_code,
-}
+def sample_sources(
+    raw_by_source: dict[str, DataFrame], n: int = 100, seed: int = 42, key: str = "row_ordinal"
+) -> DataFrame:
+    """Unified samples of n rows per source, with their ``sample_order``.
+
+    The tables are scanned once for keys, strata and filters; all quotas are cut off together, and
+    only the chosen rows are read again with their texts.
+    """
+    slim = union_sources(
+        [
+            raw.filter(SOURCES[name].usable(raw)).select(
+                F.lit(name).alias("_source"),
+                SOURCES[name].stratum(raw).alias("_stratum"),
+                shuffle_key(F.col(key), seed).alias("_order"),
+                F.col(key).cast("string").alias("_key"),
+            )
+            for name, raw in raw_by_source.items()
+        ]
+    )
+    quota = F.lit(0)
+    for name in raw_by_source:
+        mine = F.col("_source") == name
+        quota = F.when(mine, SOURCES[name].quota(n, F.col("_stratum"))).otherwise(quota)
+    slim = saved_table(slim, "sample-keys").withColumnRenamed("_order", "_sample_order")
+    order = F.col("_sample_order")
+    firsts = take_first(slim, ["_source", "_stratum"], order, shuffle_bucket(order), lambda _: quota)
+    # A few quotas per source are left, of which n rows stay.
+    place = F.row_number().over(W.partitionBy("_source").orderBy("_sample_order", "_stratum"))
+    chosen = firsts.withColumn("_place", place).filter(F.col("_place") <= n)
+    chosen = chosen.groupBy("_source", "_key").agg(F.count("*").alias("_rows"))
+    chosen = saved_table(chosen, "sample-chosen")
+    parts = []
+    for name, raw in raw_by_source.items():
+        mine = chosen.filter(F.col("_source") == name).select("_key", "_rows")
+        keyed = raw.filter(SOURCES[name].usable(raw)).withColumn("_key", F.col(key).cast("string"))
+        # Rows of one key are told apart by a hash; no more of them stay than were chosen.
+        same = W.partitionBy("_key").orderBy(F.xxhash64(F.col(key), SOURCES[name].stratum(raw)))
+        rows = keyed.join(mine, "_key").withColumn("_nth", F.row_number().over(same))
+        rows = rows.filter("_nth <= _rows").withColumn("sample_order", shuffle_key(F.col(key), seed))
+        parts.append(source_rows(rows, name, keep=("sample_order",)))
+    return union_sources(parts)
 
 
 def build_mixed_dataset(
@@ -344,11 +419,9 @@ def build_mixed_dataset(
     rows_per_source: int = 100,
     dev_share: float = 0.6,
     seed: int = 42,
+    key: str = "row_ordinal",
 ) -> DataFrame:
     """Sample every source, unite, flag the hallucination subset and split per source."""
-    parts = [
-        SOURCE_SAMPLERS[name](raw, rows_per_source, seed) for name, raw in raw_by_source.items()
-    ]
-    mixed = saved_table(union_sources(parts), "mixed-sample")
+    mixed = saved_table(sample_sources(raw_by_source, rows_per_source, seed, key), "mixed-sample")
     flagged = flag_subset(mixed, "sample_order")
     return split_dev_test(flagged, "sample_order", dev_share, seed).drop("sample_order")

@@ -13,7 +13,7 @@ from tallyframe.functions import extract, metrics
 from tallyframe.functions import fixed_values as fv
 from tallyframe.functions.json_fields import gold_answers
 from tallyframe.functions.normalize import tokenize
-from tallyframe.functions.text import canonical_source, let, strip, text_or_empty
+from tallyframe.functions.text import canonical_source, let, lookup, strip, text_or_empty
 from tallyframe.operators.cases import CASE_BUILDERS
 from tallyframe.operators.records import latest
 
@@ -22,13 +22,18 @@ METRIC_MAP = "map<string,double>"
 
 @dataclass(frozen=True)
 class Profile:
-    """How one dataset builds cases, reads answers and names its metrics."""
+    """How one dataset builds cases, reads answers and scores them.
+
+    ``metrics`` takes the extracted answer and the reference struct and gives a Column per metric
+    name. The built-in profiles leave it out, as theirs are computed together.
+    """
 
     name: str
     metric_names: tuple[str, ...]
     primary_metric: str
     cases: Callable[..., DataFrame]
     extract: Callable[[Column], Column]
+    metrics: Callable[[Column, Column], dict[str, Column]] | None = None
 
 
 PROFILES = {
@@ -63,7 +68,7 @@ def with_test_outcomes(
     order: str = "row_ordinal",
 ) -> DataFrame:
     """Add ``exit_code`` of the last test run of each answer; null when it was never run."""
-    last = latest(outcomes.select(*keys, "exit_code", order), keys, order).drop(order)
+    last = latest(outcomes, keys, order, ["exit_code"])
     return predictions.join(last, list(keys), "left")
 
 
@@ -129,10 +134,22 @@ def _metric_map(**values: Column) -> Column:
     )
 
 
+def score_suite(
+    matched: DataFrame,
+    suite_id: str = "suite",
+    metric: Callable[[DataFrame, str], DataFrame] | None = None,
+) -> DataFrame:
+    """Score records of a suite by any scorer of (matched, suite_id), the profiles by default."""
+    return (metric or score_predictions)(matched, suite_id)
+
+
 def score_predictions(
-    matched: DataFrame, suite_id: str = "suite", ruleset: str = "profile"
+    matched: DataFrame,
+    suite_id: str = "suite",
+    ruleset: str = "profile",
+    profiles: Sequence[Profile] = (),
 ) -> DataFrame:
-    """Score record per prediction.
+    """Score record per prediction. ``profiles`` adds datasets or replaces built-in ones.
 
     ``matched`` holds predictions with their case: ``dataset_name, model, example_id, status,
     response_text, reference, answerable`` and, for code, ``exit_code``. ``ruleset='doc'``
@@ -142,6 +159,7 @@ def score_predictions(
     ok = F.col("status") == "success"
     dataset = F.col("dataset_name")
     rules = extract.LOOSE_EXTRACTORS if loose else extract.PROFILE_EXTRACTORS
+    rules = rules | {p.name: p.extract for p in profiles}
     exit_code = F.col("exit_code") if "exit_code" in matched.columns else F.lit(None)
     extracted = extract.extract_answer(
         text_or_empty(F.col("response_text")), F.when(ok, dataset), rules, unknown="null"
@@ -169,8 +187,12 @@ def score_predictions(
         math = _metric_map(
             math_exact_match=metrics.math_exact_match(answer, F.col("reference.answer"))
         )
+    scored = F.when(F.lit(False), F.lit(None).cast(METRIC_MAP))
+    for profile in profiles:
+        own = _metric_map(**profile.metrics(answer, F.col("reference")))
+        scored = scored.when(dataset == profile.name, own)
     scored = (
-        F.when(dataset == "musique", _metric_map(**multihop))
+        scored.when(dataset == "musique", _metric_map(**multihop))
         .when(dataset == "quality", _metric_map(**qa))
         .when(
             dataset == "fever",
@@ -179,12 +201,17 @@ def score_predictions(
         .when(dataset == "hardmath", math)
         .when(dataset == "humaneval_plus", _metric_map(pass_at_1=passed(answer, exit_code)))
     )
-    unknown = ~F.coalesce(dataset.isin(*fv.DATASETS), F.lit(False))
-    return score_records(staged.withColumn("metrics", F.when(ok, scored)), suite_id, unknown)
+    known = (*fv.DATASETS, *[p.name for p in profiles])
+    unknown = ~F.coalesce(dataset.isin(*known), F.lit(False))
+    named = {p.name: p.primary_metric for p in profiles}
+    return score_records(staged.withColumn("metrics", F.when(ok, scored)), suite_id, unknown, named)
 
 
 def score_records(
-    df: DataFrame, suite_id: str, metric_failed: Column | None = None
+    df: DataFrame,
+    suite_id: str,
+    metric_failed: Column | None = None,
+    metric_names: dict[str, str] | None = None,
 ) -> DataFrame:
     """Three-way status from a prediction status and a metric map that may be null.
 
@@ -205,6 +232,9 @@ def score_records(
     failed = F.nullif(given("error_type"), F.lit(""))
     reason = F.nullif(given("error_message"), F.lit(""))
     unknown = F.concat(F.lit("Unknown dataset: "), F.col("dataset_name"))
+    metric_name = metrics.primary_metric(F.col("dataset_name"))
+    if metric_names:
+        metric_name = F.coalesce(lookup(metric_names, F.col("dataset_name")), metric_name)
     staged = df.withColumn("_status", status)
     is_prediction_error = F.col("_status") == "prediction_error"
     is_metric_error = F.col("_status") == "metric_error"
@@ -216,7 +246,7 @@ def score_records(
         F.col("_status").alias("status"),
         F.coalesce("status", F.lit("unknown")).alias("prediction_status"),
         F.when(F.col("_status") == "scored", F.col("metrics")).alias("metrics"),
-        metrics.primary_metric(F.col("dataset_name")).alias("metric_name"),
+        metric_name.alias("metric_name"),
         given("extracted_answer").alias("extracted_answer"),
         F.when(is_prediction_error, F.coalesce(failed, F.lit("PredictionError")))
         .when(is_metric_error, F.coalesce(failed, F.lit("ValueError")))

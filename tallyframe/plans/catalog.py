@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.plans import councils, files, preparation, reports, requests, streams, texts
+from tallyframe.plans import councils, files, logs, preparation, reports, requests, streams, texts
 from tallyframe.plans.registry import QUERIES
 
-MODULES = (texts, preparation, requests, councils, reports, files, streams)
+MODULES = (texts, preparation, requests, councils, reports, files, streams, logs)
 
 __all__ = ["MODULES", "QUERIES"]

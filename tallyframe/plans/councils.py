@@ -195,14 +195,14 @@ def best_of_n_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return council.best_of_n_code(members)
 
 
-# Council rows with all four outcomes: calls and synthesiser responses exist for part of the
-# examples only, and synthesiser responses repeat.
-_FLOW_SQL = f"""{DECIDED.replace('VOTES', '(SELECT * FROM fx_votes WHERE latency_ms >= 20)')},
-asked AS (SELECT DISTINCT CAST(floor(event_id / 3) AS BIGINT) AS id FROM events),
-wrote AS (SELECT CAST(floor(event_id / 3) AS BIGINT) AS id, arg_max(event_type, event_id) AS kind,
+# Council rows with all four outcomes. Requests, calls and synthesiser responses are numbered at
+# different rates, so that the last requests have no calls and the last called ones no response.
+_FLOW_SQL = f"""{_DECIDED},
+asked AS (SELECT DISTINCT CAST(floor(event_id / 2) AS BIGINT) AS id FROM events),
+wrote AS (SELECT CAST(floor(event_id / 4) AS BIGINT) AS id, arg_max(event_type, event_id) AS kind,
   arg_max(value, event_id) AS synth_latency, arg_max(user_id % 3, event_id) AS pick,
   arg_max(user_id, event_id) AS who, arg_max(CAST(floor(value) AS BIGINT) % 2, event_id) AS exit_code
-  FROM events WHERE value < 60 GROUP BY 1),
+  FROM events GROUP BY 1),
 flow AS (SELECT CAST(id AS VARCHAR) AS example_id,
   CASE id % 5 WHEN 0 THEN 'musique' WHEN 1 THEN 'quality' WHEN 2 THEN 'fever' WHEN 3 THEN 'hardmath'
     ELSE 'humaneval_plus' END AS source_dataset,
@@ -220,12 +220,19 @@ judged AS (SELECT *, CASE WHEN phase_status <> 'completed' THEN NULL
   ELSE CAST(exit_code = 0 AS DOUBLE) END AS primary_value FROM flow)"""
 
 
-def council_flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Specialist records, synthesis records and score records of one council run."""
+def council_flow(
+    spark: SparkSession, sf_dir: str, repeated: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Specialist records, synthesis records and score records of one council run.
+
+    With ``repeated`` two council rows share each id.
+    """
     events = table(spark, sf_dir, "events")
-    example = F.floor(F.col("event_id") / 3).cast("bigint")
+    asked = F.floor(F.col("event_id") / 2).cast("bigint")
+    answered = F.floor(F.col("event_id") / 4).cast("bigint")
     names = F.array(*[F.lit(n) for n in ("MuSiQue", "QuALITY", "FEVER", "HARDMATH", "Human")])
-    requests = events.select(example.alias("id")).distinct().select(
+    rows = events.select(asked.alias("id"))
+    requests = (rows if repeated else rows.distinct()).select(
         F.col("id").cast("string").alias("example_id"),
         F.lit("some context").alias("context"),
         F.struct(
@@ -236,7 +243,7 @@ def council_flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
             F.concat(F.lit("q"), F.col("id").cast("string")).alias("question"),
         ).alias("row_metadata"),
     )
-    calls = council_calls(spark, sf_dir).filter("latency_ms >= 20")
+    calls = council_calls(spark, sf_dir)
     # The phases are tables of their own, as they would be with inference in between.
     specialist = saved_table(
         council.specialist_records(requests, council.decide(calls)), "specialist"
@@ -247,8 +254,8 @@ def council_flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         .otherwise(F.concat(F.lit("user "), F.col("user_id").cast("string")))
     )
     none = F.lit(None)
-    responses = events.filter("value < 60").select(
-        example.cast("string").alias("example_id"),
+    responses = events.select(
+        answered.cast("string").alias("example_id"),
         F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"),
         F.concat(F.lit("<think>so</think>\nFinal Answer: "), said).alias("text"),
         F.lit("synth").alias("model"),

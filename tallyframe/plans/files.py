@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyframe import schemas
 from tallyframe.functions import fixed_values as fv
+from tallyframe.functions import metrics
 from tallyframe.functions.extract import multihop_answer
-from tallyframe.operators import cases, comparison, leaderboard, predictions, sampling, summaries
+from tallyframe.operators import cases, comparison, council, leaderboard, predictions, sampling, summaries
 from tallyframe.plans import sql_text as q
 from tallyframe.plans.fixtures import view
 from tallyframe.plans.registry import query
@@ -103,13 +104,11 @@ def appended_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT query_id AS example_id FROM fx_log
-    WHERE completed_at < TIMESTAMP '2024-01-15 00:00:00'"""
+    """SELECT DISTINCT query_id AS example_id FROM fx_log"""
 )
 def recorded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "recorded")
-    early = _predictions(spark, sf_dir).filter(F.col("completed_at") < "2024-01-15")
-    writers.append_predictions(early, path, reset=True)
+    writers.append_predictions(_predictions(spark, sf_dir), path, reset=True)
     return readers.read_recorded_ids(spark, path)
 
 
@@ -123,18 +122,7 @@ def suite_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _predictions(spark, sf_dir).withColumn(
         "pair", F.concat_ws("__", "dataset_name", "model")
     )
-    staged = work_path(spark, "staged")
-    rows.hint("rebalance", F.col("pair")).write.partitionBy("pair").json(staged)
-    context = spark.sparkContext
-    fs_path = context._jvm.org.apache.hadoop.fs.Path
-    system = fs_path(staged).getFileSystem(context._jsc.hadoopConfiguration())
-    for folder in system.globStatus(fs_path(f"{staged}/pair=*")):
-        pair = folder.getPath().getName().split("=", 1)[1]
-        target = f"{suite}/predictions/{pair}/predictions"
-        system.mkdirs(fs_path(target))
-        for index, part in enumerate(system.globStatus(fs_path(f"{folder.getPath()}/part-*"))):
-            name = f"{pair}.jsonl" if index == 0 else f"{pair}__{index}.jsonl"
-            system.rename(part.getPath(), fs_path(f"{target}/{name}"))
+    rows.hint("rebalance", F.col("pair")).write.partitionBy("pair").json(f"{suite}/predictions")
     found = readers.read_suite(spark, suite)
     return found.groupBy("file_dataset", "file_model").agg(
         F.count("*").alias("n"), F.count("latency_ms").alias("timed")
@@ -183,40 +171,41 @@ def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT dataset, CAST(example_id AS VARCHAR) AS sample_id, answer_a, answer_b, answer_c FROM
-    (SELECT example_id, CASE example_id % 5 WHEN 0 THEN 'musique' WHEN 1 THEN 'quality' WHEN 2 THEN 'fever'
-      WHEN 3 THEN 'hardmath' ELSE 'humaneval_plus' END AS dataset,
-      max(CASE role WHEN 'qa' THEN answer_text END) AS answer_a,
-      max(CASE role WHEN 'reasoning' THEN answer_text END) AS answer_b,
-      max(CASE role WHEN 'general' THEN answer_text END) AS answer_c FROM fx_votes GROUP BY 1)"""
+    """WITH said AS (SELECT CASE example_id % 5 WHEN 0 THEN 'musique' WHEN 1 THEN 'quality' WHEN 2 THEN 'fever'
+      WHEN 3 THEN 'hardmath' ELSE 'humaneval_plus' END AS dataset, CAST(example_id AS VARCHAR) AS sample_id, role,
+      row_ordinal, answer_text, replace(answer_text, 'answer ', '') AS extracted FROM fx_votes),
+    counted AS (SELECT dataset, sample_id, extracted, count(*) AS n, min(row_ordinal) AS first FROM said GROUP BY ALL),
+    won AS (SELECT dataset, sample_id, arg_max(extracted, struct_pack(n := n, f := -first)) AS council_answer
+      FROM counted GROUP BY ALL)
+    SELECT s.dataset, s.sample_id, s.role AS model, s.answer_text AS answer, s.extracted, w.council_answer,
+    'click' AS reference, CAST(w.council_answer = 'click' AS DOUBLE) AS exact_match
+    FROM said s JOIN won w USING (dataset, sample_id)"""
 )
 def voting_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-sample voting log. Its answers are one entry per council role, hence bounded."""
+    """Per-sample voting log, written and read back; one row per member here."""
     votes = view(spark, sf_dir, "fx_votes")
     names = F.array(*[F.lit(d) for d in fv.DATASETS])
-    per_role = [
-        F.max_by("answer_text", F.when(F.col("role") == role, F.col("row_ordinal"))).alias(role)
-        for role in fv.ROLES
-    ]
-    wide = votes.groupBy("example_id").agg(*per_role)
-    log = wide.select(
+    members = votes.select(
         F.element_at(names, (F.col("example_id") % 5 + 1).cast("int")).alias("dataset"),
         F.col("example_id").cast("string").alias("sample_id"),
-        F.array(
-            *[F.struct(F.lit(r).alias("model"), F.col(r).alias("answer")) for r in fv.ROLES]
-        ).alias("individual_answers"),
+        F.col("role").alias("model"),
+        F.col("answer_text").alias("answer"),
+        F.replace("answer_text", F.lit("answer "), F.lit("")).alias("extracted_answer"),
+        F.col("row_ordinal").alias("position"),
+    )
+    chosen = council.majority_of_answers(members, ("dataset", "sample_id"))
+    right = metrics.exact_match(F.col("council_answer"), F.lit("click"))
+    judged = chosen.withColumns(
+        {"reference": F.lit("click"), "scores": F.create_map(F.lit("exact_match"), right)}
     )
+    log = council.voting_log(members, judged)
     path = work_path(spark, "voting")
     writers.write_voting_log(log, path)
     back = spark.read.schema(log.schema).json(path)
     return back.select(
-        "dataset",
-        "sample_id",
-        *[
-            F.get("individual_answers", F.lit(i))["answer"].alias(f"answer_{x.lower()}")
-            for i, x in enumerate(fv.LABELS)
-        ],
-    )
+        "dataset", "sample_id", F.explode("individual_answers").alias("one"), "council_answer", "reference",
+        F.element_at("scores", F.lit("exact_match")).alias("exact_match"),
+    ).select("dataset", "sample_id", "one.*", "council_answer", "reference", "exact_match")
 
 
 @query(

@@ -14,6 +14,52 @@ from tallyframe.plans.fixtures import table, view
 from tallyframe.plans.registry import query
 from tallyframe.sources import readers
 
+def raw_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Rows of the five benchmarks in the nested shapes of their own files."""
+    raw = view(spark, sf_dir, "fx_raw")
+    original = F.col("original_id")
+    shapes = {
+        "MuSiQue": (
+            original.alias("id"),
+            "question",
+            F.col("context").alias("paragraphs"),
+            "answer",
+            "answerable",
+        ),
+        "QuALITY": (
+            F.struct(
+                original.alias("id"), F.struct(F.col("context").alias("text")).alias("summary")
+            ).alias("document"),
+            F.struct(F.col("question").alias("text")).alias("question"),
+            F.array(F.struct(F.col("answer").alias("text"))).alias("answers"),
+        ),
+        "FEVER": (
+            original.alias("id"),
+            F.col("question").alias("claim"),
+            F.array(F.array(F.lit("page"), F.lit("0"), F.col("context"))).alias("evidence"),
+            "label",
+        ),
+        "HARDMATH": (
+            original.alias("unique_id"),
+            F.col("question").alias("problem"),
+            F.col("answer").alias("solution"),
+            F.col("source").alias("answer"),
+            "level",
+        ),
+        "HumanEvalPlus": (
+            original.alias("task_id"),
+            F.col("question").alias("prompt"),
+            F.col("answer").alias("canonical_solution"),
+            F.col("label").alias("test"),
+            F.col("lang").alias("entry_point"),
+        ),
+    }
+    return {
+        name: raw.filter(F.col("source_dataset") == name).select("row_ordinal", *columns)
+        for name, columns in shapes.items()
+    }
+
+
 _CANONICAL = """CASE WHEN lower(source_dataset) LIKE '%musique%' THEN 'musique'
  WHEN lower(source_dataset) LIKE '%quality%' THEN 'quality'
  WHEN lower(source_dataset) LIKE '%fever%' THEN 'fever'
@@ -49,42 +95,16 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN 'FEVER' THEN 'fact-check' WHEN 'HARDMATH' THEN 'math' ELSE 'code' END AS skill_tags,
     CAST(original_id AS VARCHAR) AS original_id,
     CASE source_dataset WHEN 'MuSiQue' THEN '{{"answerable":' || CAST(answerable AS VARCHAR) || '}}'
-      WHEN 'HumanEvalPlus' THEN '{{"entry_point":""}}' ELSE '{{}}' END AS metadata
+      WHEN 'HumanEvalPlus' THEN '{{"entry_point":"' || lang || '"}}' ELSE '{{}}' END AS metadata,
+    CASE source_dataset WHEN 'HumanEvalPlus' THEN label ELSE '' END AS unit_tests
     FROM fx_raw"""
 )
 def unified_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = view(spark, sf_dir, "fx_raw")
-    parts = []
-    for source in fv.SOURCE_NAMES:
-        mine = raw.filter(F.col("source_dataset") == source)
-        extra = {
-            "MuSiQue": {
-                "context": F.col("context"),
-                "gold_answer": F.col("answer"),
-                "metadata": F.struct("answerable"),
-            },
-            "QuALITY": {
-                "context": F.col("context"),
-                "gold_answer": F.to_json(F.array(F.struct(F.col("answer").alias("text")))),
-            },
-            "FEVER": {
-                "context": F.col("context"),
-                "gold_answer": F.col("label"),
-                "gold_label": F.col("label"),
-            },
-            "HARDMATH": {"gold_answer": F.col("answer")},
-            "HumanEvalPlus": {
-                "gold_answer": F.col("answer"),
-                "metadata": F.struct(F.lit("").alias("entry_point")),
-            },
-        }[source]
-        parts.append(
-            sampling.unified_rows(
-                mine, source, F.col("original_id"), F.col("question"), **extra
-            )
-        )
+    parts = [
+        sampling.source_rows(rows, name) for name, rows in raw_sources(spark, sf_dir).items()
+    ]
     whole = sampling.union_sources(parts)
-    return whole.drop("unit_tests", "hallucination_subset", "split").withColumn(
+    return whole.drop("hallucination_subset", "split").withColumn(
         "skill_tags", F.array_join("skill_tags", ",")
     )
 
@@ -191,9 +211,7 @@ def _sampled(source: str, condition: str, rank: str = "TRUE") -> str:
       CASE WHEN dev THEN 'dev' ELSE 'mini-test' END AS split FROM placed"""
 )
 def mixed_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = view(spark, sf_dir, "fx_raw")
-    sources = {name: raw.filter(F.col("source_dataset") == name) for name in fv.SOURCE_NAMES}
-    built = sampling.build_mixed_dataset(sources)
+    built = sampling.build_mixed_dataset(raw_sources(spark, sf_dir))
     return built.select("id", "source_dataset", "original_id", "hallucination_subset", "split")
 
 
@@ -205,8 +223,9 @@ def tag_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = view(spark, sf_dir, "fx_raw").select("row_ordinal").withColumn(
         "skill_tags", F.array(F.lit("code"))
     )
-    newest = raw.agg(F.max("row_ordinal")).first()[0]
-    tagged = sampling.add_tag(raw, "row_ordinal", newest, "fact-verification")
+    newest = raw.agg(F.max("row_ordinal").alias("newest"), F.lit(1).alias("one"))
+    joined = raw.withColumn("one", F.lit(1)).join(newest, "one")
+    tagged = sampling.add_tag(joined, "row_ordinal", F.col("newest"), "fact-verification")
     return tagged.select("row_ordinal", F.array_join("skill_tags", ",").alias("skill_tags"))
 
 
@@ -281,6 +300,18 @@ def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "row_ordinal")
 
 
+@query(
+    """SELECT o_orderkey, CAST(row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS BIGINT) AS turn
+    FROM orders"""
+)
+def numbered_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in the order of a key whose values are sparse."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    keyed = orders.withColumn("place", F.md5(F.col("o_orderkey").cast("string")))
+    numbered = ranking.number_rows(keyed, [], "place", "turn")
+    return numbered.select("o_orderkey", F.col("turn").cast("bigint").alias("turn"))
+
+
 @query(
     """SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type
     FROM events GROUP BY user_id"""

@@ -362,7 +362,7 @@ def best_per_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaderboard.best_per_dataset(_matrix(spark, sf_dir))
 
 
-_YEARS = ("1995", "1996", "1997", "1998")
+_YEARS = ("1995", "1996", "1997", "1998", "1999", "2000", "2001")
 _PIVOT = ", ".join(f"max(CASE WHEN dataset = '{y}' THEN rank END) AS rank_{y}" for y in _YEARS)
 
 
@@ -370,6 +370,7 @@ _PIVOT = ", ".join(f"max(CASE WHEN dataset = '{y}' THEN rank END) AS rank_{y}" f
     f"""WITH {_RANKED} SELECT model, round(avg(rank), 2) AS avg_rank, {_PIVOT} FROM ranked GROUP BY model"""
 )
 def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years are named, as a table of any scale may lack some of them."""
     rankings = leaderboard.dataset_rankings(_matrix(spark, sf_dir))
     return leaderboard.leaderboard(rankings, _YEARS)
 
@@ -380,7 +381,7 @@ def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def best_overall_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rankings = leaderboard.dataset_rankings(_matrix(spark, sf_dir))
-    return leaderboard.best_overall(leaderboard.leaderboard(rankings, _YEARS))
+    return leaderboard.best_overall(leaderboard.leaderboard(rankings))
 
 
 @query(
@@ -446,44 +447,90 @@ def cost_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_RANKED} SELECT model, round(avg(rank), 2) AS avg_rank, count(*) AS datasets,
-    (SELECT round(avg(score), 4) FROM grades g WHERE g.model = ranked.model AND g.dataset = '1996') AS mean_1996,
-    (SELECT count(*) FROM grades g WHERE g.model = ranked.model AND g.dataset = '1997') AS count_1997
-    FROM ranked GROUP BY model"""
+    f"""WITH {_RANKED}, cells AS (SELECT model, dataset, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS std,
+      min(score) AS low, max(score) AS high, median(score) AS mid FROM grades GROUP BY ALL),
+    board AS (SELECT model, round(avg(rank), 2) AS avg_rank FROM ranked GROUP BY model)
+    SELECT 'result' AS section, model AS a, dataset AS b, field, value FROM (SELECT model, dataset,
+      unnest(['primary_score', 'count', 'mean', 'std', 'min', 'max', 'median']) AS field,
+      unnest([round(mean, 4), CAST(n AS DOUBLE), round(mean, 4), round(std, 4), round(low, 4), round(high, 4), round(mid, 4)]) AS value FROM cells)
+    UNION ALL SELECT 'ranking', dataset, model, CAST(rank AS VARCHAR), round(avg_score, 4) FROM ranked
+    UNION ALL SELECT 'best', dataset, model, 'score', round(avg_score, 4) FROM ranked WHERE rank = 1
+    UNION ALL SELECT 'board', model, 'all', 'avg_rank', avg_rank FROM board
+    UNION ALL SELECT 'board', model, dataset, 'rank', CAST(rank AS DOUBLE) FROM ranked
+    UNION ALL SELECT 'specialist', dataset, model, CASE rank WHEN 1 THEN 'best' ELSE 'runner_up' END, round(avg_score, 4)
+      FROM ranked WHERE rank <= 2
+    UNION ALL (SELECT 'overall', model, 'all', 'avg_rank', avg_rank FROM board ORDER BY avg_rank, model LIMIT 1)"""
 )
 def nested_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the report, read back from its JSON."""
     made = leaderboard.report(leaderboard.batch_statistics(grades(spark, sf_dir)))
+    kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in made.drop("report").schema)
+    whole = made.select(F.from_json("report", f"struct<{kinds}>").alias("r")).select("r.*")
 
-    def field(path: str, kind: str):
-        return F.get_json_object("report", path).cast(kind)
+    def rows(section: str, name: str, a: str, b: str | None, *values: tuple) -> DataFrame:
+        items = whole.select(F.explode(section).alias("x"))
+        pairs = F.array(
+            *[F.struct(F.lit(f).alias("field"), F.col(f"x.{v}").cast("double").alias("value")) for f, v in values]
+        )
+        second = F.lit("all") if b is None else F.col(f"x.{b}")
+        listed = items.select(F.lit(name).alias("section"), F.col(f"x.{a}").alias("a"), second.alias("b"), F.explode(pairs).alias("p"))
+        return listed.select("section", "a", "b", "p.field", "p.value")
+
+    fields = ("primary_score", "count", "mean", "std", "min", "max", "median")
+    results = rows("results", "result", "model", "dataset", *[(f, f) for f in fields])
+    ranking = whole.select(F.explode("rankings").alias("x")).select(
+        F.lit("ranking").alias("section"), "x.dataset", "x.model", F.col("x.rank").cast("string"), "x.score"
+    )
+    best = rows("best_per_dataset", "best", "dataset", "best_model", ("score", "best_score"))
+    board = rows("leaderboard", "board", "model", None, ("avg_rank", "avg_rank"))
+    ranks = whole.select(F.explode("leaderboard").alias("x")).select("x.model", F.explode("x.ranks").alias("dataset", "rank"))
+    ranks = ranks.select(F.lit("board"), "model", "dataset", F.lit("rank"), F.col("rank").cast("double"))
+    first = rows("specialists", "specialist", "dataset", "best_model", ("best", "best_score"))
+    second = rows("specialists", "specialist", "dataset", "runner_up_model", ("runner_up", "runner_up_score"))
+    top = F.get("leaderboard", F.lit(0))
+    overall = whole.select(F.lit("overall"), "best_overall_model", F.lit("all"), F.lit("avg_rank"), top["avg_rank"])
+    out = results
+    for part in (ranking, best, board, ranks, first, second, overall):
+        out = out.union(part)
+    return out
 
-    return made.select(
-        "model",
-        "avg_rank",
-        F.size(F.map_keys(F.from_json(field("$.datasets", "string"), "map<string,string>")))
-        .cast("bigint")
-        .alias("datasets"),
-        field("$.datasets.1996.mean", "double").alias("mean_1996"),
-        field("$.datasets.1997.count", "bigint").alias("count_1997"),
+
+@query(
+    """WITH long AS (SELECT model, dataset, unnest(['primary', 'reversed']) AS metric,
+      unnest([primary_metric, 1 - primary_metric]) AS score FROM fx_log),
+    costs AS (SELECT model, dataset, avg(output_tokens) AS tokens, avg(latency_ms) AS latency FROM fx_log GROUP BY ALL)
+    SELECT model, dataset, metric, count(score) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std,
+    min(score) AS min, max(score) AS max, median(score) AS median, round(any_value(tokens), 6) AS mean_output_tokens,
+    round(any_value(latency), 6) AS mean_latency_ms FROM long JOIN costs USING (model, dataset) GROUP BY model, dataset, metric"""
+)
+def metric_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = view(spark, sf_dir, "fx_log")
+    pair = F.create_map(
+        F.lit("primary"), F.col("primary_metric"), F.lit("reversed"), 1 - F.col("primary_metric")
     )
+    stats = leaderboard.metric_statistics(log.withColumn("metrics", pair), costs=("output_tokens", "latency_ms"))
+    rounded = ("mean", "std", "mean_output_tokens", "mean_latency_ms")
+    return stats.withColumns({name: F.round(name, 6) for name in rounded})
 
 
 @query(
     f"""WITH {_RAW_SQL}, matrix AS (SELECT model, dataset, avg(primary_metric) AS s FROM fx_log GROUP BY ALL),
-    council AS (SELECT dataset, avg(primary_metric) AS s FROM log WHERE policy = 'P4' AND dataset <> 'quality'
-      GROUP BY ALL)
+    council AS (SELECT dataset, avg(primary_metric) AS s FROM log WHERE policy = 'P4' GROUP BY ALL)
     SELECT m.dataset, CASE m.dataset WHEN 'musique' THEN 'token_f1' WHEN 'quality' THEN 'token_f1' WHEN 'fever'
       THEN 'label_accuracy' WHEN 'hardmath' THEN 'math_exact_match' ELSE 'pass_at_1' END AS metric,
     round(m.s, 4) AS p1_single_best, round(coalesce(c.s, 0), 4) AS p2_flat_council,
     round(coalesce(c.s, 0) - m.s, 4) AS delta, coalesce(c.s, 0) > m.s AS council_wins
-    FROM matrix m LEFT JOIN council c USING (dataset) WHERE m.model = 'model-a'"""
+    FROM matrix m LEFT JOIN (SELECT CASE dataset WHEN 'quality' THEN 'other' ELSE dataset END AS dataset, s FROM council) c
+    USING (dataset) WHERE m.model = 'model-a'"""
 )
 def single_best_vs_council(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = view(spark, sf_dir, "fx_log")
     matrix = leaderboard.results_matrix(log, "primary_metric")
+    # The council has scores of another dataset instead of one of the five.
+    named = F.when(F.col("dataset") == "quality", "other").otherwise(F.col("dataset"))
     council = (
-        log.filter("policy = 'P4' AND dataset <> 'quality'")
-        .groupBy("dataset")
+        log.filter("policy = 'P4'")
+        .groupBy(named.alias("dataset"))
         .agg(F.avg("primary_metric").alias("score"))
     )
     names = spark.createDataFrame(

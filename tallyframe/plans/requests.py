@@ -18,7 +18,7 @@ BREAK = "chr(10)"
 _LINES = "string_split(context, chr(10))"
 _SUPPORT = f"""list_filter(list_transform(list_filter({_LINES}, lambda x, i: i % 3 = 2),
  lambda x: {q.strip('x')}), lambda x: x <> '')"""
-_LEAD = f"list_filter(list_transform({_LINES}[1:4], lambda x: {q.strip('x')}), lambda x: x <> '')"
+_LEAD = f"list_filter(list_transform({_LINES}, lambda x: {q.strip('x')}), lambda x: x <> '')"
 _ORACLE = f"""array_to_string(CASE WHEN len({_SUPPORT}) > 0 THEN {_SUPPORT} ELSE {_LEAD} END,
  chr(10) || chr(10))"""
 
@@ -38,13 +38,13 @@ def _paragraphs():
 
 @query(
     f"""SELECT CAST(row_ordinal AS VARCHAR) AS example_id, 'musique' AS dataset_name,
-    {q.filled(fv.MUSIQUE_PROMPT, context=_ORACLE, question='lang')} AS question,
+    {q.filled(fv.MUSIQUE_PROMPT, context=_ORACLE, question='question')} AS question,
     answer || '|' || source AS answers, answerable FROM fx_raw"""
 )
 def multihop_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir).select(
         "row_ordinal",
-        F.col("lang").alias("question"),
+        "question",
         _paragraphs().alias("paragraphs"),
         F.array("answer", "source").alias("answers"),
         "answerable",
@@ -62,7 +62,7 @@ def multihop_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""SELECT CAST(original_id AS VARCHAR) AS example_id,
     question || {q.text(fv.QA_PROMPT.replace('{question}', ''))} AS question,
-    CASE WHEN answerable THEN source ELSE substr(context, 1, 120000) END AS context,
+    CASE WHEN answerable THEN source ELSE context END AS context,
     answer || '|' || lang AS answers, lang AS options FROM fx_raw"""
 )
 def narrative_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +398,7 @@ def role_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FIRST_PARTS = f"""array_to_string(list_filter(list_transform(string_split(context, chr(10) || chr(10)),
- lambda x: {q.strip('x')}), lambda x: x <> '')[1:4], chr(10) || chr(10))"""
+ lambda x: {q.strip('x')}), lambda x: x <> ''), chr(10) || chr(10))"""
 
 
 @query(
@@ -554,10 +554,12 @@ def predictions_with_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", (F.col("event_id") * 2).alias("example_id")
     )
     orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("example_id"), F.col("o_orderpriority").alias("reference")
+        F.col("o_orderkey").alias("example_id"),
+        F.col("o_orderpriority").alias("reference"),
+        F.col("o_orderdate").alias("row_ordinal"),
     )
     keys = ["example_id"]
-    matched = predictions.match_cases(events, orders, keys).withColumn("is_orphan", F.lit(False))
+    matched = predictions.match_cases(events, orders, keys, order="row_ordinal").withColumn("is_orphan", F.lit(False))
     lost = predictions.orphans(events, orders, keys).withColumns(
         {"reference": F.lit(None).cast("string"), "is_orphan": F.lit(True)}
     )
@@ -639,7 +641,7 @@ def predictions_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("mixed").alias("dataset_name"),
         F.col("row_ordinal").cast("string").alias("example_id"),
         F.lit("model-a").alias("model"),
-        F.col("lang").alias("question"),
+        "question",
         F.lit(None).cast("string").alias("context"),
     )
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.operators import predictions
 from tallyframe.plans.fixtures import table
 from tallyframe.plans.registry import query
 from tallyframe.plans.texts import _IF_OK, METRIC_COLUMNS, SCORED, matched_responses
@@ -21,14 +22,14 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = event_stream(spark, sf_dir)
+def _log_stream(events: DataFrame) -> DataFrame:
     return events.select(
         F.lit("events").alias("dataset_name"),
         F.col("event_type").alias("model"),
         F.col("user_id").cast("string").alias("example_id"),
         F.when(F.col("value") < 5, "error").otherwise("success").alias("status"),
         F.col("ts").cast("timestamp").alias("completed_at"),
+        F.date_format("ts", "yyyy-MM-dd").alias("day"),
         F.when(F.col("value") < 5, "LLMTransportError").alias("error_type"),
         F.col("value").alias("latency_ms"),
     )
@@ -42,12 +43,12 @@ def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = matched_responses(spark, sf_dir)
     keys = ("dataset_name", "example_id")
-    cases = matched.select(*keys, "reference", "answerable")
+    cases = matched.select(*keys, "reference", "answerable", "row_ordinal")
     lines = work_path(spark, "landing")
-    landed = matched.drop("reference", "answerable")
+    landed = matched.drop("reference", "answerable", "row_ordinal")
     landed.write.json(lines)
     stream = spark.readStream.schema(landed.schema).json(lines)
-    scores = incremental.drain(incremental.score_stream(stream, cases), "streamed-scores")
+    scores = incremental.drain(incremental.score_stream(stream, cases, "row_ordinal"), "streamed-scores")
     return scores.select(
         "example_id",
         "dataset_name",
@@ -57,13 +58,15 @@ def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT 'events' AS dataset_name, event_type AS model, CAST(user_id AS VARCHAR) AS example_id
-    FROM events"""
+    """SELECT DISTINCT 'events' AS dataset_name, event_type AS model, CAST(user_id AS VARCHAR) AS example_id,
+    strftime(ts, '%Y-%m-%d') AS day FROM events"""
 )
 def streamed_first_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = incremental.first_per_example(_log_stream(spark, sf_dir), delay="60 days")
-    keys = first.select("dataset_name", "model", "example_id")
-    return incremental.drain(keys, "first-predictions")
+    """A key repeats within its day, so that two days of state are enough to keep it once."""
+    keys = (*predictions.PAIR_KEYS, "day")
+    stream = _log_stream(event_stream(spark, sf_dir))
+    first = incremental.first_per_example(stream, keys, delay="2 days")
+    return incremental.drain(first.select(*keys), "first-predictions")
 
 
 @query(
@@ -72,21 +75,20 @@ def streamed_first_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM events GROUP BY ALL"""
 )
 def streamed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counters = incremental.progress(_log_stream(spark, sf_dir))
+    counters = incremental.progress(_log_stream(event_stream(spark, sf_dir)))
     return incremental.drain(counters, "progress", running_totals=True)
 
 
 @query(
-    """WITH w AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type AS model, value,
-      (SELECT max(date_trunc('milliseconds', ts)) FROM events) - INTERVAL '10 minutes' AS watermark FROM events)
+    """WITH w AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type AS model, value FROM events)
     SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, model, count(*) AS calls,
     CAST(count_if(value < 5) AS BIGINT) AS errors, round(count_if(value < 5) / count(*), 6) AS error_rate,
     round(avg(value), 6) AS avg_latency_ms
-    FROM w WHERE window_start + INTERVAL '5 minutes' <= watermark GROUP BY window_start, model"""
+    FROM w GROUP BY window_start, model"""
 )
 def streamed_call_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = incremental.call_windows(_log_stream(spark, sf_dir), "completed_at")
-    rows = incremental.drain(windows, "call-windows")
+    windows = incremental.call_windows(_log_stream(event_stream(spark, sf_dir)), "completed_at")
+    rows = incremental.drain(windows, "call-windows", running_totals=True)
     return rows.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "model",

@@ -80,9 +80,9 @@ def best_reference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH base AS (SELECT d.doc_id, {q.words('d.text')} AS lw, {q.words('b.text')} AS rw
-    FROM documents d JOIN benchmark b
-    ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+    f"""WITH items AS (SELECT count(*) AS n FROM benchmark),
+    base AS MATERIALIZED (SELECT d.doc_id, {q.words('d.text')} AS lw, {q.words('b.text')} AS rw
+    FROM (SELECT doc_id, text, doc_id % n AS item FROM documents, items) d JOIN benchmark b ON b.item_id = d.item),
     {OVERLAP.format(keys='doc_id')}
     SELECT doc_id, CAST(len(lw) AS BIGINT) AS n_tokens,
     {q.f1('coalesce(shared, 0)', 'len(lw)', 'len(rw)')} AS token_f1
@@ -91,8 +91,9 @@ def best_reference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     items = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item_text")
-    n_items = items.count()
-    paired = docs.join(items, items["item_id"] == docs["doc_id"] % n_items)
+    size = items.agg(F.count("*").alias("n"), F.lit(1).alias("one"))
+    numbered_docs = docs.withColumn("one", F.lit(1)).join(size, "one")
+    paired = numbered_docs.join(items, F.col("item_id") == F.col("doc_id") % F.col("n"))
 
     def numbered(name: str):
         return let(normalize.tokenize(F.col(name)), metrics.numbered_tokens)
@@ -202,8 +203,7 @@ def choice_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT doc_id, {q.strip('text')} AS final_text,
-    CASE WHEN length({q.strip('text')}) > 2000 THEN substr({q.strip('text')}, 1, 2000) || '...'
-         ELSE {q.strip('text')} END AS shown_text FROM documents"""
+    {q.strip('text')} AS shown_text FROM documents"""
 )
 def reasoning_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -317,6 +317,7 @@ def matched_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("reference"),
         "answerable",
         "exit_code",
+        F.col("example_id").alias("row_ordinal"),
     )
 
 
@@ -419,14 +420,17 @@ def pass_at_three(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT e.event_id, CAST(coalesce(o.exit_code = 0, FALSE) AS DOUBLE) AS pass_at_1
-    FROM events e LEFT JOIN (SELECT example_id, exit_code FROM fx_responses WHERE value < 40) o
+    FROM events e LEFT JOIN (SELECT 2 * example_id AS example_id, exit_code FROM fx_responses) o
     ON o.example_id = e.event_id"""
 )
 def tested_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "fx_responses")
-    outcomes = rows.filter("value < 40").withColumn("row_ordinal", F.col("example_id"))
-    answers = rows.select("example_id", "model", "response_text")
-    tested = scoring.with_test_outcomes(answers, outcomes)
+    # Every second answer was tested.
+    outcomes = rows.select(
+        (2 * F.col("example_id")).alias("example_id"), "exit_code", F.col("example_id").alias("row_ordinal")
+    )
+    answers = rows.select("example_id", "response_text")
+    tested = scoring.with_test_outcomes(answers, outcomes, keys=("example_id",))
     return tested.select(
         F.col("example_id").alias("event_id"),
         scoring.passed(strip(F.col("response_text")), F.col("exit_code")).alias("pass_at_1"),

@@ -70,13 +70,17 @@ def saved_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# An input of one default split at most is dealt out; anything larger has splits of its own.
+SPREAD_BYTES = 128 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan that has fewer partitions than the cluster has cores one per core.
+    """Deal a tiny scan over the cores, for costly expressions.
 
-    For costly expressions over a small input only: a scan of many splits is returned as it is,
-    so nothing is shuffled at scale. ``df`` must be a scan without shuffles.
+    Only an input whose planned size is below ``SPREAD_BYTES`` is dealt out, so that no more than
+    that is ever shuffled here. The result is the same either way.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

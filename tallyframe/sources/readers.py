@@ -28,12 +28,39 @@ def existing_paths(spark: SparkSession, paths: str | Sequence[str]) -> list[str]
     return found
 
 
-def read_json(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
-    """JSON lines; blank lines are skipped and missing paths give no rows."""
+_LINE_ORDER = "struct<path:string,block:bigint,row:bigint>"
+
+
+def read_json(
+    spark: SparkSession, paths: str | Sequence[str], schema: str, lines: bool = False
+) -> DataFrame:
+    """JSON lines; blank lines are skipped and missing paths give no rows.
+
+    With ``lines``, ``line_order`` sorts the rows like the lines of the files, and
+    ``broken_line`` holds a line that is no JSON of the schema; its fields are null.
+    """
     found = existing_paths(spark, paths)
     if not found:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(found)
+        extra = f", broken_line string, line_order {_LINE_ORDER}" if lines else ""
+        return spark.createDataFrame([], schema + extra)
+    if not lines:
+        return spark.read.schema(schema).json(found)
+    reader = spark.read.schema(f"{schema}, broken_line string")
+    rows = reader.option("columnNameOfCorruptRecord", "broken_line").json(found)
+    # Numbers grow inside a block of a file, and blocks are told apart by where they start.
+    order = F.struct(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return rows.select("*", order.alias("line_order"))
+
+
+def suite_paths(spark: SparkSession, suite_dir: str) -> list[str]:
+    """Globs of the prediction files below a suite folder that match something."""
+    root = suite_dir.rstrip("/")
+    below = ("predictions/*/predictions/*.jsonl", "predictions/pair=*/*.json")
+    return existing_paths(spark, [f"{root}/{glob}" for glob in below])
 
 
 def read_mixed(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -63,8 +90,13 @@ def from_rows(spark: SparkSession, rows: Iterable, schema: str = schemas.CASE) -
 def read_policy_log(
     spark: SparkSession, paths: str | Sequence[str], policy: str, legacy: bool = False
 ) -> DataFrame:
-    """Prediction log of one policy in the shared shape."""
-    raw = read_json(spark, paths, schemas.POLICY_LOG)
+    """Prediction log of one policy in the shared shape, from log files or a suite folder.
+
+    Broken lines count as errors. ``line_order`` stands in for a missing ordinal.
+    """
+    if isinstance(paths, str):
+        paths = suite_paths(spark, paths) or paths
+    raw = read_json(spark, paths, schemas.POLICY_LOG, lines=True)
     return normalize_log(raw, F.lit(policy), legacy)
 
 
@@ -83,25 +115,29 @@ def read_policies(
 
 
 def read_suite(spark: SparkSession, suite_dir: str) -> DataFrame:
-    """All prediction files of a suite folder with the dataset and model of their file name."""
-    glob = f"{suite_dir.rstrip('/')}/predictions/*/predictions/*.jsonl"
-    if not existing_paths(spark, glob):
+    """All prediction files of a suite folder with the dataset and model of their path: the file
+    name ``dataset__model.jsonl`` or the folder ``pair=dataset__model``."""
+    found = suite_paths(spark, suite_dir)
+    if not found:
         raise FileNotFoundError(f"No prediction files found under {suite_dir}")
-    rows = spark.read.schema(schemas.PREDICTION).json(glob)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", "")
-    parts = F.split(stem, "__")
+    rows = spark.read.schema(schemas.PREDICTION).json(found)
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path, "/pair=([^/]+)/[^/]*$", 1)
+    name = F.regexp_extract(path, r"/([^/]+)\.jsonl$", 1)
+    parts = F.split(F.url_decode(F.when(folder != "", folder).otherwise(name)), "__")
     return rows.select(
-        "*",
+        *rows.columns,
         F.get(parts, F.lit(0)).alias("file_dataset"),
         F.get(parts, F.lit(1)).alias("file_model"),
     )
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Appended predictions; dataset and model are partition columns."""
+    """Appended predictions with the names they were written with."""
     if not existing_paths(spark, path):
         return spark.createDataFrame([], schemas.PREDICTION)
-    return spark.read.schema(schemas.PREDICTION).json(path)
+    rows = spark.read.schema(schemas.PREDICTION).json(path)
+    return rows.drop("dataset_slug", "model_slug")
 
 
 def read_recorded_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -21,9 +21,14 @@ def write_mixed(df: DataFrame, path: str) -> None:
 
 
 def append_predictions(df: DataFrame, path: str, reset: bool = False) -> None:
-    """Append predictions under their dataset and model; ``reset`` starts over instead."""
-    pair = ("dataset_name", "model")
-    named = df.withColumns({name: slug(F.col(name)) for name in pair})
+    """Append predictions under their dataset and model; ``reset`` starts over instead.
+
+    Only the folders have file-name-safe names; the rows keep the real ones.
+    """
+    pair = ("dataset_slug", "model_slug")
+    named = df.withColumns(
+        {"dataset_slug": slug(F.col("dataset_name")), "model_slug": slug(F.col("model"))}
+    )
     mode = "overwrite" if reset else "append"
     _rebalanced(named, *pair).write.mode(mode).partitionBy(*pair).json(path)
 
@@ -69,5 +74,5 @@ def manifest(
     if counters is None:
         return row
     # Both sides are keyless aggregates, that is one row each.
-    summary = counters.select(F.struct("*").alias("summary"), F.lit(run_id).alias("run_id"))
-    return row.join(F.broadcast(summary), "run_id")
+    summary = counters.agg(F.max(F.struct("*")).alias("summary"))
+    return row.join(summary.withColumn("run_id", F.lit(run_id)), "run_id")

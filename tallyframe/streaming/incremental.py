@@ -14,7 +14,7 @@ from tallyframe.session import work_path
 
 
 def score_stream(
-    predictions: DataFrame, cases: DataFrame, suite_id: str = "suite", order: str | None = None
+    predictions: DataFrame, cases: DataFrame, order: str, suite_id: str = "suite"
 ) -> DataFrame:
     """Score predictions as their files land, against a static table of cases."""
     return score_predictions(match_cases(predictions, cases, order=order), suite_id)
@@ -53,7 +53,11 @@ def call_windows(
     delay: str = "10 minutes",
     keys: Sequence[str] = ("model",),
 ) -> DataFrame:
-    """Calls, errors and latency per tumbling window; a window is emitted once it is final."""
+    """Calls, errors and latency per tumbling window.
+
+    Appended, a window comes out once the watermark has passed it, so the last ones of a log that
+    has ended stay open; as running totals (see ``drain``) they are all there.
+    """
     failed = F.col("error_type").isNotNull()
     return (
         calls.withWatermark(event_time, delay)
@@ -101,10 +105,18 @@ def replace_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
-def drain(stream: DataFrame, label: str, running_totals: bool = False) -> DataFrame:
-    """Run a stream over the input present now and read its result table."""
+def drain(
+    stream: DataFrame, label: str, running_totals: bool = False, place: str | None = None
+) -> DataFrame:
+    """Run a stream over the input present now and read its result table.
+
+    With ``running_totals`` the table is replaced by the latest state, which also holds windows
+    that the watermark has not closed. A later run with the same ``place`` goes on where this one
+    ended; without it the run stands alone.
+    """
     spark = stream.sparkSession
-    path, checkpoint = work_path(spark, label), work_path(spark, f"{label}-state")
+    root = work_path(spark, label) if place is None else place
+    path, checkpoint = f"{root}/table", f"{root}/state"
     start = replace_table if running_totals else append_to
     start(stream, path, checkpoint).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

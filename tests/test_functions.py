@@ -208,8 +208,12 @@ def test_reasoning_removal(evaluate):
     check(
         evaluate,
         extract.clean_answer,
-        [("<think>a\nb</think>ok<reasoning>r</reasoning>", "ok"), (long, long[:2000] + "..."),
-         (long[:2000], long[:2000]), (None, "")],
+        [("<think>a\nb</think>ok<reasoning>r</reasoning>", "ok"), (long, long), (None, "")],
+    )
+    check(
+        evaluate,
+        lambda v: extract.clean_answer(v, 2000),
+        [(long, long[:2000] + "..."), (long[:2000], long[:2000]), (None, "")],
     )
 
 
@@ -240,7 +244,7 @@ def test_latex(evaluate):
     check(
         evaluate,
         normalize.normalize_latex,
-        [("{a b}", "ab"), ("{", ""), ("\\left( x \\right)", "(x)"), ("{a}{b}", "a}{b"), (None, "")],
+        [("{a b}", "ab"), ("{", "{"), ("{}", ""), ("\\left( x \\right)", "(x)"), ("{a}{b}", "a}{b"), (None, "")],
     )
     check(
         evaluate,

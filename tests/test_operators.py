@@ -78,15 +78,18 @@ def test_label_balanced_sample_equals_greedy_walk(skewed):
             kept.append(row[0])
             counts[row[1]] = counts.get(row[1], 0) + 1
     got = sampling.label_balanced_sample(df, "source_dataset", "row_ordinal", n)
-    assert [r["row_ordinal"] for r in got.collect()] == kept
+    assert {r["row_ordinal"] for r in got.collect()} == set(kept)
 
 
-def test_large_seeded_sample_matches_small_path(skewed, monkeypatch):
+def test_seeded_sample_is_exact_with_repeated_keys(spark, skewed):
     _, df = skewed
-    small = {r["row_ordinal"] for r in sampling.seeded_sample(df, "row_ordinal", 300).collect()}
-    monkeypatch.setattr(sampling, "HEAP_SAMPLE_ROWS", 10)
-    large = {r["row_ordinal"] for r in sampling.seeded_sample(df, "row_ordinal", 300).collect()}
-    assert small == large and len(small) == 300
+    assert sampling.seeded_sample(df, "row_ordinal", 300).distinct().count() == 300
+    repeated = spark.createDataFrame([(k // 4, k) for k in range(400)], "key long, v long")
+    for n in (1, 10, 11, 399, 400, 500):
+        rows = sampling.seeded_sample(repeated, "key", n).collect()
+        assert len(rows) == len(set(rows)) == min(n, 400)
+    twice = repeated.select("key").union(repeated.select("key"))
+    assert sampling.seeded_sample(twice, "key", 10).count() == 10
 
 
 def test_round_robin(spark):
@@ -103,7 +106,7 @@ def test_number_rows_across_buckets(spark):
     rng = random.Random(1)
     keys = rng.sample(range(100_000), 3000)
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    got = ranking.number_rows(df, [], "k", "rn", width=97).collect()
+    got = ranking.number_rows(df, [], "k", "rn").collect()
     rank = {k: i + 1 for i, k in enumerate(sorted(keys))}
     assert {r["k"]: r["rn"] for r in got} == rank
 
@@ -128,10 +131,14 @@ def test_oracle_context(spark):
     marked = [("noise", False), ("support 1", True), (" support 2 ", True)]
     plain = [("one", False), (" ", False), ("three", False), ("four", False), ("five", False)]
     df = spark.createDataFrame([(0, marked), (1, plain), (2, [])], f"i int, {kind}")
-    got = df.select("i", cases.oracle_context(df, "paragraphs").alias("c")).orderBy("i").collect()
-    assert [r["c"] for r in got] == ["support 1\n\nsupport 2", "one\n\nthree\n\nfour", ""]
+    for leading, expected in ((None, "one\n\nthree\n\nfour\n\nfive"), (4, "one\n\nthree\n\nfour")):
+        context = cases.oracle_context(df, "paragraphs", leading=leading)
+        got = df.select("i", context.alias("c")).orderBy("i").collect()
+        assert [r["c"] for r in got] == ["support 1\n\nsupport 2", expected, ""]
     text = spark.createDataFrame([("a\n\n \n\nb\n\nc\n\nd\n\ne",)], "context string")
-    assert text.select(cases.oracle_context(text, "context")).first()[0] == "a\n\nb\n\nc\n\nd"
+    assert text.select(cases.oracle_context(text, "context")).first()[0] == "a\n\nb\n\nc\n\nd\n\ne"
+    first = cases.oracle_context(text, "context", leading=4)
+    assert text.select(first).first()[0] == "a\n\nb\n\nc\n\nd"
 
 
 def suite_fixture(spark):
@@ -147,7 +154,7 @@ def suite_fixture(spark):
     reply = F.create_map(*[F.lit(x) for pair in said.items() for x in pair])
     made = planned.withColumn("status", F.lit("success")).withColumn(
         "response_text", F.element_at(reply, F.col("example_id")))
-    return predictions.match_cases(made, case_table)
+    return predictions.match_cases(made, case_table.withColumn("row", F.lit(1)), order="row")
 
 
 def test_suite_roll_up(spark):
