@@ -42,9 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     setting is an error, because files on one machine would be lost with it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    local_mode = spark.sparkContext.master.startswith("local")
     if configured:
+        if configured.startswith("file:") and not local_mode:
+            raise RuntimeError(f"spark.checkpoint.dir is a folder of one machine: {configured}")
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not local_mode:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     local = spark.conf.get(_LOCAL_DIR, None)
     if local is None:
