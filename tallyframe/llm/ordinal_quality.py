@@ -6,8 +6,10 @@ ordered thresholds b_1 < ... < b_{K-1} part the grades,
     P(grade >= k) = sigmoid(w . x - b_k).
 
 The expected grade is the sum of these tail probabilities, and the tail at a chosen grade selects
-documents. Features are the distinct lower-cased words of the whole text and the distinct last two
-bytes of its words. Weights are fitted by rounds of adaptive stochastic gradients inside Spark's
+documents. Features are the distinct lower-cased words of the whole text, without punctuation at
+their ends, and the distinct last two bytes of the words as they are. A feature's value is how far
+the mean grade of the documents with it lies from the mean of all, shrunk where these are few; a
+document's values are brought to about length 1. So common words have next to no value. Weights are fitted by rounds of adaptive stochastic gradients inside Spark's
 partitions with the parameters averaged in between, so a round sends one parameter vector per
 partition.
 """
@@ -30,20 +32,23 @@ from tallyframe.session import saved_table
 @dataclass(frozen=True)
 class Fitting:
     """``rows``: about so many rated documents are learned from, or all if there are fewer, those
-    with the smallest hash of their id, dealt to ``partitions``. ``bits``: 2 ** bits hashed features, of which those in fewer
-    than ``least_rows`` of the sampled documents keep the weight 0."""
+    with the smallest hash of their id, dealt to ``partitions``. ``bits``: 2 ** bits hashed
+    features, of which those in fewer than ``least_rows`` of the sampled documents have no value.
+    ``shrink``: the value of a feature in so many documents is halved."""
 
     rows: int = 20_000
     partitions: int = 4
-    rounds: int = 8
+    rounds: int = 5
     bits: int = 20
-    least_rows: int = 10
+    least_rows: int = 5
+    shrink: float = 30.0
     rate: float = 0.3
 
 
 @dataclass(frozen=True)
 class Grader:
     weights: np.ndarray
+    values: np.ndarray
     thresholds: np.ndarray
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
@@ -65,12 +70,18 @@ def fit(rated: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "
     sparse = saved_table(sparse, "grading-features")
 
     # At most 2 ** bits features come to the driver, like the weights.
-    common = sparse.select(F.explode("features").alias("feature")).groupBy("feature").count()
-    common = np.sort(common.where(F.col("count") >= how.least_rows).toPandas()["feature"].to_numpy(np.int64))
+    mean = sparse.agg(F.avg("grade")).first()[0] or 0.0
+    seen = sparse.select("grade", F.explode("features").alias("feature")).groupBy("feature").agg(
+        F.count("*").alias("n"), F.sum("grade").alias("sum")
+    )
+    seen = seen.where(F.col("n") >= how.least_rows).toPandas().sort_values("feature")
+    common = seen["feature"].to_numpy(np.int64)
+    values = np.zeros(1 << how.bits, np.float32)
+    values[common] = ((seen["sum"] - seen["n"] * mean).abs() / (seen["n"] + how.shrink)).to_numpy()
     state = np.concatenate([np.zeros(len(common)), np.arange(grades - 1) - (grades - 2) / 2])
     dealt = sparse.repartition(how.partitions, "part").sortWithinPartitions("part", "doc")
     for number in range(how.rounds):
-        sent = dealt.mapInArrow(_learn(state, common, grades, number, how), "rows long, state binary").collect()
+        sent = dealt.mapInArrow(_learn(state, common, values, grades, number, how), "rows long, state binary").collect()
         found = [(r["rows"], np.frombuffer(r["state"], np.float64)) for r in sent]
         total = sum(n for n, _ in found)
         if not total:
@@ -78,7 +89,7 @@ def fit(rated: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "
         state = sum(n * s for n, s in found) / total
     weights = np.zeros(1 << how.bits, np.float32)
     weights[common] = state[: len(common)]
-    return Grader(weights, np.sort(state[len(common) :]))
+    return Grader(weights, values, np.sort(state[len(common) :]))
 
 
 def grade(docs: DataFrame, grader: Grader, at_least: int, keep_from: float = 0.5, text_col: str = "text", how: Fitting = Fitting()) -> DataFrame:
@@ -96,7 +107,7 @@ def grade(docs: DataFrame, grader: Grader, at_least: int, keep_from: float = 0.5
         grader = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                scores = _scores(part.column("text"), grader.weights, how)
+                scores = _scores(part.column("text"), grader, how)
                 tails = grader.tails(scores)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), pa.array(tails.sum(1)), pa.array(tails[:, at_least - 1])], ["row", "expected_grade", "tail"]
@@ -113,21 +124,21 @@ def _features(texts: pa.Array, how: Fitting) -> tuple[np.ndarray, np.ndarray]:
     text = words.text_index().astype(np.uint64)
     last = words.data[words.ends - 1].astype(np.uint64) << np.uint64(8)
     last |= words.data[np.maximum(words.ends - 2, words.starts)]
-    every = np.concatenate([mix(words.hashes(lower=True)), mix(last + np.uint64(1 << 20))]) >> np.uint64(64 - how.bits)
+    every = np.concatenate([mix(words.trimmed().hashes(lower=True)), mix(last + np.uint64(1 << 20))]) >> np.uint64(64 - how.bits)
     distinct = np.unique(np.concatenate([text, text]) << np.uint64(how.bits) | every)
     return (distinct & np.uint64((1 << how.bits) - 1)).astype(np.int64), (distinct >> np.uint64(how.bits)).astype(np.int64)
 
 
-def _scale(n: np.ndarray) -> np.ndarray:
-    """The value of each of a text's n features."""
-    return np.maximum(n, 1) ** -0.25
+def _length(squares: np.ndarray) -> np.ndarray:
+    """What a document's values are divided by, from the sum of their squares."""
+    return np.sqrt(squares + 0.1)
 
 
-def _scores(texts: pa.Array, weights: np.ndarray, how: Fitting) -> np.ndarray:
+def _scores(texts: pa.Array, grader: Grader, how: Fitting) -> np.ndarray:
     features, text = _features(texts, how)
-    known = weights[features]
-    n = np.bincount(text[known != 0], minlength=len(texts))
-    return np.bincount(text, known, minlength=len(texts)) * _scale(n)
+    values = grader.values[features].astype(float)
+    sums = np.bincount(text, grader.weights[features] * values, minlength=len(texts))
+    return sums / _length(np.bincount(text, values * values, minlength=len(texts)))
 
 
 def _sparse(how: Fitting):
@@ -142,8 +153,9 @@ def _sparse(how: Fitting):
     return run
 
 
-def _learn(start: np.ndarray, common: np.ndarray, grades: int, number: int, how: Fitting):
+def _learn(start: np.ndarray, common: np.ndarray, values: np.ndarray, grades: int, number: int, how: Fitting):
     """One round over a partition: per row, the gradient of the cumulative logistic losses."""
+    known = values[common].astype(float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, thresholds = start[: len(common)].copy(), start[len(common) :].copy()
@@ -155,10 +167,10 @@ def _learn(start: np.ndarray, common: np.ndarray, grades: int, number: int, how:
                 held = features.values.to_numpy()
                 at = np.searchsorted(common, held)
                 at = at[common[np.minimum(at, len(common) - 1)] == held] if len(common) else at[:0]
-                value = float(_scale(np.array(len(at))))
-                tails = 1 / (1 + np.exp(-np.clip(weights[at].sum() * value - thresholds, -40, 40)))
+                x = known[at] / _length(known[at] @ known[at])
+                tails = 1 / (1 + np.exp(-np.clip(weights[at] @ x - thresholds, -40, 40)))
                 error = tails - (grade >= levels)
-                slope = error.sum() * value
+                slope = error.sum() * x
                 squares[at] += slope * slope
                 weights[at] -= how.rate * slope / np.sqrt(squares[at])
                 thresholds += 0.05 * error / (1 + number)

@@ -49,7 +49,7 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
     rated = docs.join(labels.where(~language_id.held_out()), "doc_id")
     grader = ordinal_quality.fit(rated, grades=3)
-    graded = ordinal_quality.grade(docs, grader, at_least=2, keep_from=0.4)
+    graded = ordinal_quality.grade(docs, grader, at_least=2, keep_from=0.3)
     return graded.select("doc_id", "expected_grade", "tail", "kept")
 
 

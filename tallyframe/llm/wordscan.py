@@ -17,6 +17,8 @@ SLICE_BYTES = 4 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOW_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
@@ -68,6 +70,15 @@ class Words:
             h[i] = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
         return h
 
+    def trimmed(self) -> Words:
+        """The words without up to three characters of ASCII punctuation at each end; a word of
+        punctuation alone keeps one character."""
+        starts, ends = self.starts.copy(), self.ends.copy()
+        for _ in range(3):
+            starts += _PUNCTUATION[self.data[starts]] & (ends - starts > 1)
+            ends -= _PUNCTUATION[self.data[ends - 1]] & (ends - starts > 1)
+        return Words(self.data, starts, ends, self.bounds)
+
     def text_index(self) -> np.ndarray:
         """The text that each word belongs to."""
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
