@@ -19,10 +19,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those with letters, at a probability of one half."""
     pieces = language_id.public_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     model = language_id.train(docs.where(~language_id.held_out()), pieces)
-    carried, text = fresh(docs, "carried"), fresh(docs, "whole_text")
-    found = language_id.predict(docs.select(F.struct("*").alias(carried), F.col("text").alias(text)), model, text_col=text)
+    carried = fresh(docs, "carried")
+    slim = docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias(carried))
+    found = language_id.predict(slim, model, keep_text=True)
     kept = found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5))
-    return kept.select(f"{carried}.*")
+    return kept.select(*[F.col("text") if c == "text" else F.col(carried)[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ _BETWEEN_WORDS = r"[^\p{L}\p{M}]+"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK_WORDS = 40_000
 _SEGMENT = 32
+# Words repeat less in smaller slices, and larger ones need more memory.
+SLICE_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -227,8 +229,9 @@ def train(docs: DataFrame, pieces: Sequence[str], label_col: str = "lang", id_co
     return Model(vocabulary, languages, chance)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``lang_pred`` and ``score``; columns of these names are replaced.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, columns of these names being replaced, and its
+    text only with ``keep_text``.
 
     The score is the probability of the language under equal priors. A text that is null or has no
     letters, or any text for a model without languages, is ``und`` with score 0.
@@ -241,15 +244,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, "text", 24 << 20):
+            for part in slices(batch, "text", SLICE_BYTES):
                 best, score = _predict(model, part.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(names[best], pa.string()), pa.array(score)], ["row", "lang_pred", "score"]
-                )
+                found = [pa.array(names[best], pa.string()), pa.array(score)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), *found], [*passed, "lang_pred", "score"])
 
+    passed = ["row", "text"] if keep_text else ["row"]
     row = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"row {row}, lang_pred string, score double")
-    return out.select(*[F.col("row")[c].alias(c) for c in carried], "lang_pred", "score")
+    out = rows.mapInArrow(run, f"row {row}, {'text string, ' if keep_text else ''}lang_pred string, score double")
+    columns = [c for c in docs.columns if c in carried or (keep_text and c == text_col)]
+    values = {c: F.col("row")[c] for c in carried} | {text_col: F.col("text")}
+    return out.select(*[values[c].alias(c) for c in columns], "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -284,7 +289,7 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def _label_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 24 << 20):
+        for part in slices(batch, "text", SLICE_BYTES):
             words, bounds = _words(part.column("text"))
             labels = part.column("label").take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds))))
             counted = pa.table({"label": labels, "word": words.cast(pa.string())}).group_by(["label", "word"]).aggregate([([], "count_all")])
