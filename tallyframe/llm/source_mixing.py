@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallyframe.session import saved_table
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLOT_ROWS = 20_000
+SLOT_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
