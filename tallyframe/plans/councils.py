@@ -331,7 +331,7 @@ cost AS (SELECT source_dataset, count(*) AS n, sum(latency_ms) AS lat, CAST(sum(
     SELECT coalesce(q.source_dataset, 'router_dataset') AS dataset_name, total_examples, scored_examples,
     failed_examples, round(CASE WHEN q.source_dataset IS NULL THEN (SELECT combined FROM means)
       ELSE coalesce(psum / nullif(scored_examples, 0), 0) END, 6) AS primary_metric_value,
-    round(lat / n / 1000, 6) AS avg_latency_s, tin AS total_input_tokens, tout AS total_output_tokens,
+    round(lat / n / 1000, 9) AS avg_latency_s, tin AS total_input_tokens, tout AS total_output_tokens,
     tin + tout AS total_tokens, round((tin + tout) / n, 6) AS avg_total_tokens
     FROM quality q LEFT JOIN cost c ON c.source_dataset IS NOT DISTINCT FROM q.source_dataset"""
 )
@@ -345,7 +345,7 @@ def council_summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "scored_examples",
         "failed_examples",
         F.round("primary_metric_value", 6).alias("primary_metric_value"),
-        F.round("avg_latency_s", 6).alias("avg_latency_s"),
+        F.round("avg_latency_s", 9).alias("avg_latency_s"),
         "total_input_tokens",
         "total_output_tokens",
         "total_tokens",
