@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang all larger neighbours of a node on its smallest neighbour, or on itself."""
     links = edges.union(edges.select("b", "a"))
-    least = links.groupBy("a").agg(F.min("b").alias("least"))
+    # Written first, so that the join can split the neighbours of a hub over tasks.
+    least = saved_table(links.groupBy("a").agg(F.min("b").alias("least")), "components-least")
     larger = links.where("b > a").join(least, "a")
     return larger.select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
 
