@@ -39,8 +39,12 @@ def write_archives(
     captured: Column | None = None,
     least_revisit: int = 100,
     records_per_archive: int = 4000,
+    large: int = 64 << 10,
 ) -> None:
-    """Write a record per page to new archives in ``folder``.
+    """Write a record per page to new archives in ``folder``, which is created.
+
+    An archive is read as one value, so it stays small: pages of more than ``large`` bytes go to
+    archives of their own, with a 250th of the records.
 
     The payload is the text in UTF-8, empty for null. Of equal payloads of ``least_revisit`` bytes
     or more, rows with the smallest id (null last) are responses and the others revisit it; smaller
@@ -81,9 +85,14 @@ def write_archives(
         F.lit(_BREAK),
         F.col("block"),
     )
-    texts = rows.withColumn("block", block).select(record.alias("record"))
-    # A record ends with two line breaks, which is what the text writer puts after each row.
-    texts.write.option("lineSep", _BREAK * 2).option("maxRecordsPerFile", records_per_archive).text(folder)
+    texts = rows.withColumn("block", block).select(record.alias("record"), "size")
+    parts = (texts.where(F.col("size") <= large), records_per_archive), (
+        texts.where(F.col("size") > large), max(1, records_per_archive // 250)
+    )
+    for (part, most), mode in zip(parts, ("errorifexists", "append")):
+        # A record ends with two line breaks, which is what the text writer puts after each row.
+        writer = part.select("record").write.mode(mode).option("lineSep", _BREAK * 2)
+        writer.option("maxRecordsPerFile", most).text(folder)
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
