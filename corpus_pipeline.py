@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bayes_minhash, decontamination, language_id, source_mixing, substring_dedup
-from tallyframe.llm.grouped import fresh
+from tallyframe.llm.grouped import fresh, named_texts
 from tallyframe.session import saved_table, work_path
 
 
@@ -27,12 +27,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    found = bayes_minhash.near_duplicates(docs)
-    mark = fresh(docs, "kept_id")
-    kept = saved_table(found.where("kept").select(F.col("doc_id").alias(mark)).distinct(), "pipeline-kept")
-    # Rows without an id are in no group; rows of one id are one document.
-    one = docs.join(kept, F.col("doc_id") == F.col(mark)).dropDuplicates([mark]).drop(mark)
+    """One row of each group of near-duplicate texts: the one with the smallest doc_id. Unlike texts
+    stay, also those that share an id."""
+    kept = saved_table(bayes_minhash.distinct_texts(docs), "pipeline-kept")
+    named = named_texts(docs, "doc_id", "text", docs.columns).select("id", "doc", "mark", "row")
+    # Rows without an id are in no group; rows of one id and text are one document.
+    one = named.where("id is not null").join(kept, ["doc", "mark"]).dropDuplicates(["doc", "mark"]).select("row.*")
     return one.union(docs.where("doc_id IS NULL"))
 
 

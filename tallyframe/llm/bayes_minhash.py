@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.components import components
-from tallyframe.llm.grouped import in_blocks, map_groups
+from tallyframe.llm.grouped import in_blocks, map_groups, named_texts
 from tallyframe.llm.wordscan import gram_hashes, mix, scan, slices
 from tallyframe.session import saved_table
 
@@ -69,52 +69,91 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     A-Z is folded; a text of fewer than five words has its whole word sequence as its one shingle;
-    a null, empty or blank text has none and links with nothing. Rows of one id are one document.
-    Rows with a null id come back with a null component and kept = true.
+    a null, empty or blank text has none and links with nothing. Texts are compared whatever their
+    ids; rows of one id are one document, which has the links of all its texts. Rows with a null id
+    come back with a null component and kept = true.
     """
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    profiles = saved_table(_profiles(rows, how), "minhash-profiles")
-    keys = ["n_shingles", "key_a", "key_b"]
-    linkable = profiles.where("n_shingles > 0 and doc is not null")
-    # Written first, so that the join can split a class of very many copies.
-    classes = saved_table(linkable.groupBy(*keys).agg(F.min("doc").alias("rep")), "minhash-sets-seen")
-    members = saved_table(linkable.select("doc", *keys).join(classes, keys).select("doc", "rep"), "minhash-classes")
-
-    reps = members.where("doc = rep").select("doc").distinct()
-    slim = linkable.select("doc", "signature").join(reps, "doc", "left_semi")
-    signatures = saved_table(slim, "minhash-signatures")
-    links = _links(signatures, rows, how)
-    # Copies link to their representative; links between representatives are added.
-    edges = links.union(members.where("doc <> rep").select("doc", "rep"))
-    found = components(edges).groupBy("node").agg(F.min("component").alias("component_id"))
-    out = profiles.select("doc", "n_shingles").join(found, F.col("doc") == F.col("node"), "left")
-    component = F.coalesce("component_id", "doc")
+    profiles, classes, links = _classes(docs, id_col, text_col, how)
+    linkable = profiles.where(_LINKABLE).select("doc", *_SET)
+    members = saved_table(linkable.join(classes.select("rep", *_SET), _SET).select("doc", "rep"), "minhash-members")
+    # An id with several texts links their classes.
+    several = members.groupBy("doc").agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
+    several = saved_table(several.where("least < most").select("doc", "least"), "minhash-several")
+    same = members.join(several, "doc").where("rep <> least").select("rep", "least").distinct()
+
+    parts = _parts(classes, links.union(same))
+    named = parts.select("rep", "part").join(_firsts(parts), "part").select("rep", F.col("first.doc").alias("component_id"))
+    # All classes of an id are in one part.
+    moved = members.join(named, "rep").where("component_id <> doc").select("doc", "component_id").distinct()
+    out = profiles.select("id", "n_shingles").join(saved_table(moved, "minhash-moved"), F.col("id") == F.col("doc"), "left")
+    component = F.coalesce("component_id", "id")
     return out.select(
-        F.col("doc").alias("doc_id"),
+        F.col("id").alias("doc_id"),
         "n_shingles",
         component.alias("component_id"),
-        component.eqNullSafe(F.col("doc")).alias("kept"),
+        component.eqNullSafe(F.col("id")).alias("kept"),
     )
 
 
-def _links(signatures: DataFrame, rows: DataFrame, how: MinHashing) -> DataFrame:
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: MinHashing = MinHashing()) -> DataFrame:
+    """The texts (doc, mark) of ``named_texts`` that stay: of texts which links connect, the one with
+    the smallest id; every text without words. Unlike texts stay although they share an id. Rows
+    with a null id are not looked at."""
+    profiles, classes, links = _classes(docs, id_col, text_col, how)
+    firsts = _firsts(_parts(classes, links)).select("first.doc", "first.mark")
+    bare = profiles.where("n_shingles = 0 and id is not null").select("doc", "mark")
+    return firsts.union(bare.distinct())
+
+
+_SET = ["n_shingles", "key_a", "key_b"]
+_LINKABLE = "n_shingles > 0 and id is not null"
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, how: MinHashing) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles of all rows, classes of equal sets, and the verified links (a, b) between classes.
+
+    A class has a number ``rep`` and the smallest (doc, mark) of its texts as ``first``, which
+    represents it.
+    """
+    rows = named_texts(docs, id_col, text_col)
+    profiles = saved_table(_profiles(rows, how), "minhash-profiles")
+    seen = profiles.where(_LINKABLE).groupBy(*_SET).agg(F.min(F.struct("doc", "mark")).alias("first"), F.first("signature").alias("signature"))
+    # Written once: the numbers stay, and joins can split a class of very many copies.
+    classes = saved_table(seen.withColumn("rep", F.monotonically_increasing_id()), "minhash-classes")
+    return profiles, classes, _links(classes, rows, how)
+
+
+def _parts(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rep, first, part) of all classes; edges connect the classes of a part."""
+    joined = classes.select("rep", "first").join(components(edges), F.col("rep") == F.col("node"), "left")
+    return saved_table(joined.select("rep", "first", F.coalesce("component", "rep").alias("part")), "minhash-parts")
+
+
+def _firsts(parts: DataFrame) -> DataFrame:
+    """(part, first): the smallest (doc, mark) of each part."""
+    return saved_table(parts.groupBy("part").agg(F.min("first").alias("first")), "minhash-firsts")
+
+
+def _links(classes: DataFrame, rows: DataFrame, how: MinHashing) -> DataFrame:
     """Verified links (a, b) that connect all representatives which candidate links connect."""
+    signatures = classes.select("rep", "signature")
     buckets = _buckets(signatures, how)
-    sets = _sets(rows, buckets.select("doc").distinct(), how)
-    star = buckets.where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")).distinct()
+    wanted = classes.select("rep", "first.doc", "first.mark").join(buckets.select("rep").distinct(), "rep", "left_semi")
+    sets = _sets(rows, wanted, how)
+    star = buckets.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
     links = _verified(star, signatures, sets, how)
 
     found = components(links)
-    labelled = buckets.join(found, F.col("doc") == F.col("node"), "left").select(
-        "bucket", "band", "doc", F.coalesce("component", "doc").alias("part")
+    labelled = buckets.join(found, F.col("rep") == F.col("node"), "left").select(
+        "bucket", "band", "rep", F.coalesce("component", "rep").alias("part")
     )
     spread = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q"))
     spread = saved_table(spread.where("p < q").select("bucket", "n"), "minhash-spread")
-    blocks = in_blocks(labelled, spread, ["bucket"], "doc", how.block).join(signatures, "doc")
+    blocks = in_blocks(labelled, spread, ["bucket"], "rep", how.block).join(signatures, "rep")
     keys = ["bucket", "lo", "hi"]
-    kind = "bucket long, lo int, hi int, block int, band int, doc long, part long"
+    kind = "bucket long, lo int, hi int, block int, band int, rep long, part long"
     open_ = saved_table(map_groups(blocks, keys, _with_survivors(how), kind), "minhash-open")
-    full = open_.join(signatures, "doc").join(sets, "doc")
+    full = open_.join(signatures, "rep").join(sets, "rep")
     crossing = map_groups(full, keys, _crossing_links(how), "a long, b long")
     return links.union(saved_table(crossing, "minhash-crossing"))
 
@@ -143,16 +182,18 @@ def _profiles(rows: DataFrame, how: MinHashing) -> DataFrame:
                     marks.append(signature(shingles))
                 yield pa.RecordBatch.from_arrays(
                     [
+                        part.column("id"),
                         part.column("doc"),
+                        part.column("mark"),
                         pa.array(sizes, pa.int64()),
                         pa.array(np.array(keys_a, np.uint64).view(np.int64)),
                         pa.array(np.array(keys_b, np.uint64).view(np.int64)),
                         pa.array(marks, pa.binary()),
                     ],
-                    ["doc", "n_shingles", "key_a", "key_b", "signature"],
+                    ["id", "doc", "mark", "n_shingles", "key_a", "key_b", "signature"],
                 )
 
-    return rows.mapInArrow(run, "doc long, n_shingles long, key_a long, key_b long, signature binary")
+    return rows.mapInArrow(run, "id long, doc long, mark long, n_shingles long, key_a long, key_b long, signature binary")
 
 
 def _shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -169,7 +210,7 @@ def _shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def _buckets(signatures: DataFrame, how: MinHashing) -> DataFrame:
-    """(bucket, band, doc, least) of all buckets with several members; least is the smallest of them."""
+    """(bucket, band, rep, least) of all buckets with several members; least is the smallest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,13 +221,13 @@ def _buckets(signatures: DataFrame, how: MinHashing) -> DataFrame:
                 for row in range(how.rows):
                     h = mix(h ^ marks[:, band * how.rows + row])
                 keys[:, band] = h
-            docs = batch.column("doc").to_numpy()
-            band = np.tile(np.arange(how.bands, dtype=np.int32), len(docs))
-            columns = [pa.array(keys.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(docs, how.bands))]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "band", "doc"])
+            reps = batch.column("rep").to_numpy()
+            band = np.tile(np.arange(how.bands, dtype=np.int32), len(reps))
+            columns = [pa.array(keys.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(reps, how.bands))]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "band", "rep"])
 
-    dealt = signatures.select("doc", "signature").mapInArrow(run, "bucket long, band int, doc long")
-    shared = dealt.groupBy("bucket").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    dealt = signatures.select("rep", "signature").mapInArrow(run, "bucket long, band int, rep long")
+    shared = dealt.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
     shared = shared.where("least < most").select("bucket", "least")
     return saved_table(dealt.join(shared, "bucket"), "minhash-buckets")
 
@@ -232,7 +273,7 @@ def _with_survivors(how: MinHashing):
     def work(group: pa.RecordBatch) -> pa.RecordBatch | None:
         i, j, _ = _pairs_across(group, how)
         rows = group.take(pa.array(np.unique(np.concatenate([i, j]))))
-        return rows.select(["bucket", "lo", "hi", "block", "band", "doc", "part"])
+        return rows.select(["bucket", "lo", "hi", "block", "band", "rep", "part"])
 
     return work
 
@@ -242,7 +283,7 @@ def _crossing_links(how: MinHashing):
 
     def work(group: pa.RecordBatch) -> pa.RecordBatch | None:
         i, j, equal = _pairs_across(group, how)
-        docs, part = group.column("doc").to_numpy(), group.column("part").to_numpy().tolist()
+        reps, part = group.column("rep").to_numpy(), group.column("part").to_numpy().tolist()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
         root: dict[int, int] = {}
 
@@ -258,7 +299,7 @@ def _crossing_links(how: MinHashing):
             if p != q and _linked(sets[i[k]], sets[j[k]], how):
                 root[p] = q
                 keep.append(k)
-        a, b = docs[i[keep]], docs[j[keep]]
+        a, b = reps[i[keep]], reps[j[keep]]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     return work
@@ -275,18 +316,19 @@ def _linked(x: np.ndarray, y: np.ndarray, how: MinHashing) -> bool:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, how: MinHashing) -> DataFrame:
-    """(doc, shingles): the full shingle sets of the wanted documents."""
+    """(rep, shingles): the full shingle sets of the wanted texts (doc, mark, rep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 packed = [s.tobytes() for s in _shingle_sets(part.column("text"), how.words)]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(packed, pa.binary())], ["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(packed, pa.binary())], ["rep", "shingles"])
 
-    # The wanted ids grow with the input: a sort-merge join at every size.
-    texts = rows.join(wanted.hint("merge"), "doc", "left_semi")
-    sets = texts.mapInArrow(run, "doc long, shingles binary")
-    return saved_table(sets.dropDuplicates(["doc"]), "minhash-sets")
+    # The wanted texts grow with the input: a sort-merge join at every size.
+    texts = rows.join(wanted.hint("merge"), ["doc", "mark"]).select("rep", "text")
+    sets = texts.mapInArrow(run, "rep long, shingles binary")
+    # Rows of one text repeat its set.
+    return saved_table(sets.dropDuplicates(["rep"]), "minhash-sets")
 
 
 def _verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, how: MinHashing) -> DataFrame:
@@ -311,6 +353,6 @@ def _verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, how: Min
 def _with_both(pairs: DataFrame, values: DataFrame, column: str, name: str) -> DataFrame:
     """Join a value to both ends of each pair."""
     for end in ("a", "b"):
-        side = values.select(F.col("doc").alias(end), F.col(column).alias(f"{name}_{end}"))
+        side = values.select(F.col("rep").alias(end), F.col(column).alias(f"{name}_{end}"))
         pairs = pairs.join(side, end)
     return pairs.select("a", "b", f"{name}_a", f"{name}_b")

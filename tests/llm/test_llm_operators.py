@@ -424,6 +424,44 @@ def test_near_documents_agree_with_brute_force(frame, block):
     assert bayes_minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def clashing_documents():
+    """Tables merged from several sources: ids with several unlike texts, near-copies under other ids."""
+    draw = random.Random(11)
+    bases = [words_of(80, 500 + k) for k in range(12)]
+    rows = []
+    for k in range(60):
+        text = list(bases[k % 12])
+        text[draw.randrange(80)] = f"new{k}"
+        # A third of the rows has one id.
+        rows.append((77 if k % 3 == 0 else draw.randrange(8) * 10, " ".join(text)))
+    return rows + [(k, " ".join(words_of(80, 700 + k // 2))) for k in range(100, 140)] + [(k, " ".join(words_of(80, 800 + k))) for k in range(100, 140, 4)]
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_near_documents_whose_ids_clash(frame, block):
+    rows = clashing_documents() + [(77, None), (100, " ")]
+    docs = frame(rows, "doc_id long, text string")
+    got = bayes_minhash.near_duplicates(docs, how=bayes_minhash.MinHashing(block=block)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_near(rows)
+
+
+def test_unlike_texts_of_one_id_stay(spark, frame, tmp_path):
+    import corpus_pipeline
+
+    rows = clashing_documents() + [(None, "no id"), (None, "no id"), (9, None), (9, "")]
+    docs = frame([(d, t, "en", "a", k) for k, (d, t) in enumerate(rows)], DOCS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    # Every text as a document of its own, numbered in the order of (id, text).
+    order = sorted({r for r in rows if r[0] is not None and r[1]})
+    groups = {}
+    for number, _, group in plain_near([(k, t) for k, (_, t) in enumerate(order)]):
+        groups.setdefault(group, []).append(order[number])
+    expected = [min(d for d, _ in texts) for texts in groups.values()]
+    assert sorted(d for d, t in got if d is not None and t) == sorted(expected)
+    assert all(any(r in texts for r in got) for texts in groups.values())
+    assert Counter(r for r in got if r[0] is None or not r[1]) == Counter({(None, "no id"): 2, (9, None): 1, (9, ""): 1})
+
+
 def test_pruning_bound_is_the_posterior():
     how = bayes_minhash.MinHashing(miss=0.01)
     draw = np.random.default_rng(6)
