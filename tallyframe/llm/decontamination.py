@@ -4,7 +4,8 @@ A seed is the hash of the tokens under a fixed mask; tokens at the mask's zeros
 replaced token does not break every seed over it. Seeds at all positions of both sides are joined,
 a hit gives a diagonal (document token minus item token), and on every diagonal the aligned tokens
 are compared: an item leaks where a stretch of 13 aligned tokens (the whole item, if shorter) has
-at least 80 % equal ones.
+at least 80 % equal ones. The default masks miss no such stretch: every pattern of substitutions
+that leaves 80 % holds a seed.
 
 Everything is DataFrame functions. Tokens are lower-cased maximal runs of characters other than
 ASCII punctuation, white space and controls.
@@ -12,6 +13,7 @@ ASCII punctuation, white space and controls.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,11 +27,17 @@ _NO_TOKEN = r"[\x00-/:-@\[-`{-\x7f]+"
 
 @dataclass(frozen=True)
 class Seeds:
-    """Items of fewer tokens than the longest mask are too short to be told from chance: they
-    never match. Seeds are broadcast up to ``broadcast_rows`` (about 40 bytes each) and joined by
-    a shuffle beyond."""
-
-    masks: tuple[str, ...] = ("1110111", "11011011")
+    """Items of fewer tokens than ``shortest`` are too short to be told from chance: they never
+    match. Items of fewer than ``long_from`` tokens have the lighter ``short_masks``, which fewer
+    equal tokens fill; documents are searched by them only if there are such items. Masks hold all
+    stretches for the default ``stretch`` and ``percent``; lower percentages need lighter masks.
+    Seeds are broadcast up to ``broadcast_rows`` (about 40 bytes each) and joined by a shuffle
+    beyond."""
+
+    masks: tuple[str, ...] = ("1110111", "11011011", "11111")
+    short_masks: tuple[str, ...] = ("1111", "11011")
+    long_from: int = 12
+    shortest: int = 8
     stretch: int = 13
     percent: int = 80
     broadcast_rows: int = 500_000
@@ -55,20 +63,23 @@ def leaks(
     match nothing. Repeated documents and repeated items give their pair once.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col).cast("string")).alias("item_tokens"))
-    items = items.where(F.size("item_tokens") >= max(map(len, how.masks)))
+    items = items.where(F.size("item_tokens") >= how.shortest)
     # Items with the same tokens are searched once.
     items = saved_table(items.withColumn("item", F.xxhash64("item_tokens")), "leak-items")
     texts = items.groupBy("item").agg(F.first("item_tokens").alias("item_tokens"))
-    seeds = saved_table(
-        _seeds(texts.select("item", "item_tokens"), "item_tokens", how).select("seed", "item", F.col("at").alias("item_at")),
-        "leak-seeds",
-    )
-    if seeds.count() <= how.broadcast_rows:
+    long, short = F.size("item_tokens") >= how.long_from, F.size("item_tokens") < how.long_from
+    parts = [_seeds(texts.where(where), "item_tokens", masks) for where, masks in ((long, how.masks), (short, how.short_masks))]
+    seeds = saved_table(parts[0].union(parts[1]).select("seed", "mask", "item", F.col("at").alias("item_at")), "leak-seeds")
+    # Documents are searched by the masks that items have.
+    counts = {r["mask"]: r["count"] for r in seeds.groupBy("mask").count().collect()}
+    masks = [m for m in dict.fromkeys(how.masks + how.short_masks) if m in counts]
+    seeds = seeds.drop("mask")
+    if sum(counts.values()) <= how.broadcast_rows:
         seeds = F.broadcast(seeds)
 
     named = named_texts(docs, id_col, text_col)
     words = named.select("id", "doc", "mark", tokens(F.col("text")).alias("words"))
-    hits = _seeds(words, "words", how).join(seeds, "seed")
+    hits = _seeds(words, "words", masks).join(seeds, "seed")
     hits = hits.select("id", "doc", "mark", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = saved_table(hits, "leak-hits")
 
@@ -97,20 +108,21 @@ def remove_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     return named.join(found, ["doc", "mark"], "left_anti").select("row.*")
 
 
-def _seeds(rows: DataFrame, column: str, how: Seeds) -> DataFrame:
-    """``rows`` without the tokens, once for each seed, with ``seed`` and the position ``at``."""
+def _seeds(rows: DataFrame, column: str, masks: Sequence[str]) -> DataFrame:
+    """``rows`` without the tokens, once for each seed, with ``mask``, ``seed`` and the position ``at``."""
     keys = [c for c in rows.columns if c != column]
     hashed = rows.select(*keys, F.transform(column, lambda t: F.xxhash64(t)).alias("hashes"))
     size = F.size("hashes")
 
-    def under(number: int, mask: str) -> Column:
+    def under(mask: str) -> Column:
         held = [k for k, bit in enumerate(mask) if bit == "1"]
         starts = F.when(size >= len(mask), F.sequence(F.lit(0), size - len(mask))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.lit(number), *[F.get("hashes", i + k) for k in held]))
+        seeds = F.transform(starts, lambda i: F.xxhash64(F.lit(mask), *[F.get("hashes", i + k) for k in held]))
+        return F.struct(F.lit(mask).alias("mask"), seeds.alias("seeds"))
 
-    arrays = F.array(*[under(number, mask) for number, mask in enumerate(how.masks)])
-    by_mask = hashed.select(*keys, F.explode(arrays).alias("seeds"))
-    return by_mask.select(*keys, F.posexplode("seeds").alias("at", "seed"))
+    none = F.array().cast("array<struct<mask:string,seeds:array<bigint>>>")
+    by_mask = hashed.select(*keys, F.inline(F.array(*map(under, masks)) if masks else none))
+    return by_mask.select(*keys, "mask", F.posexplode("seeds").alias("at", "seed"))
 
 
 def _best_stretches(aligned: DataFrame, keys: list[str], how: Seeds) -> DataFrame:

@@ -2,6 +2,7 @@
 columns, and against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -247,6 +248,23 @@ def test_leaks_survive_substitutions(frame):
     assert sorted(map(str, joined)) == sorted(map(str, found))
 
 
+@pytest.mark.parametrize("sizes", [range(8, 14)])
+def test_leaks_under_every_allowed_substitution(frame, sizes):
+    items, docs, expected = [], [], set()
+    for n in sizes:
+        item = [f"i{n}t{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        most = n - (80 * n + 99) // 100
+        for changed in range(most + 2):
+            for places in itertools.combinations(range(n), changed):
+                text = ["x" if k in places else w for k, w in enumerate(item)]
+                docs.append((len(docs), "y " + " ".join(text) + " z"))
+                if changed <= most:
+                    expected.add((len(docs) - 1, n))
+    found = decontamination.leaks(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == expected
+
+
 def test_leaks_of_empty_tables(frame):
     docs, items = frame([(1, "a")], "doc_id long, text string"), frame([], "item_id long, text string")
     assert decontamination.leaks(docs, items).count() == 0
