@@ -8,7 +8,8 @@ at least 80 % equal ones. The default masks miss no such stretch: every pattern
 that leaves 80 % holds a seed.
 
 Everything is DataFrame functions. Tokens are lower-cased maximal runs of characters other than
-ASCII punctuation, white space and controls.
+ASCII punctuation, white space and controls. Letters of scripts without spaces (Han, Kana,
+Bopomofo, Yi, Thai, Lao, Tibetan, Myanmar, Khmer) are tokens of their own.
 """
 
 from __future__ import annotations
@@ -23,28 +24,40 @@ from tallyframe.llm.grouped import named_texts
 from tallyframe.session import saved_table
 
 _NO_TOKEN = r"[\x00-/:-@\[-`{-\x7f]+"
+# The first range rules out most letters by one comparison.
+_UNSPACED = (
+    r"[\u0E00-\x{3FFFF}&&[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3021-\u3029\u3031-\u3035"
+    r"\u3038-\u30FF\u3100-\u312F\u31A0-\u31BF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\uA4CF\uA9E0-\uA9FF\uAA60-\uAA7F"
+    r"\uF900-\uFAFF\uFF66-\uFF9F\x{1B000}-\x{1B16F}\x{20000}-\x{3FFFF}]]"
+)
 
 
 @dataclass(frozen=True)
 class Seeds:
     """Items of fewer tokens than ``shortest`` are too short to be told from chance: they never
-    match. Items of fewer than ``long_from`` tokens have the lighter ``short_masks``, which fewer
+    match, and are counted (``n_too_short``) and listed (``too_short``). Items of fewer than ``long_from`` tokens have the lighter ``short_masks``, which fewer
     equal tokens fill; documents are searched by them only if there are such items. Masks hold all
     stretches for the default ``stretch`` and ``percent``; lower percentages need lighter masks.
     Seeds are broadcast up to ``broadcast_rows`` (about 40 bytes each) and joined by a shuffle
     beyond."""
 
     masks: tuple[str, ...] = ("1110111", "11011011", "11111")
-    short_masks: tuple[str, ...] = ("1111", "11011")
+    short_masks: tuple[str, ...] = ("1111", "11011", "10111", "11101")
     long_from: int = 12
-    shortest: int = 8
+    shortest: int = 4
     stretch: int = 13
     percent: int = 80
     broadcast_rows: int = 500_000
 
 
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), _NO_TOKEN), "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), _UNSPACED, " $0 "), _NO_TOKEN), "")
+
+
+def too_short(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", how: Seeds = Seeds()) -> DataFrame:
+    """The items (item_id, n_tokens) with tokens, but fewer than ``shortest``, which are not looked for."""
+    found = benchmark.select(F.col(item_col).alias("item_id"), F.size(tokens(F.col(item_text_col).cast("string"))).alias("n_tokens"))
+    return found.where(F.col("n_tokens").between(1, how.shortest - 1))
 
 
 def leaks(
@@ -56,11 +69,11 @@ def leaks(
     item_text_col: str = "text",
     how: Seeds = Seeds(),
 ) -> DataFrame:
-    """Leaking pairs (doc_id, item_id, doc_token, item_token, matched, stretch, doc, mark).
+    """Leaking pairs (doc_id, item_id, doc_token, item_token, matched, stretch, doc, mark, n_too_short).
 
     The place is that of the best stretch, the first among equals; ``matched`` of its ``stretch``
-    tokens are equal. ``doc`` and ``mark`` name the text, as ids may be null or clash. Null and empty texts have no tokens and
-    match nothing. Repeated documents and repeated items give their pair once.
+    tokens are equal. ``doc`` and ``mark`` name the text, as ids may be null or clash. ``n_too_short`` is the
+    number of benchmark rows left out as too short. Null and empty texts have no tokens and match nothing. Repeated documents and repeated items give their pair once.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col).cast("string")).alias("item_tokens"))
     items = items.where(F.size("item_tokens") >= how.shortest)
@@ -88,6 +101,7 @@ def leaks(
     best = _best_stretches(aligned, keys, how).where(F.col("matched") * 100 >= F.col("stretch") * how.percent)
     best = best.groupBy(*keys).agg(F.max(F.struct("matched", "before_doc", "before_item", "stretch")).alias("best"))
     found = best.join(items.select("item_id", "item").distinct(), "item")
+    left_out = too_short(benchmark, item_col, item_text_col, how).count()
     return found.select(
         F.col("id").alias("doc_id"),
         "item_id",
@@ -97,6 +111,7 @@ def leaks(
         F.col("best.stretch").alias("stretch"),
         "doc",
         "mark",
+        F.lit(left_out).cast("long").alias("n_too_short"),
     )
 
 

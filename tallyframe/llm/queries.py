@@ -62,7 +62,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "doc_token", "item_token", "matched", "stretch").distinct()
+    return found.select("doc_id", "item_id", "doc_token", "item_token", "matched", "stretch", "n_too_short").distinct()
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,7 +248,7 @@ def test_leaks_survive_substitutions(frame):
     assert sorted(map(str, joined)) == sorted(map(str, found))
 
 
-@pytest.mark.parametrize("sizes", [range(8, 14)])
+@pytest.mark.parametrize("sizes", [range(8, 14), range(4, 8)])
 def test_leaks_under_every_allowed_substitution(frame, sizes):
     items, docs, expected = [], [], set()
     for n in sizes:
@@ -265,6 +265,18 @@ def test_leaks_under_every_allowed_substitution(frame, sizes):
     assert {(r["doc_id"], r["item_id"]) for r in found} == expected
 
 
+def test_short_and_unspaced_items(frame):
+    han = "敏捷的棕色狐狸跳过了那只懒惰的狗然后回家睡觉"
+    thai = "สุนัขจิ้งจอกสีน้ำตาล"
+    docs = [(1, f"前面的文字{han}后面的文字"), (2, f"x {han[:9]}猫{han[10:]}"), (3, f"ก่อน{thai}หลัง"), (4, "so what is the capital, then"), (5, "the capital what is"), (6, "狐狸"), (7, "to be")]
+    items = [(1, han), (2, thai), (3, "What is the capital?"), (4, "to be"), (5, "狐狸"), (6, None), (7, "...")]
+    corpus, benchmark = frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")
+    found = decontamination.leaks(corpus, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 1), (3, 2), (4, 3)}
+    assert {r["n_too_short"] for r in found} == {2}
+    assert {r["item_id"]: r["n_tokens"] for r in decontamination.too_short(benchmark).collect()} == {4: 2, 5: 2}
+
+
 def test_leaks_of_empty_tables(frame):
     docs, items = frame([(1, "a")], "doc_id long, text string"), frame([], "item_id long, text string")
     assert decontamination.leaks(docs, items).count() == 0
