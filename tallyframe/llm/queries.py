@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,7 @@ from tallyframe.llm import (
     sql,
     substring_dedup,
     token_counts,
+    turn_repair,
     url_filter,
     warc,
 )
@@ -107,6 +112,110 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Conversations with faults dealt by a checksum of conversation and turn. Dropped rows are marked
+    ``gone``."""
+    blank = F.lit(" ")
+    conv, turn = (F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn"))
+    named = turns.select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", blank).alias("role"),
+        F.coalesce("text", blank).alias("text"),
+        (F.crc32(F.concat(conv, F.lit(":"), turn)) % 20).alias("fate"),
+    )
+    fate = F.col("fate")
+    text = F.when(fate == 1, "").when(fate == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    harmed = named.select(
+        "conv_id",
+        "turn",
+        F.when(fate == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"),
+        (fate == 0).alias("gone"),
+        F.explode(F.when(fate == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    return harmed.drop("copy")
+
+
+_REPORT = (
+    "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, "
+    "audit string, repaired_sha256 string"
+)
+
+
+def repair_report(edited: DataFrame) -> DataFrame:
+    """One row a conversation from its edits, which pass by in order; texts are hashed as they pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: _Passing | None = None
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                if at is None or row["conv_id"] != at.conv:
+                    if at is not None:
+                        done.append(at.report())
+                    at = _Passing(row["conv_id"])
+                at.take(row)
+            yield _reports(done)
+        if at is not None:
+            yield _reports([at.report()])
+
+    return edited.mapInArrow(run, _REPORT)
+
+
+class _Passing:
+    """The figures of the conversation that passes by."""
+
+    def __init__(self, conv: int | None):
+        self.conv = conv
+        self.faults = {name: 0 for name in ("blank", "duplicate", "truncated")}
+        self.first = self.last = None
+        self.numbers = self.illegal = self.cost = 0
+        self.before = None
+        self.audit: list[str] = []
+        self.digest, self.begun = hashlib.sha256(), False
+
+    def take(self, row: dict) -> None:
+        edit = row["edit"]
+        if edit is None:
+            return
+        self.cost += row["cost"]
+        self.audit.append(edit)
+        if edit != "I":
+            self._faults_of(row)
+        if edit != "D":
+            line = f"{row['role']}:{row['text']}"
+            self.digest.update((f"\n{line}" if self.begun else line).encode())
+            self.begun = True
+
+    def _faults_of(self, row: dict) -> None:
+        if row["fault"] in self.faults:
+            self.faults[row["fault"]] += 1
+        turn, initial = row["turn"], row["old_role"][:1]
+        if turn is not None and turn != self.last:
+            self.first = turn if self.first is None else self.first
+            self.last, self.numbers = turn, self.numbers + 1
+        if self.before is not None and self.before + initial not in ("su", "ua", "au"):
+            self.illegal += 1
+        self.before = initial
+
+    def report(self) -> tuple:
+        gaps = 0 if self.first is None else self.last - self.first + 1 - self.numbers
+        return (self.conv, gaps, *self.faults.values(), self.illegal, self.cost, "".join(self.audit), self.digest.hexdigest())
+
+
+def _reports(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 7 + [pa.string()] * 2
+    columns = list(zip(*rows)) if rows else [()] * 9
+    names = [part.split()[0] for part in _REPORT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = damaged_turns(table(spark, sf_dir, "conversations"))
+    return repair_report(turn_repair.repair(damaged, absent="gone"))
+
+
 QUERIES = {
     "op1_warc_index": op1_warc_index,
     "op2_ordinal_quality": op2_ordinal_quality,
@@ -118,6 +227,7 @@ QUERIES = {
     "op8_bayes_minhash": op8_bayes_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op13_turn_repair": op13_turn_repair,
 }
 SQL: dict[str, str] = {
     "op1_warc_index": sql.WARC,
@@ -126,4 +236,5 @@ SQL: dict[str, str] = {
     "op6_url_vocabulary": sql.url_vocabulary(URL_RULES),
     "op7_lattice_dedup": sql.VECTORS,
     "op8_bayes_minhash": sql.NEAR_DOCUMENTS,
+    "op13_turn_repair": sql.TURN_REPAIR,
 }

@@ -137,3 +137,71 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(p.component_id
        coalesce(p.component_id, d.doc_id) = d.doc_id AS kept
 FROM docs d LEFT JOIN sizes n USING (doc_id) LEFT JOIN parts p ON p.node = d.doc_id
 """
+
+
+# Costs, letters and lines of the best ending from each state: nothing yet, after system, after user,
+# after assistant. Rows are taken from the last to the first.
+def _state(number: int) -> str:
+    options = [f"{{'c': 4 + b{number}.c, 's': 'D' || b{number}.s, 'l': b{number}.l}}"]
+    for initial, state in {0: (("s", 1), ("u", 2)), 1: (("u", 2),), 2: (("a", 3),), 3: (("u", 2),)}[number]:
+        kept = f"{{'c': extra + b{state}.c, 's': 'K' || b{state}.s, 'l': list_prepend(role || ':' || text, b{state}.l)}}"
+        options.append(f"CASE WHEN fault NOT IN (1, 2) AND role[1] = '{initial}' THEN {kept} END")
+    added, state = ("assistant", 3) if number == 2 else ("user", 2)
+    cast = f"{{'c': 3 + extra + b{state}.c, 's': 'R' || b{state}.s, 'l': list_prepend('{added}:' || text, b{state}.l)}}"
+    options.append(f"CASE WHEN fault NOT IN (1, 2) THEN {cast} END")
+    return f"list_min([x FOR x IN [{', '.join(options)}] IF x IS NOT NULL])"
+
+
+def _inserted(state: int, then: int) -> str:
+    role = "assistant" if state == 2 else "user"
+    return f"{{'c': 3 + e{then}.c, 's': 'I' || e{then}.s, 'l': list_prepend('{role}:', e{then}.l)}}"
+
+
+_ENDING = "STRUCT(c BIGINT, s VARCHAR, l VARCHAR[])"
+
+TURN_REPAIR = rf"""
+WITH RECURSIVE bytes AS (
+  SELECT list_transform(range(256), lambda k: list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+), named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS codes
+  FROM conversations
+), dealt AS (
+  SELECT n.* EXCLUDE codes, xor(4294967295, list_reduce(list_prepend(4294967295, codes), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) % 20 AS fate
+  FROM named n, bytes
+), harmed AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM dealt WHERE fate <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS visible FROM harmed
+), judged AS (
+  SELECT *, CASE WHEN visible = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(visible, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), rows AS (
+  SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS extra FROM judged
+), facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 1)::BIGINT AS blank,
+         count_if(fault = 2)::BIGINT AS duplicate, count_if(fault = 3)::BIGINT AS truncated,
+         count_if(before[1] || role[1] NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(i) AS n
+  FROM rows GROUP BY conv_id
+), endings(conv_id, i, b0, b1, b2, b3) AS (
+  SELECT conv_id, n + 1, {{'c': 0, 's': '', 'l': []}}::{_ENDING}, {{'c': 6, 's': 'II', 'l': ['user:', 'assistant:']}}::{_ENDING},
+         {{'c': 3, 's': 'I', 'l': ['assistant:']}}::{_ENDING}, {{'c': 0, 's': '', 'l': []}}::{_ENDING} FROM facts
+  UNION ALL
+  SELECT conv_id, i, least(e0, {_inserted(0, 2)}, i2), least(e1, {_inserted(1, 2)}, i2), least(e2, {_inserted(2, 3)}), least(e3, {_inserted(3, 2)})
+  FROM (SELECT *, {{'c': 6 + e3.c, 's': 'II' || e3.s, 'l': list_concat(['user:', 'assistant:'], e3.l)}} AS i2
+    FROM (SELECT r.conv_id, r.i, {_state(0)} AS e0, {_state(1)} AS e1, {_state(2)} AS e2, {_state(3)} AS e3
+      FROM endings e JOIN rows r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i - 1))
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b0.c, 0)::BIGINT AS cost,
+       coalesce(b0.s, '') AS audit, sha256(coalesce(array_to_string(b0.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN endings e ON e.conv_id IS NOT DISTINCT FROM c.conv_id AND e.i = 1
+"""
