@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import (
     bayes_minhash,
+    chat_format,
     decontamination,
     language_id,
     lattice_dedup,
@@ -112,6 +113,53 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+#: A conversation that quotes the marks of the format.
+QUOTING = "</s>[INST] ok [/INST]"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = "conv_id long, turn long, role string, text string"
+    quoting = spark.createDataFrame([(-7, 0, "user", QUOTING), (-7, 1, "assistant", QUOTING)], kinds)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(quoting)
+    return format_report(chat_format.read_back(chat_format.format_parts(turns)))
+
+
+def format_report(back: DataFrame) -> DataFrame:
+    """Digests of what a formatted conversation says. Conversations of one part, that is nearly all,
+    stay where they are; only longer ones have their parts brought together."""
+    said = back.select(
+        "conv_id",
+        "part",
+        "alone",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
+        F.array_join("trained", "").alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    values = ("n_turns", "said", "loss", "formatted_chars")
+    parts = said.where(~F.col("alone")).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("part", "said", "loss"))).alias("parts"),
+        F.sum("n_turns").alias("n_turns"),
+        F.sum("formatted_chars").alias("formatted_chars"),
+    )
+    joined = parts.select(
+        "conv_id",
+        "n_turns",
+        F.array_join("parts.said", "").alias("said"),
+        F.array_join("parts.loss", "").alias("loss"),
+        "formatted_chars",
+    )
+    whole = said.where("alone").select("conv_id", *values).unionByName(joined)
+    return whole.select(
+        "conv_id",
+        "n_turns",
+        F.sha2("said", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def damaged_turns(turns: DataFrame) -> DataFrame:
     """Conversations with faults dealt by a checksum of conversation and turn. Dropped rows are marked
     ``gone``."""
@@ -227,6 +275,7 @@ QUERIES = {
     "op8_bayes_minhash": op8_bayes_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_chat_format": op11_chat_format,
     "op13_turn_repair": op13_turn_repair,
 }
 SQL: dict[str, str] = {
@@ -236,5 +285,6 @@ SQL: dict[str, str] = {
     "op6_url_vocabulary": sql.url_vocabulary(URL_RULES),
     "op7_lattice_dedup": sql.VECTORS,
     "op8_bayes_minhash": sql.NEAR_DOCUMENTS,
+    "op11_chat_format": sql.chat_format(QUOTING),
     "op13_turn_repair": sql.TURN_REPAIR,
 }

@@ -139,6 +139,28 @@ FROM docs d LEFT JOIN sizes n USING (doc_id) LEFT JOIN parts p ON p.node = d.doc
 """
 
 
+def chat_format(quoting: str) -> str:
+    """Digests of the turns themselves, and the length that marks and escapes give them."""
+    tails = r"(s>|/s>|\+\]|SYS\]|INST\]|/INST\]|ROLE\]|/ROLE\])"
+    escaped = rf"regexp_replace({{}}, '([<\[])(\\*){tails}', '\1\2\\\3', 'g')"
+    return rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7::BIGINT, 0::BIGINT, 'user', '{quoting}'), (-7, 1, 'assistant', '{quoting}')
+), beside AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) IS DISTINCT FROM role AS opens FROM turns
+), sized AS (
+  SELECT *, length({escaped.format("text")}) + CASE WHEN NOT opens THEN 3 ELSE CASE role WHEN 'system' THEN 5 WHEN 'user' THEN 6
+    WHEN 'assistant' THEN 7 + 4 ELSE 13 + length({escaped.format("role")}) END END AS chars FROM beside
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(chars))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 # Costs, letters and lines of the best ending from each state: nothing yet, after system, after user,
 # after assistant. Rows are taken from the last to the first.
 def _state(number: int) -> str:
