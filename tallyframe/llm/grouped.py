@@ -42,12 +42,14 @@ def map_groups(
     work: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     schema: str,
     together: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Apply ``work`` to the rows of each key, or ``together`` to several whole groups at a time.
     Keys are integers without nulls.
 
     Rows are dealt by key and sorted in their partition, so that groups pass as a stream and one
-    group at a time is in memory. Callers keep groups bounded, see ``in_blocks``.
+    group at a time is in memory. Callers keep groups bounded, see ``in_blocks``. ``partitions`` is
+    for work whose cost does not show in the size of its rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +65,8 @@ def map_groups(
             cuts = [0] if together else _cuts(whole, keys)
             yield from _results(work, whole, [*cuts, whole.num_rows])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    dealt = df.repartition(*keys) if partitions is None else df.repartition(partitions, *keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def in_blocks(members: DataFrame, sizes: DataFrame, keys: Sequence[str], by: str, limit: int) -> DataFrame:

@@ -17,6 +17,7 @@ from tallyframe.llm import (
     language_id,
     lattice_dedup,
     ordinal_quality,
+    ranked_search,
     source_mixing,
     sql,
     substring_dedup,
@@ -160,6 +161,11 @@ def format_report(back: DataFrame) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"), k=10)
+
+
 def damaged_turns(turns: DataFrame) -> DataFrame:
     """Conversations with faults dealt by a checksum of conversation and turn. Dropped rows are marked
     ``gone``."""
@@ -276,6 +282,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
     "op11_chat_format": op11_chat_format,
+    "op12_ranked_search": op12_ranked_search,
     "op13_turn_repair": op13_turn_repair,
 }
 SQL: dict[str, str] = {
@@ -286,5 +293,6 @@ SQL: dict[str, str] = {
     "op7_lattice_dedup": sql.VECTORS,
     "op8_bayes_minhash": sql.NEAR_DOCUMENTS,
     "op11_chat_format": sql.chat_format(QUOTING),
+    "op12_ranked_search": sql.RANKED,
     "op13_turn_repair": sql.TURN_REPAIR,
 }
