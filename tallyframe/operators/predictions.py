@@ -115,7 +115,18 @@ def predictions_from_responses(
     last = latest(responses, keys, order).withColumnsRenamed(
         {"error_type": "_error_type", "error_message": "_error_message"}
     )
-    joined = requests.join(last, keys, "left")
+    return as_predictions(requests.join(last, keys, "left"), run_id, prompt_version, keep_raw)
+
+
+def as_predictions(
+    joined: DataFrame,
+    run_id: str,
+    prompt_version: str = "v1",
+    keep_raw: bool = False,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Predictions from requests with the columns of their response beside them, whose error columns
+    begin with an underscore; without a response these are null."""
     invalid = F.col("request_status") == "error"
     missing = F.col("response_status").isNull()
     success = ~invalid & F.coalesce(F.col("response_status") == "success", F.lit(False))
@@ -126,7 +137,8 @@ def predictions_from_responses(
     raw = [F.when(success, F.col("raw_response")).alias("raw_response")] if keep_raw else []
     return joined.select(
         F.lit(run_id).alias("run_id"),
-        *keys,
+        *PAIR_KEYS,
+        *carry,
         F.when(success, "success").otherwise("error").alias("status"),
         F.lit(prompt_version).alias("prompt_version"),
         if_ok("response_text"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +104,68 @@ def appended_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stopped(rows: DataFrame) -> DataFrame:
+    """Rows whose writing fails at the last of them, when most files are written."""
+    last = F.col("row_ordinal") == rows.agg(F.max("row_ordinal")).first()[0]
+    return rows.withColumn("response_text", F.when(last, F.raise_error(F.lit("stopped"))).otherwise(F.col("response_text")))
+
+
+@query(
+    """SELECT dataset AS dataset_name, model, count(*) AS n, CAST(count_if(completed_at < TIMESTAMP '2024-01-15') AS BIGINT) AS first_run,
+    CAST(max(row_ordinal) AS BIGINT) AS last_ordinal, true AS failed
+    FROM fx_log WHERE completed_at < TIMESTAMP '2024-01-15' OR completed_at >= TIMESTAMP '2024-01-22' GROUP BY ALL"""
+)
+def failed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs append to one table; the second fails when most of its files are written. Readers
+    see the first and the third."""
+    rows = _predictions(spark, sf_dir)
+    path, at = work_path(spark, "failed-append"), F.col("completed_at")
+    writers.append_predictions(rows.filter(at < "2024-01-15"), path)
+    try:
+        writers.append_predictions(_stopped(rows.filter((at >= "2024-01-15") & (at < "2024-01-22"))), path)
+        failed = False
+    except PySparkException:
+        failed = True
+    writers.append_predictions(rows.filter(at >= "2024-01-22"), path)
+    recorded = readers.read_predictions(spark, path)
+    return recorded.groupBy("dataset_name", "model").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("completed_at") < "2024-01-15").alias("first_run"),
+        F.max("row_ordinal").alias("last_ordinal"),
+        F.lit(failed).alias("failed"),
+    )
+
+
+@query(
+    """SELECT 'before' AS seen, dataset AS dataset_name, model, count(*) AS n, round(avg(latency_ms), 6) AS avg_latency_ms
+    FROM fx_log WHERE completed_at < TIMESTAMP '2024-01-15' GROUP BY ALL
+    UNION ALL SELECT 'failed reset', dataset, model, count(*), round(avg(latency_ms), 6)
+    FROM fx_log WHERE completed_at < TIMESTAMP '2024-01-15' GROUP BY ALL
+    UNION ALL SELECT 'after', dataset, model, count(*), round(avg(latency_ms), 6)
+    FROM fx_log WHERE completed_at >= TIMESTAMP '2024-01-15' GROUP BY ALL"""
+)
+def swapped_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reset puts one run in the place of another at once: a reader from before goes on with the old
+    rows, a failed reset changes nothing, a new reader has the new rows alone."""
+    rows = _predictions(spark, sf_dir)
+    path, early = work_path(spark, "swapped-run"), F.col("completed_at") < "2024-01-15"
+    writers.append_predictions(rows.filter(early), path)
+    before = readers.read_predictions(spark, path)
+    try:
+        writers.append_predictions(_stopped(rows.filter(~early)), path, reset=True)
+    except PySparkException:
+        failed = readers.read_predictions(spark, path)
+    writers.append_predictions(rows.filter(~early), path, reset=True)
+    seen = {"before": before, "failed reset": failed, "after": readers.read_predictions(spark, path)}
+    views = [
+        df.groupBy(F.lit(name).alias("seen"), "dataset_name", "model").agg(
+            F.count("*").alias("n"), F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms")
+        )
+        for name, df in seen.items()
+    ]
+    return views[0].unionByName(views[1]).unionByName(views[2])
+
+
 @query(
     """SELECT DISTINCT query_id AS example_id FROM fx_log"""
 )
@@ -137,7 +200,7 @@ def written_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores appended, read back, summarised, and the summaries written as small JSON."""
     scores_path = work_path(spark, "scores")
     writers.append_scores(suite_scores(spark, sf_dir), scores_path, reset=True)
-    scores = spark.read.schema(schemas.SCORE).json(scores_path)
+    scores = readers.read_predictions(spark, scores_path, schemas.SCORE)
     summary_path = work_path(spark, "summaries")
     summary = summaries.pair_summaries(scores)
     writers.write_small_json(summary, summary_path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe import schemas
 from tallyframe.operators.comparison import normalize_log
 from tallyframe.operators.ranking import number_rows
+from tallyframe.sources.commits import CommittedTable
 
 SPLIT_ALIASES = {"validation": "dev", "test": "mini-test", "mini_test": "mini-test"}
 
@@ -132,17 +133,19 @@ def read_suite(spark: SparkSession, suite_dir: str) -> DataFrame:
     )
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Appended predictions with the names they were written with."""
-    if not existing_paths(spark, path):
-        return spark.createDataFrame([], schemas.PREDICTION)
-    rows = spark.read.schema(schemas.PREDICTION).json(path)
+def read_predictions(spark: SparkSession, path: str, schema: str = schemas.PREDICTION) -> DataFrame:
+    """Committed predictions, or score records by their schema, with the names they were written with."""
+    pair = "dataset_slug string, model_slug string"
+    rows = CommittedTable(spark, path).read(f"{schema}, {pair}", "json")
     return rows.drop("dataset_slug", "model_slug")
 
 
 def read_recorded_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct example ids recorded in prediction files; only that field is parsed."""
-    rows = read_json(spark, path, "example_id string")
+    """Distinct example ids recorded in committed predictions or in plain prediction files; only that
+    field is parsed."""
+    table = CommittedTable(spark, path)
+    one = "example_id string"
+    rows = table.read(one, "json") if table.exists() else read_json(spark, path, one)
     return rows.select("example_id").filter(F.col("example_id").isNotNull()).distinct()
 
 

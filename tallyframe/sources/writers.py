@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.text import slug
+from tallyframe.sources.commits import CommittedTable
 
 
 def _rebalanced(df: DataFrame, *names: str) -> DataFrame:
@@ -21,7 +22,8 @@ def write_mixed(df: DataFrame, path: str) -> None:
 
 
 def append_predictions(df: DataFrame, path: str, reset: bool = False) -> None:
-    """Append predictions under their dataset and model; ``reset`` starts over instead.
+    """Append predictions under their dataset and model, or put them in the place of all earlier ones
+    with ``reset``. Either is one commit: readers see all of its rows or none.
 
     Only the folders have file-name-safe names; the rows keep the real ones.
     """
@@ -29,8 +31,9 @@ def append_predictions(df: DataFrame, path: str, reset: bool = False) -> None:
     named = df.withColumns(
         {"dataset_slug": slug(F.col("dataset_name")), "model_slug": slug(F.col("model"))}
     )
-    mode = "overwrite" if reset else "append"
-    _rebalanced(named, *pair).write.mode(mode).partitionBy(*pair).json(path)
+    table = CommittedTable(df.sparkSession, path)
+    write = table.replace if reset else table.append
+    write(lambda folder: _rebalanced(named, *pair).write.partitionBy(*pair).json(folder))
 
 
 def append_scores(df: DataFrame, path: str, reset: bool = False) -> None:
