@@ -47,7 +47,8 @@ def order_statistics(
 
     ``ranks`` maps an output column to a function from the group's row count to a rank, which may
     also use the group columns. Ranks past the end give the last value, below one they give null.
-    ``<name>_at`` is the place of the rank among the rows that tie with that value, from 1.
+    ``<name>_at`` is the place of the rank among the rows that tie with that value, from 1, and
+    ``<name>_of`` the number of those rows.
     A ``numeric`` order may crowd into one bucket; the bucket that is hit is then cut once more
     into even steps between its own extremes.
     """
@@ -106,7 +107,7 @@ def order_statistics(
             *[
                 F.max(F.when(F.col("_name") == name, F.col(column))).alias(name + suffix)
                 for name in ranks
-                for column, suffix in (("_key", ""), ("_rank", "_at"))
+                for column, suffix in (("_key", ""), ("_rank", "_at"), ("_n", "_of"))
             ]
         )
     )
@@ -124,6 +125,12 @@ def _at_rank(counted: DataFrame) -> DataFrame:
     ).withColumn("_rank", F.col("_rank") - before)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A number from all columns of a row; maps, which have no hash, by their JSON text."""
+    parts = [F.to_json(name) if "map<" in kind else F.col(name) for name, kind in df.dtypes]
+    return F.xxhash64(*parts)
+
+
 def take_first(
     df: DataFrame,
     groups: Sequence[str],
@@ -134,15 +141,16 @@ def take_first(
 ) -> DataFrame:
     """First rows of each group, exactly up to a quota that may depend on the group's size.
 
-    The full rows are scanned once against the group's cut-off; only those that tie with it are
-    ranked among each other, by a hash of the row.
+    Rows that tie with the cut-off are told apart by a hash of the whole row, whose own cut-off is
+    found in the same way; equal rows count as one with a number of copies. So no task sees all
+    rows of a value. Without such ties the rows are scanned once more and only filtered.
     """
-    joined = _with_cutoffs(df, groups, order, bucket, quota, numeric)
-    ties = W.partitionBy(*groups, "_order").orderBy(F.xxhash64(*[F.col(c) for c in df.columns]))
-    tied = joined.filter(F.col("_order") == F.col("_cutoff"))
-    tied = tied.withColumn("_place", F.row_number().over(ties)).filter("_place <= _cutoff_at")
-    below = joined.filter(F.col("_order") < F.col("_cutoff"))
-    return below.select(df.columns).unionByName(tied.select(df.columns))
+    placed, torn = _placed(df, groups, order, bucket, quota, numeric)
+    taken = placed.filter(_surely_first(torn)).select(df.columns)
+    if not torn:
+        return taken
+    copies = _copies(placed, groups, df.columns, lambda n: F.col("_tie_at"))
+    return taken.unionByName(copies.select(df.columns))
 
 
 def mark_first(
@@ -153,30 +161,76 @@ def mark_first(
     quota: Callable[[Column], Column],
     name: str,
 ) -> DataFrame:
-    """Keep every row and say in ``name`` whether it is among the first of its group.
+    """Keep every row and say in ``name`` whether it is among the first of its group, of which exactly
+    the quota are; ties as in ``take_first``."""
+    placed, torn = _placed(df, groups, order, bucket, quota)
+    taken = F.coalesce(_surely_first(torn), F.lit(False)).alias(name)
+    if not torn:
+        return placed.select(*df.columns, taken)
+    clear = placed.filter(~F.coalesce(F.col("_hash") == F.col("_tie"), F.lit(False)))
+    copies = _copies(placed, groups, df.columns, lambda n: n)
+    marked = copies.select(*df.columns, (F.col("_copy") <= F.col("_tie_at")).alias(name))
+    return clear.select(*df.columns, taken).unionByName(marked)
 
-    Rows that tie with the cut-off are all marked, so ``order`` should be unique inside a group.
-    """
-    joined = _with_cutoffs(df, groups, order, bucket, quota)
-    taken = F.coalesce(F.col("_order") <= F.col("_cutoff"), F.lit(False))
-    return joined.withColumn(name, taken).drop("_order", "_cutoff", "_cutoff_at")
+
+def _surely_first(torn: bool) -> Column:
+    """Whether a row is among the first, whichever of the rows at a torn cut-off are taken."""
+    if not torn:
+        return F.col("_order") <= F.col("_cutoff")
+    at_cutoff = F.col("_tie").isNull() | (F.col("_hash") < F.col("_tie"))
+    return (F.col("_order") < F.col("_cutoff")) | ((F.col("_order") == F.col("_cutoff")) & at_cutoff)
+
+
+# Rows that a task makes from one row and its count.
+_COPIES = 10_000
 
 
-def _with_cutoffs(
+def _copies(placed: DataFrame, groups: Sequence[str], columns: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
+    """The equal rows that the cut-off falls into, counted, and as many of them written out again as
+    are wanted of their number, over several tasks. ``_copy`` numbers them."""
+    equal = placed.filter(F.col("_hash") == F.col("_tie"))
+    one = equal.groupBy(*groups, "_hash", "_tie_at").agg(
+        F.first(F.struct(*columns)).alias("_row"), F.count("*").alias("_n")
+    )
+    blocks = F.explode(F.sequence(F.lit(0), F.floor((wanted(F.col("_n")) - 1) / _COPIES)))
+    dealt = one.withColumn("_block", blocks).repartition("_hash", "_block")
+    last = F.least(wanted(F.col("_n")), (F.col("_block") + 1) * _COPIES)
+    copies = dealt.withColumn("_copy", F.explode(F.sequence(F.col("_block") * _COPIES + 1, last)))
+    return copies.select("_row.*", "_copy", "_tie_at")
+
+
+def _placed(
     df: DataFrame,
     groups: Sequence[str],
     order: Column,
     bucket: Column,
     quota: Callable[[Column], Column],
     numeric: bool = False,
-) -> DataFrame:
+) -> tuple[DataFrame, bool]:
+    """The rows with their order and their group's cut-off, and whether some group takes only part of
+    the rows at its cut-off. Then these have a hash, and the cut-off among the hashes."""
+    columns = df.columns
     one = [] if groups else ["_one"]
     df = df.withColumn("_one", F.lit(1)) if one else df
     keys = [*groups, *one]
     cutoffs = order_statistics(df, keys, order, bucket, {"_cutoff": quota}, numeric)
     cutoffs = saved_table(cutoffs, "cutoffs")
     joined = join_null_safe(df.withColumn("_order", order), cutoffs, keys, "left")
-    return joined.drop(*one)
+    torn = cutoffs.filter("_cutoff_at < _cutoff_of")
+    if torn.isEmpty():
+        return joined, False
+    hashed = row_hash(df.select(columns))
+    some = join_null_safe(df.withColumn("_order", order), torn, keys)
+    ties = order_statistics(
+        some.filter(F.col("_order") == F.col("_cutoff")),
+        [*keys, "_cutoff_at"],
+        hashed,
+        F.shiftright(hashed, 52),
+        {"_tie": lambda _: F.col("_cutoff_at")},
+    )
+    ties = saved_table(ties.select(*keys, "_tie", "_tie_at"), "ties")
+    placed = join_null_safe(joined, ties, keys, "left")
+    return placed.withColumn("_hash", F.when(F.col("_order") == F.col("_cutoff"), hashed)), True
 
 
 def number_rows(df: DataFrame, groups: Sequence[str], position: str, name: str) -> DataFrame:
@@ -184,9 +238,10 @@ def number_rows(df: DataFrame, groups: Sequence[str], position: str, name: str)
 
     Rows are dealt by ranges of group and position and written with their range; a row's number is
     its place in the range plus the rows of its group in earlier ranges. Only the counts per range
-    meet in one window.
+    meet in one window. Rows of one position go by a hash of the row, so that they can be dealt too.
     """
-    ranged = df.repartitionByRange(*groups, position).withColumn("_range", F.spark_partition_id())
+    hashed = df.withColumn("_hash", row_hash(df))
+    ranged = hashed.repartitionByRange(*groups, position, "_hash").withColumn("_range", F.spark_partition_id())
     ranged = saved_table(ranged, "ranged")
     keys = [*groups, "_range"]
     counts = ranged.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -195,11 +250,11 @@ def number_rows(df: DataFrame, groups: Sequence[str], position: str, name: str)
     offsets = counts.select(
         *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    inside = W.partitionBy(*keys).orderBy(position)
+    inside = W.partitionBy(*keys).orderBy(position, "_hash")
     return (
         join_null_safe(ranged, saved_table(offsets, "offsets"), keys)
         .withColumn(name, F.col("_offset") + F.row_number().over(inside))
-        .drop("_range", "_offset")
+        .drop("_range", "_offset", "_hash")
     )
 
 

@@ -327,3 +327,57 @@ def test_ranks(spark):
     assert lone["runner_up_model"] == "c"
     with pytest.raises(ValueError):
         leaderboard.select_council(df, "random")
+
+
+def test_samples_of_one_key_are_exact_and_dealt(spark):
+    """A million rows of one key: exactly n of them, the same ones again, and no task with all."""
+    rows = spark.range(1_000_000).select(F.lit("k").alias("key"), (F.col("id") % 250_000).alias("body"))
+    for n in (1000, 600_001):
+        sample = sampling.seeded_sample(rows.repartition(8), "key", n)
+        assert sample.count() == n
+        copies = {r["copies"]: r["n"] for r in sample.groupBy("body").agg(F.count("*").alias("copies")).groupBy("copies").agg(F.count("*").alias("n")).collect()}
+        # Bodies come four times each; all but one of those taken are taken whole.
+        assert set(copies) <= {4, n % 4 or 4} and sum(k * v for k, v in copies.items()) == n
+    first = sampling.seeded_sample(rows.repartition(3), "key", 777).agg(F.sum("body"), F.bit_xor("body")).first()
+    assert first == sampling.seeded_sample(rows.repartition(11), "key", 777).agg(F.sum("body"), F.bit_xor("body")).first()
+
+
+def test_equal_rows_are_written_out_by_several_tasks(spark):
+    rows = spark.range(1_000_000).select(F.lit("k").alias("key"), F.create_map(F.lit("a"), F.lit(1)).alias("more"))
+    sample = sampling.seeded_sample(rows, "key", 500_000)
+    # So small a result would otherwise be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sample.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in sizes) == 500_000 and max(r["count"] for r in sizes) <= 250_000
+    assert sample.first()["more"] == {"a": 1}
+
+
+def test_split_of_repeated_keys_is_exact(spark):
+    rows = [("a", k % 3, k) for k in range(1000)] + [("b", 1, 1)] * 77 + [("c", k, k) for k in range(10)] + [(None, 5, k) for k in range(9)]
+    df = spark.createDataFrame(rows, "source_dataset string, key long, body long")
+    split = sampling.split_dev_test(df, "key").drop("old")
+    counts = {r["source_dataset"]: (r["dev"], r["n"]) for r in split.groupBy("source_dataset").agg(F.count_if(F.col("split") == "dev").alias("dev"), F.count("*").alias("n")).collect()}
+    assert counts == {"a": (600, 1000), "b": (46, 77), "c": (6, 10), None: (5, 9)}
+    back = sorted((r["source_dataset"] or "", r["key"], r["body"]) for r in split.collect())
+    assert back == sorted((s or "", k, b) for s, k, b in rows)
+
+
+def test_balanced_samples_of_repeated_keys(spark):
+    rows = [(label, 1, k) for label in "xyz" for k in range(500)]
+    df = spark.createDataFrame(rows, "label string, key long, body long").withColumn("can", F.col("label") == "x")
+    sample = sampling.label_balanced_sample(df, "label", "key", 99)
+    assert sample.count() == 99 and max(r["count"] for r in sample.groupBy("label").count().collect()) <= 34
+    parts = sampling.answerability_sample(df, "can", "key", 50)
+    assert parts.filter("can").count() == 45 and parts.filter("NOT can").count() == 5
+
+
+def test_numbers_of_one_position_are_dealt(spark):
+    df = spark.range(200_000).select(F.lit(1).alias("g"), F.lit(7).alias("at"), F.col("id").alias("body"))
+    numbered = ranking.number_rows(df, ["g"], "at", "n")
+    stats = numbered.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()
+    assert tuple(stats) == (1, 200_000, 200_000) and set(numbered.columns) == {"g", "at", "body", "n"}
+    again = ranking.number_rows(df.repartition(5), ["g"], "at", "n")
+    assert numbered.join(again, ["body", "n"]).count() == 200_000
