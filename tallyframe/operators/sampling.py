@@ -15,6 +15,7 @@ from tallyframe.functions.text import stable_id, text_or_empty
 from tallyframe.operators.ranking import (
     mark_first,
     number_rows,
+    row_hash,
     shuffle_bucket,
     shuffle_key,
     take_first,
@@ -377,8 +378,17 @@ def sample_sources(
     """Unified samples of n rows per source, with their ``sample_order``.
 
     The tables are scanned once for keys, strata and filters; all quotas are cut off together, and
-    only the chosen rows are read again with their texts.
+    only the chosen rows are read again with their texts, in one pass over all sources.
     """
+    chosen = _chosen_rows(raw_by_source, n, seed, key)
+    return _fetched(raw_by_source, chosen, key).select("*", "_chosen.sample_order").drop("_chosen")
+
+
+def _chosen_rows(
+    raw_by_source: dict[str, DataFrame], n: int, seed: int, key: str, dev_share: float = 0.0
+) -> DataFrame:
+    """The sample's rows by source, key and stratum: an array of the places, orders and splits of the
+    rows that share them."""
     slim = union_sources(
         [
             raw.filter(SOURCES[name].usable(raw)).select(
@@ -394,23 +404,34 @@ def sample_sources(
     for name in raw_by_source:
         mine = F.col("_source") == name
         quota = F.when(mine, SOURCES[name].quota(n, F.col("_stratum"))).otherwise(quota)
-    slim = saved_table(slim, "sample-keys").withColumnRenamed("_order", "_sample_order")
-    order = F.col("_sample_order")
+    slim = saved_table(slim, "sample-keys").withColumnRenamed("_order", "sample_order")
+    order = F.col("sample_order")
     firsts = take_first(slim, ["_source", "_stratum"], order, shuffle_bucket(order), lambda _: quota)
     # A few quotas per source are left, of which n rows stay.
-    place = F.row_number().over(W.partitionBy("_source").orderBy("_sample_order", "_stratum"))
-    chosen = firsts.withColumn("_place", place).filter(F.col("_place") <= n)
-    chosen = chosen.groupBy("_source", "_key").agg(F.count("*").alias("_rows"))
-    chosen = saved_table(chosen, "sample-chosen")
+    source = W.partitionBy("_source")
+    placed = firsts.withColumn("place", F.row_number().over(source.orderBy("sample_order", "_stratum")))
+    placed = placed.filter(F.col("place") <= n)
+    second = source.orderBy(shuffle_key(F.col("sample_order"), seed), "place")
+    dev = F.row_number().over(second) <= F.floor(F.count("*").over(source) * F.lit(dev_share))
+    row = F.struct("place", "sample_order", "dev")
+    grouped = placed.withColumn("dev", dev).groupBy("_source", "_key", "_stratum").agg(
+        F.array_sort(F.collect_list(row)).alias("_rows")
+    )
+    return saved_table(grouped, "sample-chosen")
+
+
+def _fetched(raw_by_source: dict[str, DataFrame], chosen: DataFrame, key: str) -> DataFrame:
+    """The chosen rows in the shared schema, each with its ``_chosen`` place, order and split."""
     parts = []
     for name, raw in raw_by_source.items():
-        mine = chosen.filter(F.col("_source") == name).select("_key", "_rows")
-        keyed = raw.filter(SOURCES[name].usable(raw)).withColumn("_key", F.col(key).cast("string"))
+        mine = chosen.filter(F.col("_source") == name).select("_key", "_stratum", "_rows")
+        named = {"_key": F.col(key).cast("string"), "_stratum": SOURCES[name].stratum(raw)}
+        keyed = raw.filter(SOURCES[name].usable(raw)).withColumns(named)
         # Rows of one key are told apart by a hash; no more of them stay than were chosen.
-        same = W.partitionBy("_key").orderBy(F.xxhash64(F.col(key), SOURCES[name].stratum(raw)))
-        rows = keyed.join(mine, "_key").withColumn("_nth", F.row_number().over(same))
-        rows = rows.filter("_nth <= _rows").withColumn("sample_order", shuffle_key(F.col(key), seed))
-        parts.append(source_rows(rows, name, keep=("sample_order",)))
+        same = W.partitionBy("_key", "_stratum").orderBy(row_hash(raw))
+        rows = join_null_safe(keyed, mine, ["_key", "_stratum"]).withColumn("_nth", F.row_number().over(same))
+        rows = rows.withColumn("_chosen", F.get("_rows", F.col("_nth") - 1)).filter("_chosen IS NOT NULL")
+        parts.append(source_rows(rows, name, keep=("_chosen",)))
     return union_sources(parts)
 
 
@@ -420,8 +441,19 @@ def build_mixed_dataset(
     dev_share: float = 0.6,
     seed: int = 42,
     key: str = "row_ordinal",
+    flagged: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Sample every source, unite, flag the hallucination subset and split per source."""
-    mixed = saved_table(sample_sources(raw_by_source, rows_per_source, seed, key), "mixed-sample")
-    flagged = flag_subset(mixed, "sample_order")
-    return split_dev_test(flagged, "sample_order", dev_share, seed).drop("sample_order")
+    """Sample every source, unite, flag the hallucination subset and split per source.
+
+    Places in the sample settle all three, so that flags and splits need no further pass; they are
+    those of ``flag_subset`` and ``split_dev_test`` on the united sample.
+    """
+    chosen = _chosen_rows(raw_by_source, rows_per_source, seed, key, dev_share)
+    mixed = _fetched(raw_by_source, chosen, key)
+    quota = F.lit(0)
+    for name, rows in (fv.FLAGGED_PER_SOURCE if flagged is None else flagged).items():
+        quota = F.when(F.col("source_dataset") == name, rows).otherwise(quota)
+    # Every row of a flagged id is flagged.
+    first = F.max(F.col("_chosen.place") <= quota).over(W.partitionBy("id"))
+    split = F.when(F.col("_chosen.dev"), "dev").otherwise("mini-test")
+    return mixed.withColumns({"hallucination_subset": first, "split": split}).drop("_chosen")

@@ -215,6 +215,21 @@ def mixed_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("id", "source_dataset", "original_id", "hallucination_subset", "split")
 
 
+@query(
+    f"""WITH firsts AS (SELECT row_ordinal % 40 AS id, source_dataset FROM (SELECT *, row_number() OVER
+      (PARTITION BY source_dataset ORDER BY {_KEY}) AS place FROM fx_raw) WHERE place <= CASE source_dataset
+      WHEN 'FEVER' THEN 3 WHEN 'MuSiQue' THEN 5 ELSE 0 END)
+    SELECT row_ordinal, source_dataset, row_ordinal % 40 IN (SELECT id FROM firsts) AS hallucination_subset FROM fx_raw"""
+)
+def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags by quotas per source; all rows of a flagged id have the flag."""
+    raw = view(spark, sf_dir, "fx_raw").select("row_ordinal", "source_dataset")
+    order = ranking.shuffle_key(F.col("row_ordinal"), 42)
+    keyed = raw.withColumns({"sample_order": order, "id": F.col("row_ordinal") % 40})
+    flagged = sampling.flag_subset(keyed, "sample_order", {"FEVER": 3, "MuSiQue": 5})
+    return flagged.select("row_ordinal", "source_dataset", "hallucination_subset")
+
+
 @query(
     """SELECT row_ordinal, CASE WHEN row_ordinal = (SELECT max(row_ordinal) FROM fx_raw)
     THEN 'code,fact-verification' ELSE 'code' END AS skill_tags FROM fx_raw"""
