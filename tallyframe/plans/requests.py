@@ -11,6 +11,8 @@ from tallyframe.operators import cases, council, predictions
 from tallyframe.plans import sql_text as q
 from tallyframe.plans.fixtures import table, view
 from tallyframe.plans.registry import query
+from tallyframe.session import work_path
+from tallyframe.sources.buckets import BucketedStore
 from tallyframe.session import spread
 
 MODELS = ("model-a", "model-b", "model-c")
@@ -694,3 +696,47 @@ def request_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = log.withColumn("cache_key", predictions.request_key("model", "dataset", "query_id"))
     missing = predictions.cache_misses(keyed, _before(keyed))
     return missing.select("cache_key", "dataset", "query_id")
+
+
+_STORED = "dataset_name string, model string, example_id string, status string, row_ordinal bigint"
+
+
+@query(
+    f"""WITH {_PLANNED}, fate AS (SELECT dataset_name, model, example_id, bool_or(status = 'success') AS fine FROM
+      (SELECT dataset AS dataset_name, model, query_id AS example_id, status FROM fx_log WHERE completed_at < TIMESTAMP '2024-01-22 00:00:00')
+      GROUP BY ALL)
+    SELECT p.*, f.fine IS NOT NULL AS is_retry FROM planned p LEFT JOIN fate f USING (dataset_name, model, example_id)
+    WHERE NOT coalesce(f.fine, false)"""
+)
+def pending_in_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs to do against a log that two runs have stored in buckets: new ones and those that have only
+    failed. The log is read in its buckets."""
+    log = _log_keys(spark, sf_dir)
+    store = BucketedStore(spark, work_path(spark, "run-store"), _STORED, buckets=8)
+    store.add(_before(log))
+    store.add(_after(log).filter("completed_at < TIMESTAMP_NTZ '2024-01-22 00:00:00'"))
+    recorded = store.read()
+    todo = predictions.pending(_planned(log), predictions.recorded_keys(recorded, retry_errors=True))
+    tried = predictions.recorded_keys(recorded).withColumn("is_retry", F.lit(True))
+    keys = list(predictions.PAIR_KEYS)
+    return todo.join(tried, keys, "left").select(*keys, F.coalesce("is_retry", F.lit(False)).alias("is_retry"))
+
+
+@query(
+    f"""WITH keyed AS (SELECT *, {_CACHE_KEY} AS cache_key FROM fx_log),
+    cache AS (SELECT cache_key, arg_max(status, row_ordinal) AS cached_status, max(row_ordinal) AS cached_at FROM keyed
+      WHERE completed_at < TIMESTAMP '2024-01-22 00:00:00' GROUP BY 1)
+    SELECT row_ordinal, cache_key, cached_status, cached_at FROM keyed LEFT JOIN cache USING (cache_key)
+    WHERE completed_at >= TIMESTAMP '2024-01-15 00:00:00'"""
+)
+def cache_in_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of the later weeks against a response cache in buckets, which a second run has added to;
+    the last response of a key counts."""
+    log = view(spark, sf_dir, "fx_log")
+    keyed = log.withColumn("cache_key", predictions.request_key("model", "dataset", "query_id"))
+    answers = keyed.withColumns({"cached_status": F.col("status"), "cached_at": F.col("row_ordinal")})
+    kind = "cache_key string, cached_status string, cached_at bigint, row_ordinal bigint"
+    store = BucketedStore(spark, work_path(spark, "cache-store"), kind, ("cache_key",), buckets=8)
+    store.add(_before(answers))
+    store.add(_after(answers).filter("completed_at < TIMESTAMP_NTZ '2024-01-22 00:00:00'"))
+    return predictions.cached_responses(_after(keyed).select("row_ordinal", "cache_key"), store.read())
