@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.text import text_or_empty
+from tallyframe.session import saved_table
 from tallyframe.operators.records import last_by
 
 
@@ -202,10 +203,11 @@ def latency_table(log: DataFrame) -> DataFrame:
 def wide_table(table: DataFrame, datasets: Sequence[str] | None = None) -> DataFrame:
     """Policies × datasets with the mean of each row's cells; missing cells stay null.
 
-    Without names every dataset of the table gets a column; they are read from this small table.
-    With names the mean, too, is that of the named ones.
+    Without names every dataset of the table gets a column; the small table is written once, and its
+    names and its cells read from there. With names the mean, too, is that of the named ones.
     """
     if datasets is None:
+        table = saved_table(table, "wide-table")
         datasets = [r[0] for r in table.select("dataset").distinct().orderBy("dataset").collect()]
     else:
         table = table.filter(F.col("dataset").isin(*datasets))

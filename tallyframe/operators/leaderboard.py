@@ -73,12 +73,19 @@ def _rank_key() -> Column:
     return F.struct((-F.col("avg_score")).alias("s"), F.col("model").alias("m"))
 
 
+def mean_ranks(rankings: DataFrame) -> DataFrame:
+    """Models by mean rank over all their datasets."""
+    return rankings.groupBy("model").agg(F.round(F.avg("rank"), 2).alias("avg_rank")).orderBy("avg_rank", "model")
+
+
 def leaderboard(rankings: DataFrame, datasets: Sequence[str] | None = None) -> DataFrame:
     """Models by mean rank with their rank in every dataset.
 
-    Without names every ranked dataset gets a column; with names only those are averaged.
+    Without names every ranked dataset gets a column: the rankings, a row per model and dataset, are
+    written once, and names and ranks read from there. With names only those are averaged.
     """
     if datasets is None:
+        rankings = saved_table(rankings, "rankings")
         found = rankings.select("dataset").distinct().orderBy("dataset").collect()
         datasets = [row[0] for row in found]
     else:
@@ -93,10 +100,9 @@ def leaderboard(rankings: DataFrame, datasets: Sequence[str] | None = None) -> D
     )
 
 
-def best_overall(board: DataFrame) -> DataFrame:
-    return board.orderBy("avg_rank", "model").limit(1).select(
-        F.col("model").alias("best_overall_model"), "avg_rank"
-    )
+def best_overall(rankings: DataFrame) -> DataFrame:
+    """The model of the best mean rank."""
+    return mean_ranks(rankings).limit(1).select(F.col("model").alias("best_overall_model"), "avg_rank")
 
 
 def specialist_map(matrix: DataFrame) -> DataFrame:

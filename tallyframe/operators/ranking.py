@@ -72,13 +72,13 @@ def order_statistics(
         ]
     )
     counted = (
-        per_bucket.withColumn("_upto", F.sum("_n").over(_running(whole, "_bucket")))
+        per_bucket.withColumn("_upto", F.sum("_n").over(running(whole, "_bucket")))
         .withColumn("_ranks", wanted)
         .withColumn("_wanted", F.explode("_ranks"))
         .withColumn("_rank", F.col("_wanted.rank"))
     )
     hits = saved_table(
-        _at_rank(counted).select(
+        at_rank(counted).select(
             *keys, F.col("_wanted.name").alias("_name"), "_rank", "_lo", "_hi"
         ),
         "rank-buckets",
@@ -91,17 +91,17 @@ def order_statistics(
         inside = inside.withColumn("_step", F.coalesce(step, F.lit(0)).cast("long"))
         per_step = inside.groupBy(*place, "_rank", "_step").agg(F.count("*").alias("_n"))
         stepped = per_step.withColumn(
-            "_upto", F.sum("_n").over(_running(W.partitionBy(*place), "_step"))
+            "_upto", F.sum("_n").over(running(W.partitionBy(*place), "_step"))
         )
-        finer = saved_table(_at_rank(stepped).select(*place, "_rank", "_step"), "rank-steps")
+        finer = saved_table(at_rank(stepped).select(*place, "_rank", "_step"), "rank-steps")
         place = [*place, "_step"]
         inside = join_null_safe(inside.drop("_rank"), finer, place)
     per_key = inside.groupBy(*place, "_rank", "_key").agg(F.count("*").alias("_n"))
     ranked = per_key.withColumn(
-        "_upto", F.sum("_n").over(_running(W.partitionBy(*place), "_key"))
+        "_upto", F.sum("_n").over(running(W.partitionBy(*place), "_key"))
     )
     return (
-        _at_rank(ranked)
+        at_rank(ranked)
         .groupBy(*groups)
         .agg(
             *[
@@ -113,11 +113,12 @@ def order_statistics(
     )
 
 
-def _running(window: W, order: str):
+def running(window: W, order: str):
+    """The window from its first row to the current one."""
     return window.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def _at_rank(counted: DataFrame) -> DataFrame:
+def at_rank(counted: DataFrame) -> DataFrame:
     """The counted piece that holds the rank, which becomes a rank inside the piece."""
     before = F.col("_upto") - F.col("_n")
     return counted.filter(

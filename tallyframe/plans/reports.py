@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import fixed_values as fv
 from tallyframe.operators import comparison, leaderboard, scoring, summaries
+from tallyframe.operators.running import RunningStatistics
 from tallyframe.plans.fixtures import table, view
 from tallyframe.plans.registry import query
 from tallyframe.plans.texts import METRIC_COLUMNS, SCORED, matched_responses
+from tallyframe.session import saved_table, work_path
 
 _SUITE = f"""{SCORED},
 ok AS (SELECT *, prediction_status = 'success' AS good FROM metric)"""
@@ -338,6 +340,25 @@ def batch_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.withColumns({name: F.round(name, 6) for name in rounded})
 
 
+@query(
+    f"""WITH grades AS ({_GRADES}), halved AS (SELECT * FROM grades UNION ALL SELECT model, dataset, -score FROM grades WHERE score > 2)
+    SELECT model, dataset, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std,
+    round(min(score), 6) AS min, round(max(score), 6) AS max, round(median(score), 6) AS median, false AS repeated FROM halved GROUP BY ALL"""
+)
+def statistics_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of three batches, merged; the third has scores below zero, and a batch that comes
+    again is not counted again. No batch reads the scores of another."""
+    scores = saved_table(grades(spark, sf_dir), "grades")
+    running = RunningStatistics(spark, work_path(spark, "running"))
+    half = F.pmod(F.xxhash64("model", "score"), F.lit(2))
+    running.add(scores.filter(half == 0), 0)
+    running.add(scores.filter(half == 1), 1)
+    running.add(scores.filter("score > 2").withColumn("score", -F.col("score")), 2)
+    repeated = running.add(scores, 1)
+    stats = running.statistics().withColumn("repeated", F.lit(repeated))
+    return stats.withColumns({name: F.round(name, 6) for name in ("mean", "std", "min", "max", "median")})
+
+
 @query(
     f"""WITH {_MATRIX} SELECT model, dataset, round(avg_score, 6) AS avg_score, num_samples FROM matrix"""
 )
@@ -362,17 +383,16 @@ def best_per_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaderboard.best_per_dataset(_matrix(spark, sf_dir))
 
 
-_YEARS = ("1995", "1996", "1997", "1998", "1999", "2000", "2001")
-_PIVOT = ", ".join(f"max(CASE WHEN dataset = '{y}' THEN rank END) AS rank_{y}" for y in _YEARS)
-
-
 @query(
-    f"""WITH {_RANKED} SELECT model, round(avg(rank), 2) AS avg_rank, {_PIVOT} FROM ranked GROUP BY model"""
+    f"""WITH {_RANKED} SELECT r.model, b.avg_rank, r.dataset, r.rank FROM ranked r
+    JOIN (SELECT model, round(avg(rank), 2) AS avg_rank FROM ranked GROUP BY model) b USING (model)"""
 )
 def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The years are named, as a table of any scale may lack some of them."""
-    rankings = leaderboard.dataset_rankings(_matrix(spark, sf_dir))
-    return leaderboard.leaderboard(rankings, _YEARS)
+    """The board with its column of ranks per dataset, whichever years there are, as rows."""
+    board = leaderboard.leaderboard(leaderboard.dataset_rankings(_matrix(spark, sf_dir)))
+    ranks = [F.col(name) for name in board.columns if name.startswith("rank_")]
+    long = board.unpivot(["model", "avg_rank"], ranks, "dataset", "rank").filter("rank IS NOT NULL")
+    return long.withColumn("dataset", F.substring_index("dataset", "rank_", -1))
 
 
 @query(
@@ -381,7 +401,7 @@ def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def best_overall_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rankings = leaderboard.dataset_rankings(_matrix(spark, sf_dir))
-    return leaderboard.best_overall(leaderboard.leaderboard(rankings))
+    return leaderboard.best_overall(rankings)
 
 
 @query(
