@@ -411,6 +411,19 @@ def council_scores(
     return from_synth.unionByName(from_failed)
 
 
+def completed_rows(specialist: DataFrame, synth: DataFrame, order: str = "row_ordinal") -> DataFrame:
+    """Cost of each council row that came to its end: the successes of ``council_predictions`` with the
+    few columns that totals need."""
+    last = latest(synth.select("example_id", order, F.col("status").alias("_status")), ["example_id"], order)
+    done = specialist.filter("status = 'success'").join(last.filter("_status = 'success'"), "example_id")
+    return done.select(
+        canonical_source(F.col("row_metadata.source_dataset")).alias("source_dataset"),
+        F.lit("success").alias("status"),
+        F.col("specialist_latency_ms_total").alias("latency_ms"),
+        F.col("specialist_usage").alias("usage"),
+    )
+
+
 def council_predictions(
     specialist: DataFrame,
     synth: DataFrame,

@@ -101,8 +101,8 @@ def _average(total: str, scale: float = 1.0) -> Column:
 def council_state(scores: DataFrame, predictions: DataFrame) -> DataFrame:
     """Accumulated totals per source dataset and overall (``source_dataset`` null).
 
-    Both inputs shrink to one row per dataset before they meet; the overall row is a rollup of
-    those few rows.
+    ``predictions`` may be ``completed_rows`` alone. Both inputs shrink to one row per dataset before
+    they meet; the overall row is a rollup of those few rows.
     """
     scored = F.col("status") == "scored"
     quality = scores.groupBy("source_dataset").agg(

@@ -271,10 +271,7 @@ def council_flow(
     synth = saved_table(council.synthesis_records(specialist, responses), "synthesized")
     tests = responses.select("example_id", "exit_code", "row_ordinal")
     tested = scoring.with_test_outcomes(spread(synth, "example_id"), tests, keys=("example_id",))
-    scores = saved_table(
-        council.council_scores(scoring.score_council_texts(tested), specialist), "scores"
-    )
-    return specialist, synth, scores
+    return specialist, synth, council.council_scores(scoring.score_council_texts(tested), specialist)
 
 
 @query(
@@ -337,8 +334,7 @@ cost AS (SELECT source_dataset, count(*) AS n, sum(latency_ms) AS lat, CAST(sum(
 )
 def council_summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     specialist, synth, scores = council_flow(spark, sf_dir)
-    made = council.council_predictions(specialist, synth, scores)
-    rows = summaries.council_summaries(summaries.council_state(scores, made))
+    rows = summaries.council_summaries(summaries.council_state(scores, council.completed_rows(specialist, synth)))
     return rows.select(
         "dataset_name",
         "total_examples",
@@ -364,8 +360,7 @@ def council_summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def council_dataset_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     specialist, synth, scores = council_flow(spark, sf_dir)
-    made = council.council_predictions(specialist, synth, scores)
-    per_dataset = summaries.dataset_scores(summaries.council_state(scores, made))
+    per_dataset = summaries.dataset_scores(summaries.council_state(scores, council.completed_rows(specialist, synth)))
     mean = summaries.macro_mean(per_dataset).withColumn("_one", F.lit(1))
     joined = per_dataset.withColumn("_one", F.lit(1)).join(mean, "_one")
     return joined.select(
