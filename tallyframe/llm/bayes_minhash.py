@@ -97,11 +97,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: MinHashing = MinHashing()) -> DataFrame:
     """The texts (doc, mark) of ``named_texts`` that stay: of texts which links connect, the one with
-    the smallest id; every text without words. Unlike texts stay although they share an id. Rows
-    with a null id are not looked at."""
-    profiles, classes, links = _classes(docs, id_col, text_col, how)
+    the smallest id, null ids last; every text without words. Unlike texts stay although they share
+    an id."""
+    profiles, classes, links = _classes(docs, id_col, text_col, how, nameless=True)
     firsts = _firsts(_parts(classes, links)).select("first.doc", "first.mark")
-    bare = profiles.where("n_shingles = 0 and id is not null").select("doc", "mark")
+    bare = profiles.where("n_shingles = 0").select("doc", "mark")
     return firsts.union(bare.distinct())
 
 
@@ -109,15 +109,20 @@ _SET = ["n_shingles", "key_a", "key_b"]
 _LINKABLE = "n_shingles > 0 and id is not null"
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, how: MinHashing) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Profiles of all rows, classes of equal sets, and the verified links (a, b) between classes.
+def _classes(
+    docs: DataFrame, id_col: str, text_col: str, how: MinHashing, nameless: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles of all rows, classes of equal sets, and the verified links (a, b) between classes; rows
+    without an id are in classes only if ``nameless``.
 
     A class has a number ``rep`` and the smallest (doc, mark) of its texts as ``first``, which
     represents it.
     """
     rows = named_texts(docs, id_col, text_col)
     profiles = saved_table(_profiles(rows, how), "minhash-profiles")
-    seen = profiles.where(_LINKABLE).groupBy(*_SET).agg(F.min(F.struct("doc", "mark")).alias("first"), F.first("signature").alias("signature"))
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "doc", "mark"))
+    linkable = profiles.where("n_shingles > 0" if nameless else _LINKABLE)
+    seen = linkable.groupBy(*_SET).agg(first.alias("first"), F.first("signature").alias("signature"))
     # Written once: the numbers stay, and joins can split a class of very many copies.
     classes = saved_table(seen.withColumn("rep", F.monotonically_increasing_id()), "minhash-classes")
     return profiles, classes, _links(classes, rows, how)

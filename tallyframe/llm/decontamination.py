@@ -34,17 +34,16 @@ _UNSPACED = (
 
 @dataclass(frozen=True)
 class Seeds:
-    """Items of fewer tokens than ``shortest`` are too short to be told from chance: they never
-    match, and are counted (``n_too_short``) and listed (``too_short``). Items of fewer than ``long_from`` tokens have the lighter ``short_masks``, which fewer
-    equal tokens fill; documents are searched by them only if there are such items. Masks hold all
-    stretches for the default ``stretch`` and ``percent``; lower percentages need lighter masks.
-    Seeds are broadcast up to ``broadcast_rows`` (about 40 bytes each) and joined by a shuffle
-    beyond."""
+    """Items of fewer than ``long_from`` tokens have the lighter ``short_masks``, which fewer equal
+    tokens fill, and those of fewer than ``tiny_below`` are looked up whole; documents are searched
+    by such masks only if there are such items. Masks hold all stretches for the default ``stretch``
+    and ``percent``; lower percentages need lighter masks. Seeds are broadcast up to
+    ``broadcast_rows`` (about 40 bytes each) and joined by a shuffle beyond."""
 
     masks: tuple[str, ...] = ("1110111", "11011011", "11111")
     short_masks: tuple[str, ...] = ("1111", "11011", "10111", "11101")
     long_from: int = 12
-    shortest: int = 4
+    tiny_below: int = 4
     stretch: int = 13
     percent: int = 80
     broadcast_rows: int = 500_000
@@ -54,12 +53,6 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(text), _UNSPACED, " $0 "), _NO_TOKEN), "")
 
 
-def too_short(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", how: Seeds = Seeds()) -> DataFrame:
-    """The items (item_id, n_tokens) with tokens, but fewer than ``shortest``, which are not looked for."""
-    found = benchmark.select(F.col(item_col).alias("item_id"), F.size(tokens(F.col(item_text_col).cast("string"))).alias("n_tokens"))
-    return found.where(F.col("n_tokens").between(1, how.shortest - 1))
-
-
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -69,26 +62,36 @@ def leaks(
     item_text_col: str = "text",
     how: Seeds = Seeds(),
 ) -> DataFrame:
-    """Leaking pairs (doc_id, item_id, doc_token, item_token, matched, stretch, doc, mark, n_too_short).
+    """Leaking pairs (doc_id, item_id, doc_token, item_token, matched, stretch, doc, mark).
 
     The place is that of the best stretch, the first among equals; ``matched`` of its ``stretch``
-    tokens are equal. ``doc`` and ``mark`` name the text, as ids may be null or clash. ``n_too_short`` is the
-    number of benchmark rows left out as too short. Null and empty texts have no tokens and match nothing. Repeated documents and repeated items give their pair once.
+    tokens are equal. ``doc`` and ``mark`` name the text, as ids may be null or clash. Items of one to
+    three tokens leak where all of them stand side by side, which may well be by chance: leave out
+    items that are no passages. Null and empty texts have no tokens and match nothing. Repeated
+    documents and repeated items give their pair once.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col).cast("string")).alias("item_tokens"))
-    items = items.where(F.size("item_tokens") >= how.shortest)
+    items = items.where(F.size("item_tokens") > 0)
     # Items with the same tokens are searched once.
     items = saved_table(items.withColumn("item", F.xxhash64("item_tokens")), "leak-items")
     texts = items.groupBy("item").agg(F.first("item_tokens").alias("item_tokens"))
-    long, short = F.size("item_tokens") >= how.long_from, F.size("item_tokens") < how.long_from
-    parts = [_seeds(texts.where(where), "item_tokens", masks) for where, masks in ((long, how.masks), (short, how.short_masks))]
-    seeds = saved_table(parts[0].union(parts[1]).select("seed", "mask", "item", F.col("at").alias("item_at")), "leak-seeds")
+    size = F.size("item_tokens")
+    whole = {"1" * n: texts.where(size == n) for n in range(1, how.tiny_below)}
+    tiny = [_seeds(rows, "item_tokens", [mask]) for mask, rows in whole.items()]
+    light = _seeds(texts.where((size >= how.tiny_below) & (size < how.long_from)), "item_tokens", how.short_masks)
+    seeds = _seeds(texts.where(size >= how.long_from), "item_tokens", how.masks).union(light)
+    for part in tiny:
+        seeds = seeds.union(part)
+    seeds = saved_table(seeds.select("seed", "mask", "item", F.col("at").alias("item_at")), "leak-seeds")
     # Documents are searched by the masks that items have.
     counts = {r["mask"]: r["count"] for r in seeds.groupBy("mask").count().collect()}
     masks = [m for m in dict.fromkeys(how.masks + how.short_masks) if m in counts]
-    seeds = seeds.drop("mask")
-    if sum(counts.values()) <= how.broadcast_rows:
-        seeds = F.broadcast(seeds)
+    tiny_masks = [m for m in whole if m in counts]
+    small = sum(counts.values()) <= how.broadcast_rows
+    tiny_seeds = seeds.where(F.col("mask").isin(tiny_masks)).drop("mask")
+    seeds = seeds.where(~F.col("mask").isin(tiny_masks)).drop("mask")
+    if small:
+        seeds, tiny_seeds = F.broadcast(seeds), F.broadcast(tiny_seeds)
 
     named = named_texts(docs, id_col, text_col)
     words = named.select("id", "doc", "mark", tokens(F.col("text")).alias("words"))
@@ -100,8 +103,9 @@ def leaks(
     keys = ["id", "doc", "mark", "item"]
     best = _best_stretches(aligned, keys, how).where(F.col("matched") * 100 >= F.col("stretch") * how.percent)
     best = best.groupBy(*keys).agg(F.max(F.struct("matched", "before_doc", "before_item", "stretch")).alias("best"))
+    if tiny_masks:
+        best = best.unionByName(_whole_items(words, keys, tiny_masks, tiny_seeds))
     found = best.join(items.select("item_id", "item").distinct(), "item")
-    left_out = too_short(benchmark, item_col, item_text_col, how).count()
     return found.select(
         F.col("id").alias("doc_id"),
         "item_id",
@@ -111,10 +115,18 @@ def leaks(
         F.col("best.stretch").alias("stretch"),
         "doc",
         "mark",
-        F.lit(left_out).cast("long").alias("n_too_short"),
     )
 
 
+def _whole_items(words: DataFrame, keys: list[str], masks: Sequence[str], seeds: DataFrame) -> DataFrame:
+    """The first place of every item of a few tokens in every document that holds all of them in a
+    row. Places meet by document and item, reduced to the first one before the shuffle."""
+    hits = _seeds(words, "words", masks).join(seeds, "seed")
+    first = hits.groupBy(*keys).agg(F.min("at").alias("at"), F.first(F.length("mask")).alias("n"))
+    place = F.struct(F.col("n").alias("matched"), (-F.col("at")).alias("before_doc"), F.lit(0).alias("before_item"), F.col("n").alias("stretch"))
+    return first.select(*keys, place.alias("best"))
+
+
 def remove_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold a leaked item."""
     found = leaks(docs, benchmark, id_col, text_col, **options).select("doc", "mark").distinct()

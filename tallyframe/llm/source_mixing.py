@@ -1,6 +1,6 @@
 """Mix sources to target weights: whole epochs first, then a weighted sample without replacement.
 
-Every document has an exponential key -ln(u) / weight, u a hash of its id; in the order of the keys
+Every document has an exponential key -ln(u) / weight, u a hash of its id and text; in the order of the keys
 documents are a weighted sample without replacement (Efraimidis and Spirakis 2006). A source with
 target t and size s gives floor(t / s) whole epochs, and of one more epoch the documents of the
 smallest keys, up to the words that are left; the last of them gives only its first words.
@@ -73,22 +73,27 @@ def mix(
     The mix holds the whole document ``epochs`` times and its first ``part`` words once more;
     ``taken`` is the sum in words. ``quality`` (doc_id, quality) gives sampling weights: the largest
     of a document, and 1 where there is none or it is not positive. Reruns agree: keys depend on
-    the id and the seed. Rows without words take 0. A null id is an id like others; rows of one id
-    and one size are in each other's place.
+    the seed, the id, the text and, for rows equal in these, a number, so that rows without an id or
+    of one id are drawn one by one. Rows without words take 0.
     """
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13)
-    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    text = F.col(text_col).cast("string")
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col).cast("string")).alias("size"),
+        word_count(text).alias("size"),
+        F.md5(F.coalesce(text, F.lit(""))).alias("mark"),
     )
+    # Equal rows are counted before anything is shuffled, and numbered when they are written out again.
+    sized = sized.groupBy(*sized.columns).agg(F.count("*").alias("copies"))
     weight = F.lit(1.0)
     if quality is not None:
         best = quality.where("quality > 0").groupBy("doc_id").agg(F.max("quality").cast("double").alias("weight"))
         sized = sized.join(best, "doc_id", "left")
         weight = F.coalesce("weight", F.lit(1.0))
-    keyed = saved_table(sized.select("doc_id", "source", "size", (-F.log(u) / weight).alias("key")), "mix-keys")
+    copies = sized.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    named = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "mark", F.col("copy").cast("string"))
+    u = (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    keyed = saved_table(copies.select("doc_id", "source", "size", (-F.log(u) / weight).alias("key")), "mix-keys")
 
     sums = keyed.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.avg("key").alias("mean_key")

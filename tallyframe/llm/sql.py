@@ -24,7 +24,8 @@ WITH best AS (
   SELECT doc_id, max(CASE WHEN quality = 1 THEN 2.0 ELSE 0.5 END)::DOUBLE AS weight FROM labels GROUP BY doc_id
 ), sized AS (
   SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '{_WORD}'))::BIGINT AS size,
-         -ln((('0x' || md5('20:' || coalesce(d.doc_id::VARCHAR, ''))[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+         -ln((('0x' || md5('20:' || coalesce(d.doc_id::VARCHAR, '') || ':' || md5(coalesce(d.text, '')) || ':'
+           || row_number() OVER (PARTITION BY d.doc_id, d.source, md5(coalesce(d.text, ''))))[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
            / coalesce(b.weight, 1.0) AS key
   FROM documents d LEFT JOIN best b USING (doc_id)
 ), sources AS (
