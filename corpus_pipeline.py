@@ -6,17 +6,18 @@ last return the columns of docs.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bayes_minhash, decontamination, language_id, source_mixing, substring_dedup
-from tallyframe.llm.grouped import fresh, named_texts
+from tallyframe.llm.grouped import fresh, named_texts, others
 from tallyframe.session import saved_table, work_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those with letters, at a probability of one half."""
+    import public_tokenizers
+
     pieces = language_id.public_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     model = language_id.train(docs.where(~language_id.held_out()), pieces)
     carried = fresh(docs, "carried")
@@ -27,13 +28,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicate texts: the one with the smallest doc_id. Unlike texts
-    stay, also those that share an id."""
+    """One row of each group of near-duplicate texts: the one with the smallest doc_id, null ids last.
+    Unlike texts stay, also those that share an id or have none. Of rows equal in id and text the
+    first by its other columns' JSON text stays."""
     kept = saved_table(bayes_minhash.distinct_texts(docs), "pipeline-kept")
-    named = named_texts(docs, "doc_id", "text", docs.columns).select("id", "doc", "mark", "row")
-    # Rows without an id are in no group; rows of one id and text are one document.
-    one = named.where("id is not null").join(kept, ["doc", "mark"]).dropDuplicates(["doc", "mark"]).select("row.*")
-    return one.union(docs.where("doc_id IS NULL"))
+    named = named_texts(docs, "doc_id", "text", docs.columns).select("doc", "mark", "row")
+    rest = [F.col(f"row.`{c}`").alias(c) for c in others(docs, "doc_id", "text")]
+    order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    one = named.join(kept, ["doc", "mark"]).groupBy("doc", "mark").agg(F.min_by("row", order).alias("row"))
+    return one.select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
