@@ -10,7 +10,7 @@ from test_queries import KINDS, canonical
 from tallyframe.llm.queries import QUERIES, SQL
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -29,7 +29,7 @@ def test_query_matches_sql(spark, duck, name):
     rows = [tuple(row) for row in df.collect()]
     cursor = duck.execute(SQL[name])
     kinds = {column[0]: str(column[1]) for column in cursor.description}
-    assert {n: KINDS[t] for n, t in df.dtypes} == kinds
+    assert {n: (KINDS | {"int": "INTEGER"})[t] for n, t in df.dtypes} == kinds
     assert canonical(df.columns, rows) == canonical(list(kinds), cursor.fetchall())
     assert rows
 
