@@ -105,6 +105,9 @@ def streamed_call_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+# Enough for the state of the given tables, whose keys are some thousands.
+_STATE_PARTITIONS = 16
+
 # Landings of the events in thirds of the month. Of each third some rows land with a later one.
 _THIRD = """CASE WHEN ts < TIMESTAMP '2024-01-11 00:00:00' THEN 1 WHEN ts < TIMESTAMP '2024-01-21 00:00:00' THEN 2 ELSE 3 END"""
 
@@ -143,7 +146,7 @@ def first_predictions_out_of_order(spark: SparkSession, sf_dir: str) -> DataFram
     place = work_path(spark, "first-rows")
     for _, stream in _landings(spark, rows, number, "out-of-order"):
         firsts = stateful.first_rows(stream, "completed_at", "row_ordinal", ("model", "example_id"), delay="12 days")
-        out = incremental.drain(firsts, "first-rows", place=place)
+        out = incremental.drain(firsts, "first-rows", place=place, machine=True, state_partitions=_STATE_PARTITIONS)
     held = stateful.held_rows(spark, f"{place}/state", rows)
     both = out.withColumn("place", F.lit("out")).unionByName(held.withColumn("place", F.lit("held")))
     return both.drop("completed_at")
@@ -174,7 +177,9 @@ def call_windows_that_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = work_path(spark, "closing")
     for _, stream in _landings(spark, calls, number, "late-calls"):
         windows = stateful.closing_windows(stream, "completed_at", delay="1 day", grace="8 days")
-        out = incremental.drain(windows, "closing", place=place, partition_by=("kind",))
+        out = incremental.drain(
+            windows, "closing", place=place, partition_by=("kind",), machine=True, state_partitions=_STATE_PARTITIONS
+        )
     minute = lambda at: F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("window_start")
 
     def told(rows: DataFrame, kind: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,12 +163,15 @@ def drain(
     running_totals: bool = False,
     place: str | None = None,
     partition_by: Sequence[str] = (),
+    machine: bool = False,
+    state_partitions: int | None = None,
 ) -> DataFrame:
     """Run a stream over the input present now and read its result table.
 
     With ``running_totals`` the table is replaced by the latest state, which also holds windows
     that the watermark has not closed. A later run with the same ``place`` goes on where this one
-    ended; without it the run stands alone. The state is in ``state`` below the place.
+    ended; without it the run stands alone. The state is in ``state`` below the place. ``machine``
+    is for the streams of ``stateful``, see ``keyed_state``.
     """
     spark = stream.sparkSession
     root = work_path(spark, label) if place is None else place
@@ -175,7 +179,7 @@ def drain(
     if running_totals:
         replace_table(stream, path, checkpoint).awaitTermination()
         return CommittedTable(spark, path).read(columns_of(stream))
-    with keyed_state(spark):
+    with keyed_state(spark, state_partitions) if machine else nullcontext():
         query = append_to(stream, path, checkpoint, partition_by)
     query.awaitTermination()
     return spark.read.schema(columns_of(stream)).parquet(path)

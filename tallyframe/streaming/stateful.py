@@ -16,23 +16,32 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyframe.operators.predictions import PAIR_KEYS
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+_MACHINES = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A batch saves what it changed instead of whole files.
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 _TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 @contextmanager
-def keyed_state(spark: SparkSession):
-    """State machines need a store on disk. A query keeps the store that it was started with."""
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKSDB)
+def keyed_state(spark: SparkSession, partitions: int | None = None):
+    """Settings that a state machine is started with: a store on disk, and the number of partitions of
+    its state, by default that of shuffles, which stays for the life of the checkpoint. Every
+    partition costs files in each batch, so that small logs want few."""
+    wanted = _MACHINES | ({} if partitions is None else {"spark.sql.shuffle.partitions": str(partitions)})
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_STORE)
-        else:
-            spark.conf.set(_STORE, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def _packed(df: DataFrame) -> Column:

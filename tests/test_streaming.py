@@ -50,7 +50,7 @@ def test_first_row_by_time_whatever_lands_first(spark, lands, tmp_path):
     seen = []
     for rows in (first, second, third):
         stream = lands("rows", rows, CALL)
-        out = incremental.drain(stateful.first_rows(stream, "at", "row_ordinal", keys, "60 minutes"), "q", place=place)
+        out = incremental.drain(stateful.first_rows(stream, "at", "row_ordinal", keys, "60 minutes"), "q", place=place, machine=True)
         seen.append({(r["example_id"], r["status"], r["row_ordinal"]) for r in out.collect()})
     assert seen[0] == set()
     assert seen[1] == {("a", "first", 7), ("b", "null order", None), (None, "null key", 1), ("z", "clock", 9)}
@@ -66,7 +66,7 @@ def test_keys_are_forgotten_after_their_time(spark, lands, tmp_path):
     for k, rows in enumerate(([("m", "a", 1, "x", at(0), None)], [("m", "a", 2, "repeat", at(100), None)], [("m", "a", 3, "again", at(5000), None)], [("m", "b", 4, "clock", at(9000), None)])):
         stream = lands("rows", rows, CALL)
         firsts = stateful.first_rows(stream, "at", "row_ordinal", ("model", "example_id"), "10 minutes", keep="1000 minutes")
-        out = incremental.drain(firsts, "q", place=place)
+        out = incremental.drain(firsts, "q", place=place, machine=True, state_partitions=3)
     assert sorted(r["row_ordinal"] for r in out.collect()) == [1, 3]
     assert [r["row_ordinal"] for r in stateful.held_rows(spark, f"{place}/state", out).collect()] == [4]
 
@@ -84,7 +84,7 @@ def test_windows_close_once_and_late_calls_come_out(spark, lands, tmp_path):
     for rows in batches:
         stream = lands("calls", rows, LOG)
         windows = stateful.closing_windows(stream, "at", "5 minutes", "10 minutes", "60 minutes")
-        out = incremental.drain(windows, "w", place=place, partition_by=("kind",))
+        out = incremental.drain(windows, "w", place=place, partition_by=("kind",), machine=True)
     like = spark.createDataFrame([], LOG)
 
     def told(rows):
