@@ -270,7 +270,7 @@ def responses_as_they_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _landings(spark, requests, _third(F.col("requested_at")), "requests")
     for (_, request_stream), (_, response_stream) in zip(asked, _landings(spark, responses, F.col("landing"), "responses")):
         answers = incremental.answered_requests(request_stream.drop("number"), response_stream.drop("landing"), "run-1")
-        out = incremental.drain(answers, "answered", place=place)
+        out = incremental.drain(answers, "answered", place=place, state_partitions=_STATE_PARTITIONS)
     late = incremental.late_responses(responses, out).select("example_id", F.lit(True).alias("late_response"))
     waiting = incremental.waiting_requests(requests, out).select(
         "example_id", F.lit("waiting").alias("status"), none.alias("response_text"), F.lit(None).cast("double").alias("latency_ms"), "error_type"

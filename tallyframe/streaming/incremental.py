@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import nullcontext
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,7 +178,7 @@ def drain(
     if running_totals:
         replace_table(stream, path, checkpoint).awaitTermination()
         return CommittedTable(spark, path).read(columns_of(stream))
-    with keyed_state(spark, state_partitions) if machine else nullcontext():
+    with keyed_state(spark, state_partitions, machine):
         query = append_to(stream, path, checkpoint, partition_by)
     query.awaitTermination()
     return spark.read.schema(columns_of(stream)).parquet(path)

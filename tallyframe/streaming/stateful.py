@@ -26,11 +26,11 @@ _TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFor
 
 
 @contextmanager
-def keyed_state(spark: SparkSession, partitions: int | None = None):
-    """Settings that a state machine is started with: a store on disk, and the number of partitions of
-    its state, by default that of shuffles, which stays for the life of the checkpoint. Every
-    partition costs files in each batch, so that small logs want few."""
-    wanted = _MACHINES | ({} if partitions is None else {"spark.sql.shuffle.partitions": str(partitions)})
+def keyed_state(spark: SparkSession, partitions: int | None = None, machine: bool = True):
+    """Settings that a stream with state is started with: for a ``machine`` a store on disk, and the
+    number of partitions of the state, by default that of shuffles, which stays for the life of the
+    checkpoint. Every partition costs files in each batch, so that small logs want few."""
+    wanted = (_MACHINES if machine else {}) | ({} if partitions is None else {"spark.sql.shuffle.partitions": str(partitions)})
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
