@@ -8,9 +8,13 @@ minimiser form a super-k-mer, and equal windows have equal minimisers, so:
    minimiser, where the windows in it are sorted and counted;
 3. runs of repeated windows go back to their documents, whose covered words are removed.
 
+A text that repeats a few words moves from one place of its minimiser to the next; windows in a row
+whose minimisers have the same value travel together, in strings of up to ``string`` windows.
+
 Words are compared by 64-bit hashes and windows by two such hashes of their 35 words. A bucket with
-more than ``bucket`` strings is split by document: each part counts its own windows and sends one
-copy of each distinct window, dealt by window hash, to a second count across parts.
+more than ``bucket`` strings is split by document and place: each part counts its own windows and
+sends one copy of each distinct window, dealt by window hash, to a second count across parts. So no
+group holds more than about ``bucket`` strings, also where they all come from one text.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ class Windows:
     words: int = 35
     gram: int = 8
     bucket: int = 4096
+    string: int = 256
 
 
 def repeated_runs(docs: DataFrame, how: Windows = Windows()) -> DataFrame:
@@ -96,7 +101,10 @@ def _anchors(docs: DataFrame, how: Windows) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = scan(part.column("text"))
-                at, _, values = _runs_of_one_minimiser(words, words.hashes(), how)
+                at, _, values, moved = _runs_of_one_minimiser(words, words.hashes(), how)
+                # A string whose minimiser has several places may repeat a window by itself.
+                twice = np.where(moved, 2, 1)
+                at, values = np.repeat(at, twice), np.repeat(values, twice)
                 offsets = np.searchsorted(at, words.bounds).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
                 keep = pa.array(np.diff(offsets) > 0)
@@ -106,12 +114,13 @@ def _anchors(docs: DataFrame, how: Windows) -> DataFrame:
     return docs.mapInArrow(run, "doc long, mark long, anchors array<long>")
 
 
-def _runs_of_one_minimiser(words: Words, hashes: np.ndarray, how: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and minimiser of each super-k-mer, in order of the words."""
+def _runs_of_one_minimiser(words: Words, hashes: np.ndarray, how: Windows) -> tuple[np.ndarray, ...]:
+    """First window, number of windows and minimiser of each super-k-mer, in order of the words, and
+    whether its minimiser stands at several places."""
     grams = gram_hashes(hashes, how.gram)
     n = len(hashes) - how.words + 1
     if n <= 0:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64)
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, bool)
     # Leftmost smallest gram: the position is part of the compared value.
     ranked = (grams >> _POSITION_BITS << _POSITION_BITS) | np.arange(len(grams), dtype=np.uint64)
     width, span = how.words - how.gram + 1, 1
@@ -123,13 +132,17 @@ def _runs_of_one_minimiser(words: Words, hashes: np.ndarray, how: Windows) -> tu
     where = (least & np.uint64((1 << 28) - 1)).astype(np.int64)
     text = words.text_index()
     inside = text[:n] == text[how.words - 1 :]
+    least = grams[where]
     change = np.empty(n, bool)
     change[0] = True
-    change[1:] = (where[1:] != where[:-1]) | (inside[1:] != inside[:-1]) | (text[1:n] != text[: n - 1])
+    change[1:] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]) | (text[1:n] != text[: n - 1])
     cuts = np.flatnonzero(change)
+    far = np.arange(n) - np.repeat(cuts, np.diff(np.append(cuts, n)))
+    cuts = np.flatnonzero(far % how.string == 0)
     counts = np.diff(np.append(cuts, n))
+    moved = where[cuts] != where[cuts + counts - 1]
     keep = inside[cuts]
-    return cuts[keep], counts[keep], grams[where[cuts[keep]]]
+    return cuts[keep], counts[keep], least[cuts[keep]], moved[keep]
 
 
 def _super_kmers(how: Windows):
@@ -137,7 +150,7 @@ def _super_kmers(how: Windows):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = scan(part.column("text"))
-                at, counts, values = _runs_of_one_minimiser(words, words.hashes(), how)
+                at, counts, values, _ = _runs_of_one_minimiser(words, words.hashes(), how)
                 wanted = part.column("wanted").flatten()
                 known, pick = np.unique(wanted.field("value").to_numpy().view(np.uint64), return_index=True)
                 split = wanted.field("parts").to_numpy()[pick]
@@ -146,7 +159,8 @@ def _super_kmers(how: Windows):
                 at, counts, values, parts = at[keep], counts[keep], values[keep], split[place[keep]]
                 text = words.text_index()[at]
                 doc, mark = (part.column(c).to_numpy()[text] for c in ("doc", "mark"))
-                salt = mix(doc.view(np.uint64) + mark.view(np.uint64)) % parts.astype(np.uint64)
+                first = at - words.bounds[text]
+                salt = mix(doc.view(np.uint64) + mix(mark.view(np.uint64) + first.astype(np.uint64))) % parts.astype(np.uint64)
                 raw = words.data.tobytes()
                 ends = words.ends[at + counts + how.words - 2]
                 packed = [raw[lo:hi] for lo, hi in zip(words.starts[at].tolist(), ends.tolist())]
@@ -157,7 +171,7 @@ def _super_kmers(how: Windows):
                         pa.array(parts.astype(np.int32)),
                         pa.array(doc),
                         pa.array(mark),
-                        pa.array((at - words.bounds[text]).astype(np.int32)),
+                        pa.array(first.astype(np.int32)),
                         pa.array(packed, pa.binary()),
                     ],
                     ["value", "part", "parts", "doc", "mark", "at", "packed"],

@@ -346,6 +346,25 @@ def test_passages_agree_with_brute_force(frame, bucket):
     assert all(r["n_removed"] == sum(s["last"] - s["first"] + 1 for s in r["removed"]) for r in got)
 
 
+@pytest.mark.parametrize("how", [substring_dedup.Windows(), substring_dedup.Windows(bucket=3, string=7)])
+def test_passages_of_repetitive_texts(frame, how):
+    draw = random.Random(5)
+    rows = [(1, "a " * 900), (2, "a " * 35), (3, "a b " * 17 + "a"), (4, "a " * 34), (5, "x y z " * 40 + " ".join(words_of(50, 30)))]
+    rows += [(6 + k, " ".join(draw.choice("ab") for _ in range(draw.randrange(200)))) for k in range(30)]
+    rows += [(40 + k, " ".join(words_of(6, 40 + k) * (k + 4))) for k in range(6)]
+    rows += [(50, "a " * 20 + " ".join(words_of(40, 31)) + " a" * 20), (51, "q " * 36 + "end"), (52, "r " * 35 + "end")]
+    got = substring_dedup.remove_repeats(frame(rows, "doc_id long, text string"), how=how).collect()
+    expected = {d: e for (d, _), e in zip(rows, plain_passages([t for _, t in rows], 35))}
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in got} == expected
+
+
+def test_a_long_repetitive_text_is_split(frame):
+    how = substring_dedup.Windows(bucket=64)
+    docs = frame([(1, "word " * 200_000), (2, "word " * 60 + "end")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in substring_dedup.remove_repeats(docs, how=how).collect()}
+    assert got == {1: (200_000, ""), 2: (60, "end")}
+
+
 def test_untouched_texts_may_stay(frame):
     docs = frame([(1, "a  b\n")], "doc_id long, text string")
     assert substring_dedup.remove_repeats(docs, untouched_as_is=True).first()["text"] == "a  b\n"
