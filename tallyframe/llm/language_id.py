@@ -4,7 +4,9 @@ The vocabulary is fixed and public; per language, every piece has a probability.
 likelihood is the sum over all its segmentations into pieces, found by the forward algorithm; a
 text's is the product over its words. Probabilities are fitted by expectation maximisation: the
 expected piece counts of the training words under all their segmentations are summed by Spark, and
-only the model, vocabulary x languages, comes to the driver.
+only the model, vocabulary x languages, comes to the driver. Probabilities are kept as logarithms, so
+words of any length are summed whole. Long words are gone through in stretches, with the sums at the
+last places of one carried into the next.
 
 Words are lower-cased runs of letters and marks, so other characters have no say.
 """
@@ -29,8 +31,8 @@ UNDETERMINED = "und"
 WORD_START = "▁"
 _BETWEEN_WORDS = r"[^\p{L}\p{M}]+"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK_WORDS = 40_000
-_SEGMENT = 32
+# Letters that are in memory at a time as a lattice.
+_CHUNK_LETTERS = 400_000
 # Words repeat less in smaller slices, and larger ones need more memory.
 SLICE_BYTES = 8 << 20
 
@@ -38,12 +40,12 @@ SLICE_BYTES = 8 << 20
 @dataclass(frozen=True)
 class Training:
     """``rows``: about so many labelled documents per language are learned from, or all if there are
-    fewer, those with the smallest hash of their id. ``longest``: pieces of more characters are not used. ``floor``:
-    added to each expected count; a character that no piece covers is a piece of its own kind."""
+    fewer, those with the smallest hash of their id. ``word``: words of more letters are not learned from.
+    ``floor``: added to each expected count; a character that no piece covers is a piece of its own kind."""
 
     rows: int = 2000
     rounds: int = 3
-    longest: int = 8
+    word: int = 10_000
     floor: float = 0.02
 
 
@@ -63,11 +65,14 @@ class Pieces:
     """The vocabulary with a hash table of all piece prefixes, to find the pieces inside words."""
 
     pieces: tuple[str, ...]
-    longest: int
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.pieces), default=1)
 
     @cached_property
     def _table(self) -> tuple[np.ndarray, ...]:
-        number = {p: i for i, p in enumerate(self.pieces) if len(p) <= self.longest}
+        number = {p: i for i, p in enumerate(self.pieces)}
         prefixes = sorted({p[:k] for p in number for k in range(1, len(p) + 1)})
         hashes = np.array([_text_hash(p) for p in prefixes], np.uint64)
         ids = np.array([number.get(p, -1) for p in prefixes], np.int32)
@@ -93,9 +98,13 @@ class Pieces:
         return row
 
     def lattice(self, words: Sequence[str]) -> Lattice:
-        """All pieces inside the words; a character without a piece is one of the unknown piece."""
-        letters = np.frombuffer((WORD_START + WORD_START.join(words)).encode("utf-32-le"), np.uint32) if len(words) else np.zeros(0, np.uint32)
-        begins = np.flatnonzero(letters == ord(WORD_START))
+        """All pieces inside the words, each after a word start."""
+        letters = _letters(WORD_START + WORD_START.join(words)) if len(words) else _letters("")
+        return self.among(letters, np.flatnonzero(letters == ord(WORD_START)))
+
+    def among(self, letters: np.ndarray, begins: np.ndarray) -> Lattice:
+        """All pieces inside the stretches of letters that start at ``begins``; a character without
+        a piece is one of the unknown piece."""
         size = np.diff(np.append(begins, len(letters)))
         left = np.repeat(begins + size, size) - np.arange(len(letters))
         ids = self._table[1]
@@ -152,31 +161,49 @@ class Lattice:
     def last(self) -> np.ndarray:
         return self.first + self.size
 
-    def forward(self, chance: np.ndarray) -> np.ndarray:
-        """Probability of each place's left side by language; ``chance`` is piece x language."""
+    def forward(self, log_chance: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of each place's left side by language; ``log_chance`` is piece x language.
+        ``known`` has that of the first places, if they are not the word's first (one word only)."""
         froms, tos, pieces, levels = self._steps
-        alpha = np.zeros((int(self.size.sum()) + len(self.size), chance.shape[1]))
-        alpha[self.first] = 1
-        for lo, hi in zip(levels, levels[1:]):
-            if lo == hi:
-                continue
-            cuts = np.flatnonzero(np.append(True, tos[lo + 1 : hi] != tos[lo : hi - 1]))
-            alpha[tos[lo:hi][cuts]] = np.add.reduceat(alpha[froms[lo:hi]] * chance[pieces[lo:hi]], cuts)
+        alpha = np.full((int(self.size.sum()) + len(self.size), log_chance.shape[1]), -np.inf)
+        start = 1
+        if known is None:
+            alpha[self.first] = 0
+        else:
+            start = len(known)
+            alpha[:start] = known
+        for lo, hi in zip(levels[start - 1 :], levels[start:]):
+            if lo < hi:
+                _log_add(alpha, tos[lo:hi], alpha[froms[lo:hi]] + log_chance[pieces[lo:hi]])
         return alpha
 
-    def expected(self, chance: np.ndarray, counts: np.ndarray, n_pieces: int) -> np.ndarray:
+    def expected(self, log_chance: np.ndarray, counts: np.ndarray, n_pieces: int) -> np.ndarray:
         """Expected piece counts of words that occur ``counts`` times, under one language."""
-        alpha = self.forward(chance[:, None])[:, 0]
+        alpha = self.forward(log_chance[:, None])[:, 0]
         froms, tos, pieces, levels = self._steps
-        beta = np.zeros_like(alpha)
-        beta[self.last] = 1
-        for lo, hi in list(zip(levels, levels[1:]))[::-1]:
-            np.add.at(beta, froms[lo:hi], beta[tos[lo:hi]] * chance[pieces[lo:hi]])
-        weight = np.repeat(counts / alpha[self.last], self.size + 1)
-        share = alpha[froms] * chance[pieces] * beta[tos] * weight[froms]
+        word = np.searchsorted(self.last, tos)
+        # The backward sums go by the letters that are left, so that all words end at once.
+        left = self.last[word] - froms
+        order = np.lexsort((froms, left))
+        bounds = np.searchsorted(left[order], np.arange(1, int(left.max()) + 2)) if len(left) else np.zeros(1, int)
+        beta = np.full((len(alpha), 1), -np.inf)
+        beta[self.last] = 0
+        for lo, hi in zip(bounds, bounds[1:]):
+            some = order[lo:hi]
+            if len(some):
+                _log_add(beta, froms[some], beta[tos[some]] + log_chance[pieces[some], None])
+        share = np.exp(alpha[froms] + log_chance[pieces] + beta[tos, 0] - alpha[self.last][word]) * counts[word]
         return np.bincount(pieces, share, minlength=n_pieces)
 
 
+def _log_add(sums: np.ndarray, places: np.ndarray, terms: np.ndarray) -> None:
+    """Set ``sums`` at each place to the log of the sum of its terms; equal places stand together."""
+    cuts = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+    top = np.maximum.reduceat(terms, cuts)
+    each = np.repeat(top, np.diff(np.append(cuts, len(places))), axis=0)
+    sums[places[cuts]] = top + np.log(np.add.reduceat(np.exp(terms - each), cuts))
+
+
 @dataclass(frozen=True)
 class Model:
     pieces: Pieces
@@ -184,24 +211,32 @@ class Model:
     chance: np.ndarray
 
     def word_scores(self, words: Sequence[str]) -> np.ndarray:
-        """Log likelihood by language. Words are taken in segments of up to 32 characters."""
+        """Log likelihood by language."""
         out = np.zeros((len(words), len(self.languages)))
-        for at in range(0, len(words), _CHUNK_WORDS):
-            some = words[at : at + _CHUNK_WORDS]
-            owner, segments = _segments(some)
-            lattice = self.pieces.lattice(segments)
-            scores = np.log(lattice.forward(self.chance)[lattice.last])
-            if len(segments) == len(some):
-                out[at : at + len(some)] = scores
+        log_chance = np.log(self.chance)
+        for some in _chunks(words):
+            if len(some) == 1:
+                out[some] = self._stretches(words[some[0]], log_chance)
             else:
-                np.add.at(out, owner + at, scores)
+                lattice = self.pieces.lattice([words[k] for k in some])
+                out[some] = lattice.forward(log_chance)[lattice.last]
         return out
 
+    def _stretches(self, word: str, log_chance: np.ndarray) -> np.ndarray:
+        letters = _letters(WORD_START + word)
+        known, at = np.zeros((1, len(self.languages))), 0
+        while at < len(letters):
+            lo, hi = at - len(known) + 1, min(at + _CHUNK_LETTERS, len(letters))
+            # Places from lo to at are known; no piece from further left reaches beyond.
+            lattice = self.pieces.among(letters[lo:hi], np.zeros(1, np.int64))
+            known, at = lattice.forward(log_chance, known)[-self.pieces.longest :], hi
+        return known[-1]
+
 
 def train(docs: DataFrame, pieces: Sequence[str], label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", how: Training = Training()) -> Model:
     """Fit piece probabilities per label. Rows with a null id, text or label are left out; without
     any row the model knows no language."""
-    vocabulary = Pieces(tuple(pieces), how.longest)
+    vocabulary = Pieces(tuple(pieces))
     labelled = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     chosen = labelled.select(F.col(id_col).alias("doc"), F.col(label_col).cast("string").alias("label"))
     counts = saved_table(chosen.groupBy("label").agg(F.count("*").alias("n")), "language-counts")
@@ -209,7 +244,7 @@ def train(docs: DataFrame, pieces: Sequence[str], label_col: str = "lang", id_co
     chosen = saved_table(chosen.distinct(), "language-sample")
     texts = labelled.select(F.col(id_col).alias("doc"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
     words = texts.join(chosen, "doc", "left_semi").mapInArrow(_label_words, "label string, word string, n long")
-    words = words.groupBy("label", "word").agg(F.sum("n").alias("n"))
+    words = words.where(F.length("word") <= how.word).groupBy("label", "word").agg(F.sum("n").alias("n"))
     words = saved_table(words, "language-words")
     languages = tuple(r[0] for r in words.select("label").distinct().orderBy("label").collect())
 
@@ -298,7 +333,7 @@ def _label_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expect(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(model.chance)
+        n, log_chance = len(model.chance), np.log(model.chance)
         sums = np.zeros((len(model.languages), n))
         for batch in batches:
             labels = np.array(batch.column("label").to_pylist(), object)
@@ -306,11 +341,9 @@ def _expect(model: Model):
             words = np.array(batch.column("word").to_pylist(), object)
             for number, name in enumerate(model.languages):
                 own = np.flatnonzero(labels == name)
-                for at in range(0, len(own), _CHUNK_WORDS):
-                    some = own[at : at + _CHUNK_WORDS]
-                    owner, segments = _segments(words[some].tolist())
-                    lattice = model.pieces.lattice(segments)
-                    sums[number] += lattice.expected(model.chance[:, number], counts[some][owner], n)
+                for some in _chunks(words[own]):
+                    lattice = model.pieces.lattice(words[own[some]].tolist())
+                    sums[number] += lattice.expected(log_chance[:, number], counts[own[some]], n)
         language, piece = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(language.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(sums[language, piece])],
@@ -320,15 +353,20 @@ def _expect(model: Model):
     return run
 
 
-def _segments(words: Sequence[str]) -> tuple[np.ndarray, list[str]]:
-    if all(len(w) <= _SEGMENT for w in words):
-        return np.arange(len(words)), list(words)
-    owner, out = [], []
-    for i, word in enumerate(words):
-        parts = [word[k : k + _SEGMENT] for k in range(0, len(word), _SEGMENT)]
-        owner += [i] * len(parts)
-        out += parts
-    return np.array(owner), out
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _chunks(words: Sequence[str]) -> list[np.ndarray]:
+    """Numbers of the words, in chunks of about so many letters; a longer word is alone."""
+    size = np.array([len(w) + 1 for w in words], np.int64)
+    long = size > _CHUNK_LETTERS // 8
+    # Words of like length share their levels.
+    short = np.flatnonzero(~long)
+    short = short[np.argsort(size[short], kind="stable")]
+    part = np.cumsum(size[short]) // _CHUNK_LETTERS
+    chunks = np.split(short, np.flatnonzero(np.diff(part)) + 1) if len(short) else []
+    return [*chunks, *([k] for k in np.flatnonzero(long))]
 
 
 def _next_hash(h: np.ndarray, code: np.ndarray) -> np.ndarray:

@@ -3,9 +3,11 @@ columns, and against brute force."""
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -598,31 +600,50 @@ def test_spliced_counts_are_whole_counts(frame):
 # Languages -------------------------------------------------------------------------------------
 
 
-def all_segmentations(word, chance, longest):
-    """Probability of a word by plain recursion."""
-    if not word:
-        return 1.0
-    covered = word[0] in chance
-    total = 0.0 if covered else chance[None] * all_segmentations(word[1:], chance, longest)
-    for k in range(1, min(longest, len(word)) + 1):
-        if word[:k] in chance:
-            total += chance[word[:k]] * all_segmentations(word[k:], chance, longest)
-    return total
+def all_segmentations(word, chance):
+    """Sum over all segmentations, as an exact fraction."""
+    sums = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        terms = [sums[end - len(p)] * Fraction(c) for p, c in chance.items() if p is not None and word[:end].endswith(p)]
+        if word[end - 1] not in chance:
+            terms.append(sums[end - 1] * Fraction(chance[None]))
+        sums.append(sum(terms, Fraction(0)))
+    return sums[-1]
 
 
-def test_forward_sums_all_segmentations():
-    pieces = ("▁", "▁t", "the", "t", "h", "e", "he", "▁th", "é")
+def log_of(x):
+    return math.log(x.numerator) - math.log(x.denominator)
+
+
+@pytest.mark.parametrize("letters", [400_000, 100])
+def test_forward_sums_all_segmentations(letters, monkeypatch):
+    monkeypatch.setattr(language_id, "_CHUNK_LETTERS", letters)
+    pieces = ("▁", "▁t", "the", "t", "h", "e", "he", "▁th", "é", "hehehehehehe", "▁thehehehehe", "theth")
     draw = np.random.default_rng(9)
     chance = draw.dirichlet(np.ones(len(pieces) + 1), 2).T
-    model = language_id.Model(language_id.Pieces(pieces, 4), ("a", "b"), chance)
-    words = ["the", "tthe", "zé", "he" * 20, "e"]
+    model = language_id.Model(language_id.Pieces(pieces), ("a", "b"), chance)
+    words = ["the", "tthe", "zé", "he" * 20, "e", "the" * 20 + "he" * 30, "zzé" * 30, "the", "he" * 150, "z" * 400]
     scores = model.word_scores(words)
     for w, word in enumerate(words):
         for lang in (0, 1):
             own = dict(zip(pieces, chance[:, lang])) | {None: chance[-1, lang]}
-            parts = [word[k : k + 32] for k in range(0, len(word), 32)]
-            plain = sum(np.log(all_segmentations("▁" + part, own, 4)) for part in parts)
-            assert scores[w, lang] == pytest.approx(plain)
+            assert scores[w, lang] == pytest.approx(log_of(all_segmentations("▁" + word, own)), rel=1e-9)
+    assert model.word_scores([]).shape == (0, 2)
+
+
+def test_expected_counts_of_pieces():
+    """The expected count of a piece is its chance times the derivative of the log likelihood."""
+    pieces = ("▁", "▁t", "the", "t", "h", "e", "he", "hehehehehehe")
+    chance = np.random.default_rng(3).dirichlet(np.ones(len(pieces) + 1))
+    words, counts = ["the", "he" * 40, "tzh", "e"], np.array([2, 1, 5, 3])
+    vocabulary = language_id.Pieces(pieces)
+    got = vocabulary.lattice(words).expected(np.log(chance), counts, len(chance))
+    assert (got @ [*map(len, pieces), 1]) == pytest.approx(sum((len(w) + 1) * n for w, n in zip(words, counts)))
+    for k in range(len(chance)):
+        step = chance[k] * 1e-5
+        sides = [chance + np.where(np.arange(len(chance)) == k, d, 0) for d in (step, -step)]
+        likely = [language_id.Model(vocabulary, ("a",), c[:, None]).word_scores(words)[:, 0] @ counts for c in sides]
+        assert got[k] == pytest.approx((likely[0] - likely[1]) / 2e-5, rel=1e-4, abs=1e-6)
 
 
 def test_languages_are_learned(frame):
