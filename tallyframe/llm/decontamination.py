@@ -7,6 +7,11 @@ are compared: an item leaks where a stretch of 13 aligned tokens (the whole item
 at least 80 % equal ones. The default masks miss no such stretch: every pattern of substitutions
 that leaves 80 % holds a seed.
 
+Of hits of one seed in one document, only the first is followed where the tokens around them are the
+same as far as an item with that seed reaches, as all of them compare alike and the first place is
+reported. So texts that repeat a few words do not multiply with items that do so too. Documents are
+cut to the tokens beside each item before they are compared.
+
 Everything is DataFrame functions. Tokens are lower-cased maximal runs of characters other than
 ASCII punctuation, white space and controls. Letters of scripts without spaces (Han, Kana,
 Bopomofo, Yi, Thai, Lao, Tibetan, Myanmar, Khmer) are tokens of their own.
@@ -14,7 +19,7 @@ Bopomofo, Yi, Thai, Lao, Tibetan, Myanmar, Khmer) are tokens of their own.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,7 +43,8 @@ class Seeds:
     tokens fill, and those of fewer than ``tiny_below`` are looked up whole; documents are searched
     by such masks only if there are such items. Masks hold all stretches for the default ``stretch``
     and ``percent``; lower percentages need lighter masks. Seeds are broadcast up to
-    ``broadcast_rows`` (about 40 bytes each) and joined by a shuffle beyond."""
+    ``broadcast_rows`` (about 40 bytes each) and joined by a shuffle beyond. Each copy of a document's
+    tokens serves hits that are beside about ``together`` tokens."""
 
     masks: tuple[str, ...] = ("1110111", "11011011", "11111")
     short_masks: tuple[str, ...] = ("1111", "11011", "10111", "11101")
@@ -47,6 +53,7 @@ class Seeds:
     stretch: int = 13
     percent: int = 80
     broadcast_rows: int = 500_000
+    together: int = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -82,7 +89,9 @@ def leaks(
     seeds = _seeds(texts.where(size >= how.long_from), "item_tokens", how.masks).union(light)
     for part in tiny:
         seeds = seeds.union(part)
-    seeds = saved_table(seeds.select("seed", "mask", "item", F.col("at").alias("item_at")), "leak-seeds")
+    sizes = texts.select("item", size.alias("size"))
+    seeds = seeds.select("seed", "mask", "item", F.col("at").alias("item_at")).join(sizes, "item")
+    seeds = saved_table(seeds, "leak-seeds")
     # Documents are searched by the masks that items have.
     counts = {r["mask"]: r["count"] for r in seeds.groupBy("mask").count().collect()}
     masks = [m for m in dict.fromkeys(how.masks + how.short_masks) if m in counts]
@@ -90,17 +99,25 @@ def leaks(
     small = sum(counts.values()) <= how.broadcast_rows
     tiny_seeds = seeds.where(F.col("mask").isin(tiny_masks)).drop("mask")
     seeds = seeds.where(~F.col("mask").isin(tiny_masks)).drop("mask")
+    reach = seeds.groupBy("seed").agg(F.max("size").alias("reach"))
     if small:
-        seeds, tiny_seeds = F.broadcast(seeds), F.broadcast(tiny_seeds)
+        seeds, reach, tiny_seeds = F.broadcast(seeds), F.broadcast(reach), F.broadcast(tiny_seeds)
 
     named = named_texts(docs, id_col, text_col)
     words = named.select("id", "doc", "mark", tokens(F.col("text")).alias("words"))
-    hits = _seeds(words, "words", masks).join(seeds, "seed")
-    hits = hits.select("id", "doc", "mark", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    keys = ["id", "doc", "mark", "item"]
+    places = _seeds(words, "words", masks).join(reach, "seed").select("doc", "mark", "at", "seed", "reach").distinct()
+    places = saved_table(places, "leak-places")
+    hits = _unlike_places(named, places, how).join(seeds, "seed")
+    hits = hits.select("doc", "mark", "item", "size", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = saved_table(hits, "leak-hits")
 
-    aligned = words.drop("id").join(hits, ["doc", "mark"]).join(texts, "item")
-    keys = ["id", "doc", "mark", "item"]
+    def beside(hit: Column, words: Column) -> Column:
+        start = F.greatest(hit["diagonal"], F.lit(0))
+        return F.slice(words, start + 1, hit["diagonal"] + hit["size"] - start)
+
+    aligned = _seen_from(named, hits, "size", how, beside, "words")
+    aligned = aligned.select("id", "doc", "mark", "hit.item", "hit.diagonal", "words").join(texts, "item")
     best = _best_stretches(aligned, keys, how).where(F.col("matched") * 100 >= F.col("stretch") * how.percent)
     best = best.groupBy(*keys).agg(F.max(F.struct("matched", "before_doc", "before_item", "stretch")).alias("best"))
     if tiny_masks:
@@ -118,6 +135,31 @@ def leaks(
     )
 
 
+def _unlike_places(named: DataFrame, places: DataFrame, how: Seeds) -> DataFrame:
+    """(doc, mark, at, seed): the first of a document's places that have a seed and all tokens
+    within its reach in common, on the left as on the right."""
+    def around(hit: Column, words: Column) -> Column:
+        left = F.least(hit["at"], hit["reach"])
+        return F.xxhash64(left, F.slice(words, hit["at"] - left + 1, left + hit["reach"]))
+
+    seen = _seen_from(named, places, "reach", how, around, "around")
+    return seen.groupBy("doc", "mark", F.col("hit.seed").alias("seed"), "around").agg(F.min("hit.at").alias("at")).drop("around")
+
+
+def _seen_from(named: DataFrame, hits: DataFrame, weight: str, how: Seeds, value: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """(id, doc, mark, hit) for every hit, a struct, and the ``value`` of the hit and its document's
+    tokens. Hits of a document are dealt to lists by ``weight``; the document is joined to the lists,
+    and only documents that have one are cut into tokens again."""
+    columns = [c for c in hits.columns if c not in ("doc", "mark")]
+    lists = hits.groupBy("doc", "mark").agg(F.ceil(F.sum(weight) / how.together).alias("lists"))
+    dealt = hits.join(lists, ["doc", "mark"]).withColumn("list", F.pmod(F.xxhash64(*columns), F.col("lists")))
+    listed = dealt.groupBy("doc", "mark", "list").agg(F.collect_list(F.struct(*columns)).alias("hits"))
+    joined = named.select("id", "doc", "mark", "text").join(saved_table(listed, "leak-lists"), ["doc", "mark"])
+    each = lambda words: F.transform("hits", lambda hit: F.struct(hit.alias("hit"), value(hit, words).alias(name)))
+    # The array of one binds the tokens once for all hits of the list.
+    return joined.select("id", "doc", "mark", F.inline(F.flatten(F.transform(F.array(tokens(F.col("text"))), each))))
+
+
 def _whole_items(words: DataFrame, keys: list[str], masks: Sequence[str], seeds: DataFrame) -> DataFrame:
     """The first place of every item of a few tokens in every document that holds all of them in a
     row. Places meet by document and item, reduced to the first one before the shuffle."""
@@ -153,9 +195,10 @@ def _seeds(rows: DataFrame, column: str, masks: Sequence[str]) -> DataFrame:
 
 
 def _best_stretches(aligned: DataFrame, keys: list[str], how: Seeds) -> DataFrame:
-    """Per row with words, item_tokens and diagonal: ``matched`` of the ``stretch`` aligned tokens
+    """Per row with item_tokens, diagonal and, as words, the tokens beside the item: ``matched`` of the ``stretch`` aligned tokens
     of the best stretch, and minus the tokens it starts at, so that the first has the maximum."""
-    position = lambda i: F.col("diagonal") + i
+    # Words begin with the item, or with the document if the item begins before it.
+    position = lambda i: F.least(F.col("diagonal"), F.lit(0)) + i
     equal = F.transform(
         "item_tokens",
         lambda t, i: F.when(position(i) < 0, 0).otherwise(F.coalesce((F.get("words", position(i)) == t).cast("int"), F.lit(0))),

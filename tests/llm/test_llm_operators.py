@@ -314,6 +314,46 @@ def test_items_of_a_few_tokens_are_found_verbatim(frame):
     assert clean.count() == sum(1 for doc, _ in docs if doc not in {d for d, *_ in expected})
 
 
+def plain_leaks(docs, items, stretch=13, percent=80):
+    """Best stretch of every item in every document over all diagonals."""
+    out = set()
+    for doc, text in docs:
+        words = text.split()
+        for item, wanted in items:
+            wanted = wanted.split()
+            size, best = min(stretch, len(wanted)), None
+            for diagonal in range(1 - len(wanted), len(words)):
+                equal = [0 <= diagonal + k < len(words) and words[diagonal + k] == w for k, w in enumerate(wanted)]
+                for k in range(len(wanted) - size + 1):
+                    best = max(best or (0,), (sum(equal[k : k + size]), -(diagonal + k), -k))
+            if best and best[0] * 100 >= size * percent:
+                out.add((doc, item, -best[1], -best[2], best[0], size))
+    return out
+
+
+@pytest.mark.parametrize("together", [1_000_000, 100])
+def test_leaks_of_repetitive_texts(frame, together):
+    draw = random.Random(4)
+    docs = [(1, "a " * 90), (2, "a b " * 40), (3, "a b c " * 9 + "x " + "a b c " * 9), (4, "b " * 7), (5, "a " * 30 + "b " * 30)]
+    docs += [(10 + k, " ".join(draw.choice("ab") for _ in range(draw.randrange(1, 60)))) for k in range(20)]
+    items = [(1, "a " * 20), (2, "a b " * 8), (3, "b a a " * 6), (4, "b " * 5), (5, "a " * 10 + "b " * 10), (6, "c a b c a b x a b c a b c a")]
+    found = decontamination.leaks(
+        frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"), how=decontamination.Seeds(together=together)
+    ).collect()
+    got = [tuple(r[c] for c in ("doc_id", "item_id", "doc_token", "item_token", "matched", "stretch")) for r in found]
+    assert len(got) == len(set(got)) and set(got) == plain_leaks(docs, items)
+
+
+def test_leaks_of_a_long_repetitive_text(frame):
+    docs = [(1, "word " * 100_000), (2, "one two three four five " * 20_000), (3, "other words here")]
+    items = [(k, "word " * (16 + k % 40)) for k in range(100)] + [(100, "three four five one two " * 4)]
+    corpus, benchmark = frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")
+    found = decontamination.leaks(corpus, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, k) for k in range(100)} | {(2, 100)}
+    assert {(r["doc_token"], r["item_token"], r["matched"]) for r in found if r["doc_id"] == 1} == {(0, 0, 13)}
+    assert [r["doc_id"] for r in decontamination.remove_leaking(corpus, benchmark).collect()] == [3]
+
+
 def test_leaks_of_empty_tables(frame):
     docs, items = frame([(1, "a")], "doc_id long, text string"), frame([], "item_id long, text string")
     assert decontamination.leaks(docs, items).count() == 0
