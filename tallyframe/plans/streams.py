@@ -144,9 +144,11 @@ def first_predictions_out_of_order(spark: SparkSession, sf_dir: str) -> DataFram
     )
     number = F.least(F.lit(3), _third(F.col("completed_at")) + F.when(F.col("row_ordinal") % 10 == 0, 1).otherwise(0))
     place = work_path(spark, "first-rows")
+    # Two full rounds of tasks: 16 on 12 cores would leave most of them idle in the second.
+    partitions = max(_STATE_PARTITIONS, 2 * spark.sparkContext.defaultParallelism)
     for _, stream in _landings(spark, rows, number, "out-of-order"):
         firsts = stateful.first_rows(stream, "completed_at", "row_ordinal", ("model", "example_id"), delay="12 days")
-        out = incremental.drain(firsts, "first-rows", place=place, machine=True, state_partitions=_STATE_PARTITIONS)
+        out = incremental.drain(firsts, "first-rows", place=place, machine=True, state_partitions=partitions)
     held = stateful.held_rows(spark, f"{place}/state", rows)
     both = out.withColumn("place", F.lit("out")).unionByName(held.withColumn("place", F.lit("held")))
     return both.drop("completed_at")

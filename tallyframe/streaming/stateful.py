@@ -54,46 +54,95 @@ def _unpacked(df: DataFrame, column: str, like: DataFrame) -> DataFrame:
     return df.select(F.from_json(column, kinds, _TIMES).alias("_row")).select("_row.*")
 
 
-class _FirstRow(StatefulProcessor):
-    """Holds the first row of a key until no earlier one can come, lets it out once, and remembers that
-    it did for ``keep_ms`` more of event time, or for good."""
+class _FirstRows(StatefulProcessor):
+    """Holds the first row of each key of a bucket until no earlier one can come, lets it out once, and
+    remembers that it did for ``keep_ms`` more of event time, or for good.
+
+    A call to the state takes far longer than a row, so that a bucket's keys are read and saved
+    together and share one timer, at the next time that one of them has something to do."""
 
     def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "micros long, place long, row string, out boolean")
+        self.held = handle.getValueState("held", "keys array<string>, micros array<long>, places array<long>, rows array<string>")
+        self.gone = handle.getValueState("gone", "keys array<string>, micros array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.first.get() if self.first.exists() else None
-        found = ((r["_micros"], r["_place"], r["_row"]) for r in rows)
-        if held is not None and held[3]:
-            forgotten = None if self.keep_ms is None else _after(held[0]) + self.keep_ms
-            found = [r for r in found if forgotten is not None and r[0] // 1000 >= forgotten]
-        best = min(found, key=lambda r: r[:2], default=None)
-        if best is None or held is not None and not held[3] and tuple(held[:2]) <= best[:2]:
+        held, gone = self._load()
+        found = {}
+        for _, _, line in rows:
+            micros, place, name, row = line.split("\n")
+            micros, place = int(micros), int(place)
+            if name in gone and not self._forgotten(gone[name], micros // 1000):
+                continue
+            best = found.get(name) or held.get(name)
+            if best is None or (micros, place) < best[:2]:
+                found[name] = (micros, place, row)
+        if not found:
             return iter([])
-        if held is not None:
-            # The timer of an earlier candidate, or the one that would forget the key.
-            self.handle.deleteTimer(forgotten if held[3] else _after(held[0]))
-        self.handle.registerTimer(_after(best[0]))
-        self.first.update((*best, False))
+        due = self._due(held, gone)
+        again = gone.keys() & found.keys()
+        held |= found
+        gone = {name: micros for name, micros in gone.items() if name not in again}
+        self._save_held(held)
+        if again:
+            self._save_gone(gone)
+        next_due = self._due(held, gone)
+        if next_due != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(next_due)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        micros, place, row, out = self.first.get()
+        held, gone = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        out = {name: first for name, first in held.items() if _after(first[0]) <= now}
         if out:
-            self.first.clear()
-            return
-        if self.keep_ms is not None:
-            self.handle.registerTimer(_after(micros) + self.keep_ms)
-        self.first.update((micros, place, "", True))
-        yield Row(row=row)
+            held = {name: first for name, first in held.items() if name not in out}
+            self._save_held(held)
+        told = gone | {name: micros for name, (micros, _, _) in out.items()}
+        kept = {name: micros for name, micros in told.items() if not self._forgotten(micros, now)}
+        if kept != gone:
+            self._save_gone(kept)
+        due = self._due(held, kept)
+        if due is not None:
+            self.handle.registerTimer(due)
+        for _, _, row in out.values():
+            yield Row(row=row)
 
     def close(self) -> None:
         pass
 
+    def _forgotten(self, micros: int, now: int) -> bool:
+        """Whether a key whose row of that time came out is no longer remembered."""
+        return self.keep_ms is not None and now >= _after(micros) + self.keep_ms
+
+    def _due(self, held: dict, gone: dict) -> int | None:
+        """When the next row can come out or the next key is forgotten."""
+        times = [_after(min(first[0] for first in held.values()))] if held else []
+        if self.keep_ms is not None and gone:
+            times.append(_after(min(gone.values())) + self.keep_ms)
+        return min(times, default=None)
+
+    def _load(self) -> tuple[dict, dict]:
+        keys, *firsts = self.held.get() or ((), (), (), ())
+        return dict(zip(keys, zip(*firsts))), dict(zip(*(self.gone.get() or ((), ()))))
+
+    def _save_held(self, held: dict) -> None:
+        if held:
+            self.held.update((list(held), *map(list, zip(*held.values()))))
+        else:
+            self.held.clear()
+
+    def _save_gone(self, gone: dict) -> None:
+        if gone:
+            self.gone.update((list(gone), list(gone.values())))
+        else:
+            self.gone.clear()
+
 
 def _after(micros: int) -> int:
     """The first whole millisecond after a time: once the watermark is there, no such time can come."""
@@ -107,6 +156,7 @@ def first_rows(
     keys: Sequence[str] = PAIR_KEYS,
     delay: str = "1 day",
     keep: str | None = None,
+    buckets: int = 4096,
 ) -> DataFrame:
     """The first row of each key by event time and a whole-number ``order``, once, whatever the order
     in which rows land.
@@ -115,19 +165,22 @@ def first_rows(
     then no earlier one can land; rows behind the watermark are dropped. A key that came out is
     remembered for good, or for ``keep`` of event time. A null order comes first; rows without an event
     time are dropped. ``held_rows`` reads the rows that still wait.
+
+    The state is kept by ``buckets`` of keys, whose number stays for the life of the checkpoint. A batch
+    reads and saves each bucket that it touches whole, so that a bucket should hold some thousand keys
+    at most.
     """
-    machine = _FirstRow(None if keep is None else _milliseconds(rows.sparkSession, keep))
+    machine = _FirstRows(None if keep is None else _milliseconds(rows.sparkSession, keep))
     place = F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63)))
+    at = F.col(event_time).cast("timestamp")
+    # Python gets rows value by value, and takes the columns by place. JSON has no bare line breaks.
+    line = F.concat_ws("\n", F.unix_micros(at), place, F.to_json(F.struct(*keys), _TIMES), _packed(rows))
     packed = rows.where(F.col(event_time).isNotNull()).select(
-        *keys,
-        F.col(event_time).cast("timestamp").alias("_at"),
-        F.unix_micros(F.col(event_time).cast("timestamp")).alias("_micros"),
-        place.alias("_place"),
-        _packed(rows).alias("_row"),
+        F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), at.alias("_at"), line.alias("_line")
     )
     out = (
         packed.withWatermark("_at", delay)
-        .groupBy(*keys)
+        .groupBy("_bucket")
         .transformWithState(machine, "row string", "Append", "EventTime")
     )
     return _unpacked(out, "row", rows)
@@ -135,7 +188,7 @@ def first_rows(
 
 def held_rows(spark: SparkSession, checkpoint: str, like: DataFrame) -> DataFrame:
     """Rows that ``first_rows`` still holds back, from the state of its last run."""
-    state = _state(spark, checkpoint, "first").where("NOT value.out").select("value.row")
+    state = _state(spark, checkpoint, "held").select(F.explode("value.rows").alias("row"))
     return _unpacked(state, "row", like)
 
 

@@ -1,6 +1,7 @@
 """State machines and joins of streams: rows out of order, late rows, restarts."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,48 @@ def test_keys_are_forgotten_after_their_time(spark, lands, tmp_path):
     assert [r["row_ordinal"] for r in stateful.held_rows(spark, f"{place}/state", out).collect()] == [4]
 
 
+def _row_of_key(row):
+    assert row["status"] == f"row\n{row['row_ordinal']}"
+    return (row["model"], row["example_id"]), row["row_ordinal"]
+
+
+def _by_text(pairs):
+    return sorted(pairs, key=str)
+
+
+def test_keys_of_a_bucket_are_held_together(spark, lands, tmp_path):
+    """Buckets of many keys give what a plain loop over the rows gives, from one entry of state each."""
+    rng, place, delay, keep, buckets = random.Random(5), str(tmp_path / "q"), 600, 900, 8
+    names = [None, "", "null", 'a "quoted"\nline', *map(str, range(200))]
+    held, gone, out, mark, ordinal = {}, {}, [], 0, 0
+    for landing in range(4):
+        rows = []
+        for ordinal in range(ordinal + 1, ordinal + 601):
+            key = (rng.choice(["m", None]), rng.choice(names))
+            minute = rng.randrange(max(0, 700 * landing - 500), 700 * landing + 700)
+            rows.append((*key, ordinal, f"row\n{ordinal}", at(minute), None))
+            ms = int(at(minute).timestamp() * 1000)
+            if ms > mark and (key not in gone or ms >= gone[key] + 1 + keep * 60000):
+                held[key] = min(held.get(key, (ms, ordinal)), (ms, ordinal))
+        gone = {key: ms for key, ms in gone.items() if key not in held}
+        mark = max(mark, max(int(r[4].timestamp() * 1000) for r in rows) - delay * 60000)
+        told = {key: first for key, first in held.items() if first[0] + 1 <= mark}
+        held = {key: first for key, first in held.items() if key not in told}
+        out += [(key, n) for key, (_, n) in told.items()]
+        gone = {key: ms for key, ms in (gone | {key: ms for key, (ms, _) in told.items()}).items() if ms + 1 + keep * 60000 > mark}
+        stream = lands("rows", rows, CALL)
+        firsts = stateful.first_rows(
+            stream, "at", "row_ordinal", ("model", "example_id"), f"{delay} minutes", f"{keep} minutes", buckets=buckets
+        )
+        got = incremental.drain(firsts, "q", place=place, machine=True, state_partitions=2)
+        still = stateful.held_rows(spark, f"{place}/state", got)
+        assert _by_text(_row_of_key(r) for r in got.collect()) == _by_text(out)
+        assert _by_text(_row_of_key(r) for r in still.collect()) == _by_text((key, n) for key, (_, n) in held.items())
+    assert len(out) > len({key for key, _ in out}) and len(held) > 10 * buckets
+    entries = [stateful._state(spark, f"{place}/state", name).count() for name in ("held", "gone")]
+    assert 0 < max(entries) <= buckets
+
+
 LOG = "model string, error_type string, latency_ms double, at timestamp"
 
 
